@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ["shaping"]
+PARTS = ["shaping", "recoding", "describing"]
 
 
 def load():

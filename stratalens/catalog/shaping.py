@@ -111,7 +111,7 @@ FROM (SELECT page_id, y, unnest([{'n': 'Urgent', 'v': ur}, {'n': 'High', 'v': hr
 
 def yearly_long(t: Tables):
     long = yearly_table(t).unpivot(["page_id", "Year"], pages.YEARLY[1:], "Category", "Rate")
-    return c.across_map(long, ["Year", "Rate"], recode.cast_numeric)
+    return c.across_map(long, ["Year", "Rate"], lambda x: f"try_cast({x} as double)")
 
 
 @query("cast_numeric", YEARLY_CTE + YEARLY_LONG)
@@ -310,7 +310,7 @@ def _(t: Tables):
 def _(t: Tables):
     df = analysis.with_aggregates(t.selected())
     both = {**analysis.befor_columns(["ALC"]), **analysis.smoking_columns()}
-    return df.select("rid", *[e.alias(n) for n, e in both.items()])
+    return df.select("rid", *analysis.exprs(both))
 
 
 @query("bind_rows", survey(

@@ -1,176 +1,108 @@
-"""Column expressions that recode sentinel-coded ages and category codes.
+"""Expressions that recode sentinel-coded ages and category codes.
 
-All of them are plain Catalyst expressions, so a caller can put any number of
-them into one ``select`` and keep them inside a single code-generated stage.
+Every function takes SQL expression texts (mostly column names) and returns
+one. The wide tables need more than a hundred generated columns; as text each
+of them is parsed once, so building the plan stays cheap, and all of them end
+up in one code-generated projection.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
 from stratalens.schema import (
     AGE_BAND_LOWER,
     NEVER_USED,
     REAL_AGE_BELOW,
     SOFT_USER_BELOW,
-    USAGE_LABELS,
-    USAGE_OTHER,
     USER_AGE_UNKNOWN,
 )
 
 
-def as_flag(condition: Column) -> Column:
+def as_flag(condition: str) -> str:
     """1 / 0 / NULL for a three-valued condition."""
-    return condition.cast("int")
+    return f"cast(({condition}) as int)"
 
 
-def befor_flag(soft: Column, hard: Column) -> Column:
+def befor_flag(soft: str, hard: str) -> str:
     """Did use of the soft item come before use of the hard item?
 
     A soft user whose hard age is unknown cannot be compared (NULL); a soft
     user who never used the hard item counts as before.
     """
-    soft_used = soft < SOFT_USER_BELOW
-    comparable = F.when(hard == NEVER_USED, F.lit(1))
-    return F.when(
-        hard.isin(USER_AGE_UNKNOWN, NEVER_USED),
-        F.when(soft_used, comparable).when(~soft_used, F.lit(0)),
-    ).otherwise(as_flag(soft < hard))
+    used = f"{soft} < {SOFT_USER_BELOW}"
+    return (
+        f"case when {hard} in ({USER_AGE_UNKNOWN}, {NEVER_USED}) then"
+        f" case when {used} and {hard} = {USER_AGE_UNKNOWN} then null else {as_flag(used)} end"
+        f" else {as_flag(f'{soft} < {hard}')} end"
+    )
+
 
+def befor_sum(first: str, second: str) -> str:
+    return f"({first}) + ({second})"
 
-def rowwise_min(columns: Sequence[Column]) -> Column:
+
+def rowwise_min(columns: Sequence[str]) -> str:
     """Smallest value of a row, NULL when any of the values is NULL."""
-    any_null = reduce(lambda a, b: a | b, [c.isNull() for c in columns])
-    return F.when(~any_null, F.least(*columns))
+    complete = " and ".join(f"{c} is not null" for c in columns)
+    return f"case when {complete} then least({', '.join(columns)}) end"
 
 
-def rowwise_min_skipna(columns: Sequence[Column]) -> Column:
-    return F.least(*columns)
+def rowwise_min_skipna(columns: Sequence[str]) -> str:
+    return f"least({', '.join(columns)})"
 
 
-def rowwise_max_skipna(columns: Sequence[Column]) -> Column:
-    return F.greatest(*columns)
+def rowwise_max_skipna(columns: Sequence[str]) -> str:
+    return f"greatest({', '.join(columns)})"
 
 
-def sentinel_to_null(age: Column) -> Column:
-    return F.when(age <= REAL_AGE_BELOW, age)
+def sentinel_to_null(age: str) -> str:
+    return f"case when {age} <= {REAL_AGE_BELOW} then {age} end"
 
 
-def null_to_sentinel(age: Column) -> Column:
-    return F.coalesce(age, F.lit(NEVER_USED))
+def null_to_sentinel(age: str) -> str:
+    return f"coalesce({age}, {NEVER_USED})"
 
 
-def ever_flag_basic(age: Column) -> Column:
-    return as_flag(age < REAL_AGE_BELOW)
+def ever_flag_basic(age: str) -> str:
+    return as_flag(f"{age} < {REAL_AGE_BELOW}")
 
 
-def ever_flag_known_or_unknown_age(age: Column) -> Column:
-    return as_flag((age < REAL_AGE_BELOW) | (age == USER_AGE_UNKNOWN))
+def ever_flag_known_or_993(age: str) -> str:
+    return as_flag(f"{age} < {REAL_AGE_BELOW} or {age} = {USER_AGE_UNKNOWN}")
 
 
-def any_flag(flags: Sequence[Column]) -> Column:
+def any_flag(flags: Sequence[str]) -> str:
     """1 when any member flag is 1, else NULL when any is NULL, else 0."""
-    return as_flag(reduce(lambda a, b: a | b, [f == 1 for f in flags]))
+    return as_flag(" or ".join(f"({f}) = 1" for f in flags))
 
 
-def imputation_recode(code: Column) -> Column:
+def imputation_recode(code: str) -> str:
     """0 for an observed answer (codes 1 and 9), 1 for everything else, NULL included."""
-    return F.when(code.isin(1, 9), F.lit(0)).otherwise(F.lit(1))
+    return f"case when {code} in (1, 9) then 0 else 1 end"
 
 
-def ethnicity_groups(code: Column) -> Column:
-    return (
-        F.when(code.isin(3, 4, 5, 6), F.lit(4))
-        .when(code == 1, F.lit(1))
-        .when(code == 2, F.lit(2))
-        .when(code == 7, F.lit(3))
-    )
+def ethnicity_groups(code: str) -> str:
+    return f"case when {code} in (3, 4, 5, 6) then 4 when {code} in (1, 2) then {code} when {code} = 7 then 3 end"
 
 
-def religion_influence(age_group: Column, youth: Column, adult: Column) -> Column:
+def religion_influence(age_group: str, youth: str, adult: str) -> str:
     """Youth answer for the youngest age group, adult answer for the others."""
-    return F.when((age_group == 1) & youth.isin(1, 2, 3, 4), youth).when(
-        (age_group != 1) & adult.isin(1, 2, 3, 4), adult
+    return (
+        f"case when {age_group} = 1 and {youth} in (1, 2, 3, 4) then {youth}"
+        f" when {age_group} <> 1 and {adult} in (1, 2, 3, 4) then {adult} end"
     )
 
 
-def bounded_level(code: Column, levels: Sequence[int]) -> Column:
+def bounded_level(code: str, levels: Sequence[int]) -> str:
     """The code itself inside the level set, NULL outside it."""
-    return F.when(code.isin(*levels), code)
-
-
-def age_band_lower(band: Column) -> Column:
-    return code_lookup(band, AGE_BAND_LOWER)
-
-
-def init_before(age: Column, limit: int = 20) -> Column:
-    return as_flag(age <= limit)
-
-
-def code_lookup(code: Column, values: Mapping) -> Column:
-    """Value of a small fixed dictionary; NULL for a code that is not in it."""
-    pairs = [F.lit(x) for item in values.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), code)
-
-
-def label_lookup(variable: Column, code: Column, labels: Mapping[str, Sequence[str]],
-                 default_code: bool = True) -> Column:
-    """Label of (variable, code), codes counting from 1.
-
-    The dictionary is a literal map, so no join is needed. Without a label the
-    code itself is shown when ``default_code`` is set, else NULL.
-    """
-    flat = {f"{v}={i}": text for v, texts in labels.items() for i, text in enumerate(texts, 1)}
-    label = code_lookup(F.concat_ws("=", variable, code.cast("string")), flat)
-    return F.coalesce(label, code.cast("string")) if default_code else label
-
-
-def usage_label(code: Column) -> Column:
-    chain = F.when(code.isNull(), F.lit(None).cast("string"))
-    for value, text in USAGE_LABELS.items():
-        chain = chain.when(code == value, F.lit(text))
-    return chain.otherwise(F.lit(USAGE_OTHER))
-
-
-def classify_by_regex(name: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
-    """First class whose pattern matches the name."""
-    chain = F.when(F.lit(False), F.lit(default))
-    for pattern, text in rules:
-        chain = chain.when(name.rlike(pattern), F.lit(text))
-    return chain.otherwise(F.lit(default))
-
-
-def classify_by_set(name: Column, rules: Sequence[tuple[Sequence[str], str]]) -> Column:
-    """Class whose member list holds the name, NULL when none does."""
-    chain = F.when(F.lit(False), F.lit(None).cast("string"))
-    for members, text in rules:
-        chain = chain.when(name.isin(*members), F.lit(text))
-    return chain
-
-
-def level_position(name: Column, order: Sequence[str]) -> Column:
-    """1-based place of a value in an explicit order, NULL when it is absent."""
-    place = F.array_position(F.array(*[F.lit(x) for x in order]), name)
-    return F.when(place > 0, place).cast("int")
-
-
-def cast_numeric(text: Column) -> Column:
-    """Number in a text, NULL when the text is not a number."""
-    return text.try_cast("double")
-
-
-def interaction_key(*columns: Column) -> Column:
-    return F.concat_ws(".", *[c.cast("string") for c in columns])
+    return f"case when {code} in ({', '.join(map(str, levels))}) then {code} end"
 
 
-def remove_by_column(text: Column, prefix: str, other: Column) -> Column:
-    """Remove ``prefix`` followed by the value of another column, once."""
-    return F.regexp_replace(text, F.concat(F.lit(prefix), other), F.lit(""))
+def age_band_lower(band: str) -> str:
+    arms = " ".join(f"when {k} then {v}" for k, v in AGE_BAND_LOWER.items())
+    return f"case {band} {arms} end"
 
 
-def fixed_decimals(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value)
+def init_before(age: str, limit: int = 20) -> str:
+    return as_flag(f"{age} <= {limit}")

@@ -6,10 +6,10 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.functions.recode import level_position
+from stratalens.functions.labels import level_position
 
 
 def matching(columns: Sequence[str], pattern: str) -> list[str]:
@@ -42,10 +42,10 @@ def rename_dictionary(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(names))
 
 
-def across_map(df: DataFrame, columns: Sequence[str], fn: Callable[[Column], Column],
+def across_map(df: DataFrame, columns: Sequence[str], fn: Callable[[str], str],
                name: str = "{}") -> DataFrame:
-    """One expression over many columns, in one projection."""
-    return df.withColumns({name.format(c): fn(F.col(c)) for c in columns})
+    """One SQL expression template over many columns, in one projection."""
+    return df.withColumns({name.format(c): F.expr(fn(c)) for c in columns})
 
 
 def strip_outcome_suffix(df: DataFrame, outcome: str, stem: str = "_befor") -> DataFrame:
@@ -85,7 +85,7 @@ def sort_by_custom_order(df: DataFrame, column: str, order: Sequence[str],
 
 
 def apply_by_outcome(df: DataFrame, outcomes: Sequence[str],
-                     columns: Callable[[str], Mapping[str, Column]],
+                     columns: Callable[[str], Mapping[str, str]],
                      keep: Sequence[str] = ()) -> DataFrame:
     """Stack one row per (row, outcome) with outcome-independent column names.
 
@@ -93,7 +93,7 @@ def apply_by_outcome(df: DataFrame, outcomes: Sequence[str],
     the table is read once for all outcomes and no union of scans is planned.
     """
     entries = [
-        F.struct(F.lit(o).alias("outcome"), *[e.alias(n) for n, e in columns(o).items()])
+        "named_struct(" + ", ".join([f"'outcome', '{o}'", *[f"'{n}', {e}" for n, e in columns(o).items()]]) + ")"
         for o in outcomes
     ]
-    return df.select(*keep, F.inline(F.array(*entries)))
+    return df.select(*keep, F.expr(f"inline(array({', '.join(entries)}))"))

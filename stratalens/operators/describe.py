@@ -7,7 +7,6 @@ afterwards, so the table is read once and only one row is reshaped.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,13 +52,11 @@ def crosstab_long(df: DataFrame, outcomes: Mapping[str, Sequence[str]]) -> DataF
     """
     entries = []
     for outcome, predictors in outcomes.items():
-        complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [outcome, *predictors]])
-        cells = F.array(*[
-            F.struct(F.lit(p).alias("befor_var"), F.col(p).alias("befor_value")) for p in predictors
-        ])
-        entries.append(F.when(complete, F.struct(
-            F.lit(outcome).alias("outcome"), F.col(outcome).alias("ever"), cells.alias("cells"))))
-    rows = df.select(F.explode(F.array(*entries)).alias("e")).filter("e is not null")
+        complete = " and ".join(f"{c} is not null" for c in [outcome, *predictors])
+        cells = ", ".join(f"named_struct('befor_var', '{p}', 'befor_value', {p})" for p in predictors)
+        entries.append(f"if({complete}, named_struct('outcome', '{outcome}', 'ever', {outcome},"
+                       f" 'cells', array({cells})), null)")
+    rows = df.select(F.expr(f"explode(array({', '.join(entries)})) as e")).filter("e is not null")
     patterns = rows.groupBy("e").agg(F.count("*").alias("n"))
     return (
         patterns.select("e.outcome", "e.ever", F.inline("e.cells"), "n")
@@ -188,22 +185,22 @@ def missing_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    wide = df.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    wide = df.agg(F.count("*").alias("rows"), *[F.expr(f"count_if({c} is null) as {c}") for c in columns])
     return wide.unpivot(["rows"], list(columns), "Zmienna", "N")
 
 
 def rows_with_any_null(df: DataFrame) -> DataFrame:
-    any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in df.columns])
-    return df.agg(F.count_if(any_null).alias("rows_with_null"))
+    any_null = " or ".join(f"{c} is null" for c in df.columns)
+    return df.agg(F.expr(f"count_if({any_null}) as rows_with_null"))
 
 
 def table_dims(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
 
 
-def order_violation_check(df: DataFrame, pairs: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+def order_violation_check(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Per item: is the first flag above the second in any row? Unknown pairs are ignored."""
-    wide = df.agg(*[F.coalesce(F.bool_or(a > b), F.lit(False)).alias(n) for n, (a, b) in pairs.items()])
+    wide = df.agg(*[F.expr(f"coalesce(bool_or(({a}) > ({b})), false) as {n}") for n, (a, b) in pairs.items()])
     return wide.unpivot([], list(pairs), "item", "violated")
 
 

@@ -26,15 +26,11 @@ def unpivot_pairs(df: DataFrame, ids: Sequence[str],
     every outcome x predictor combination.
     """
     entries = [
-        F.struct(
-            F.lit(label).alias("Drug"),
-            F.lit(variable).alias("variable"),
-            F.col(outcome).alias("initiation"),
-            F.col(predictor).cast("int").alias("category"),
-        )
+        f"named_struct('Drug', '{label}', 'variable', '{variable}',"
+        f" 'initiation', {outcome}, 'category', cast({predictor} as int))"
         for label, outcome, variable, predictor in pairs
     ]
-    return df.select(*ids, F.inline(F.array(*entries)))
+    return df.select(*ids, F.expr(f"inline(array({', '.join(entries)}))"))
 
 
 def transpose_small(df: DataFrame, row_key: str, key_values: Sequence[str],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.functions import recode
@@ -20,67 +20,65 @@ def selected_survey(raw: DataFrame, row_id: str = "RID") -> DataFrame:
     return rename_dictionary(picked, {**RENAME, row_id: "rid"})
 
 
+def exprs(columns: dict[str, str]) -> list:
+    """Columns of an SQL expression dictionary, named by its keys."""
+    return [F.expr(text).alias(name) for name, text in columns.items()]
+
+
 def with_aggregates(df: DataFrame) -> DataFrame:
     """MED, NMD and HDG: the row minimum over their member items."""
-    return df.withColumns(
-        {name: recode.rowwise_min([F.col(m) for m in members]) for name, members in AGGREGATES.items()}
-    )
+    minima = {name: recode.rowwise_min(members) for name, members in AGGREGATES.items()}
+    return df.select("*", *exprs(minima))
 
 
-def befor_columns(soft_items=SOFT, hard_items=HARD) -> dict[str, Column]:
-    return {
-        befor(s, h): recode.befor_flag(F.col(s), F.col(h)) for s in soft_items for h in hard_items
-    }
+def befor_columns(soft_items=SOFT, hard_items=HARD) -> dict[str, str]:
+    return {befor(x, h): recode.befor_flag(x, h) for x in soft_items for h in hard_items}
 
 
-def smoking_columns(hard_items=HARD) -> dict[str, Column]:
+def smoking_columns(hard_items=HARD) -> dict[str, str]:
     """First use plus daily use: 0, 1 or 2."""
     return {
-        befor("SMK", h): recode.befor_flag(F.col("FSM"), F.col(h))
-        + recode.befor_flag(F.col("ESM"), F.col(h))
+        befor("SMK", h): recode.befor_sum(recode.befor_flag("FSM", h), recode.befor_flag("ESM", h))
         for h in hard_items
     }
 
 
-def prior_use_columns(hard_items=HARD) -> dict[str, Column]:
-    return {**befor_columns([s for s in SOFT if s in PRIOR_USE], hard_items),
+def prior_use_columns(hard_items=HARD) -> dict[str, str]:
+    return {**befor_columns([x for x in SOFT if x in PRIOR_USE], hard_items),
             **smoking_columns(hard_items)}
 
 
-def ever_columns(compat: bool = False) -> dict[str, Column]:
+def ever_columns(compat: bool = False) -> dict[str, str]:
     """EVER flags of all items.
 
     The row minimum of HDG mixes codes: a non-user code of one item hides the
     unknown-age code of another. By default HDG is therefore the OR of its
     members; ``compat`` reads it from the minimum.
     """
-    basic = [*SOFT, "NMD", *NONMEDICAL]
-    known = ["MED", *PRESCRIPTION]
-    out = {ever(i): recode.ever_flag_basic(F.col(i)) for i in basic}
-    out.update({ever(i): recode.ever_flag_known_or_unknown_age(F.col(i)) for i in known})
+    out = {ever(i): recode.ever_flag_basic(i) for i in [*SOFT, "NMD", *NONMEDICAL]}
+    out.update({ever(i): recode.ever_flag_known_or_993(i) for i in ["MED", *PRESCRIPTION]})
     if compat:
-        out[ever("HDG")] = recode.ever_flag_known_or_unknown_age(F.col("HDG"))
+        out[ever("HDG")] = recode.ever_flag_known_or_993("HDG")
     else:
         out[ever("HDG")] = recode.any_flag([out[ever(m)] for m in AGGREGATES["HDG"]])
     return out
 
 
-def demographic_columns() -> dict[str, Column]:
-    out = {c: F.col(c) for c in DEMOGRAPHIC if c not in ("ETHNIC", "RLGINF")}
-    out["ETHNIC"] = recode.ethnicity_groups(F.col("ETHNIC"))
-    out["RLGINF"] = recode.religion_influence(F.col("AGECAT"), F.col("RLGIFY"), F.col("RLGIFA"))
-    return {c: out[c] for c in DEMOGRAPHIC}
+def demographic_columns() -> dict[str, str]:
+    out = {c: c for c in DEMOGRAPHIC}
+    out["ETHNIC"] = recode.ethnicity_groups("ETHNIC")
+    out["RLGINF"] = recode.religion_influence("AGECAT", "RLGIFY", "RLGIFA")
+    return out
 
 
 def analysis_dataset(selected: DataFrame, compat: bool = False) -> DataFrame:
     """Design columns, ages, prior-use flags, EVER flags, imputation flags, demographics."""
     df = with_aggregates(selected)
     imputation = matching(df.columns, "_IMP")
-    columns = {
-        **{c: F.col(c) for c in ["rid", "VEREP", "VESTR_C", "ANALWT2_C", *ITEMS, *AGGREGATES]},
-        **prior_use_columns(),
-        **ever_columns(compat),
-        **{c: recode.imputation_recode(F.col(c)) for c in imputation},
-        **demographic_columns(),
-    }
-    return df.select(*[e.alias(n) for n, e in columns.items()])
+    return df.select(
+        "rid", "VEREP", "VESTR_C", "ANALWT2_C", *ITEMS, *AGGREGATES,
+        *exprs(prior_use_columns()),
+        *exprs(ever_columns(compat)),
+        *exprs({c: recode.imputation_recode(c) for c in imputation}),
+        *exprs(demographic_columns()),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalens.schema import IMPUTED, NEVER_USED, NON_USER, RENAME, USER_AGE_UNKNOWN
@@ -14,23 +14,21 @@ PRESCRIPTION_CUT = 80
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
-def event_age(day: Column) -> Column:
-    days = F.date_diff(F.to_date(day), F.lit("1995-01-01").cast("date"))
-    return (F.lit(12) + (days - F.pmod(days, F.lit(30))) / 30).cast("int")
+def event_age(day: str) -> str:
+    return f"cast(12 + datediff({day}, date'1995-01-01') div 30 as int)"
 
 
 def line_ages(lineitem: DataFrame) -> DataFrame:
     """Smallest age per order and item; only the two discount bands leave the scan."""
-    flag = F.concat("l_returnflag", "l_linestatus")
-    rows = lineitem.filter((F.col("l_discount") >= 0.095) | (F.col("l_discount") < 0.005)).select(
-        "l_orderkey", flag.alias("flag"), F.col("l_discount").alias("discount"),
-        event_age(F.col("l_shipdate")).alias("age"),
-    )
-    high, low = F.col("discount") >= 0.095, F.col("discount") < 0.005
-    return rows.groupBy("l_orderkey").agg(
-        *[F.min(F.when(high & (F.col("flag") == f), F.col("age"))).alias(i) for i, f in HIGH_DISCOUNT.items()],
-        *[F.min(F.when(low & (F.col("flag") == f), F.col("age"))).alias(i) for i, f in LOW_DISCOUNT.items()],
+    rows = lineitem.filter("l_discount >= 0.095 or l_discount < 0.005").selectExpr(
+        "l_orderkey", "l_returnflag || l_linestatus as flag", "l_discount as discount",
+        event_age("l_shipdate") + " as age",
     )
+    bands = [("discount >= 0.095", HIGH_DISCOUNT), ("discount < 0.005", LOW_DISCOUNT)]
+    return rows.groupBy("l_orderkey").agg(*[
+        F.expr(f"min(age) filter (where {band} and flag = '{flag}') as {item}")
+        for band, items in bands for item, flag in items.items()
+    ])
 
 
 def respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,56 +38,49 @@ def respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard ages are then reduced per customer in one aggregation.
     """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    orders = read("orders").select(
-        "o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate",
-        event_age(F.col("o_orderdate")).alias("age"),
-    )
+    orders = read("orders").selectExpr(
+        "o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", event_age("o_orderdate") + " as age")
     hard_items = [*HIGH_DISCOUNT, *LOW_DISCOUNT]
     per_order = orders.join(
-        line_ages(read("lineitem")), F.col("o_orderkey") == F.col("l_orderkey"), "left"
-    )
-    ages = per_order.groupBy("o_custkey").agg(
-        *[F.min(F.when(F.col("o_orderpriority") == p, F.col("age"))).alias(i) for i, p in SOFT_PRIORITY.items()],
+        line_ages(read("lineitem")), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    ages = per_order.groupBy(F.col("o_custkey").alias("age_key")).agg(
+        *[F.expr(f"min(age) filter (where o_orderpriority = '{p}') as {i}") for i, p in SOFT_PRIORITY.items()],
         *[F.min(i).alias(i) for i in hard_items],
     )
     second = (
         orders.filter(F.col("o_orderpriority") == SOFT_PRIORITY["FSM"])
         .withColumn("place", F.row_number().over(
             Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
-        .filter("place <= 2").groupBy("o_custkey")
-        .agg(F.max(F.when(F.col("place") == 2, F.col("age"))).alias("ESM"))
+        .filter("place <= 2").groupBy(F.col("o_custkey").alias("daily_key"))
+        .agg(F.expr("max(age) filter (where place = 2) as ESM"))
     )
     base = (
         read("customer")
-        .join(ages, F.col("c_custkey") == ages["o_custkey"], "left").drop("o_custkey")
-        .join(second, F.col("c_custkey") == second["o_custkey"], "left").drop("o_custkey")
+        .join(ages, F.col("c_custkey") == F.col("age_key"), "left")
+        .join(second, F.col("c_custkey") == F.col("daily_key"), "left")
     )
 
-    def age(item: str) -> Column:
-        absent = NEVER_USED if item in ("ESM", "SED", *LOW_DISCOUNT) else NON_USER
-        value = F.col(item)
-        if item in ("SED", *LOW_DISCOUNT):
-            value = F.when(value >= PRESCRIPTION_CUT, USER_AGE_UNKNOWN).otherwise(value)
-        return F.coalesce(value, F.lit(absent)).cast("int").alias(item)
-
-    key = F.col("c_custkey")
-
-    def cycle(step: int, size: int, name: str) -> Column:
-        return (F.lit(1) + F.floor(key / step) % size).cast("int").alias(name)
-
-    digit = key % 10
-    code = F.when(digit == 7, 9).when(digit == 8, 3).when(digit == 9, None).otherwise(1).cast("int")
-    segment = F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("c_mktsegment"))
-    return base.select(
-        key.alias("rid"),
-        (F.col("c_nationkey") % 5).alias("VESTR_C"),
-        (F.lit(1) + key % 2).cast("int").alias("VEREP"),
-        F.round((F.col("c_acctbal") + 1000) * 100).cast("bigint").alias("w_cents"),
+    def age(item: str) -> str:
+        prescription = item in ("SED", *LOW_DISCOUNT)
+        absent = NEVER_USED if prescription or item == "ESM" else NON_USER
+        value = f"if({item} >= {PRESCRIPTION_CUT}, {USER_AGE_UNKNOWN}, {item})" if prescription else item
+        return f"cast(coalesce({value}, {absent}) as int) as {item}"
+
+    def cycle(step: int, size: int, name: str) -> str:
+        return f"cast(1 + (c_custkey div {step}) % {size} as int) as {name}"
+
+    code = "case c_custkey % 10 when 7 then 9 when 8 then 3 when 9 then null else 1 end"
+    segments = ", ".join(f"'{x}'" for x in SEGMENTS)
+    return base.selectExpr(
+        "c_custkey as rid",
+        "c_nationkey % 5 as VESTR_C",
+        "cast(1 + c_custkey % 2 as int) as VEREP",
+        "cast(round((c_acctbal + 1000) * 100) as bigint) as w_cents",
         *[age(i) for i in ("ESM", *SOFT_PRIORITY, *hard_items)],
         cycle(2, 2, "GENDER"), cycle(1, 11, "AGEPRC"), cycle(11, 4, "CATAGE"), cycle(1, 7, "NEWRACE2"),
         cycle(5, 4, "TOTINC"), cycle(7, 5, "EDUCAT"), cycle(13, 3, "POPDEN"),
-        segment.cast("int").alias("RLGIFA"), cycle(3, 5, "RLGIFY"),
-        *[code.alias(f"{i}_IMP") for i in IMPUTED],
+        f"cast(array_position(array({segments}), c_mktsegment) as int) as RLGIFA", cycle(3, 5, "RLGIFY"),
+        *[f"{code} as {i}_IMP" for i in IMPUTED],
     )
 
 
