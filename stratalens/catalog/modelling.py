@@ -151,9 +151,7 @@ LINEARISED = [
 
 
 def linearised(t: Tables, formula=SMK, frame=None):
-    frame = smoking_frame(t) if frame is None else frame
-    _, fits = m.fit_outcomes(frame, formula)
-    return design.linearised_variance(design.SurveyDesign(frame), fits, BY, formula)
+    return m.fit_with_variance(smoking_frame(t) if frame is None else frame, formula)
 
 
 @query("linearised_se", survey(

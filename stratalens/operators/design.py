@@ -45,17 +45,22 @@ def covariate_cells(frame: DataFrame, by: Sequence[str], formula: Formula, y: st
         F.count("*").alias("n"), F.sum(F.col(weight)).alias("w"), F.sum(F.col(weight) * F.col(y)).alias("wy"))
 
 
-def linearised_variance(design: SurveyDesign, fits: DataFrame, by: Sequence[str], formula: Formula,
-                        y: str = "y") -> DataFrame:
+def merge_cells(cells: DataFrame, by: Sequence[str], formula: Formula) -> DataFrame:
+    """Cells of a coarser key from cells of a finer one."""
+    return cells.groupBy(*by, *formula.variables).agg(*[F.sum(c).alias(c) for c in ("n", "w", "wy")])
+
+
+def linearised_variance(cells: DataFrame, fits: DataFrame, by: Sequence[str], formula: Formula,
+                        st: str = "stratum", psu: str = "psu") -> DataFrame:
     """Adds the design-based covariance ``vcov`` to fits, with PSU and stratum counts.
 
-    Score totals per PSU are centred within their stratum; strata with one PSU
-    add nothing and are counted in ``single_psu_strata``. Everything up to the
-    k x k sums is grouped aggregation, one row per fit reaches the algebra.
+    ``cells`` are keyed by (by, stratum, PSU). Score totals per PSU are centred
+    within their stratum; strata with one PSU add nothing and are counted in
+    ``single_psu_strata``. Everything up to the k x k sums is grouped
+    aggregation, one row per fit reaches the algebra.
     """
-    by, st, psu = list(by), design.stratum, design.psu
+    by = list(by)
     k = len(formula.terms)
-    cells = covariate_cells(design.df, [*by, st, psu], formula, y, design.weight)
     scored = cells.join(fits.select(*by, "coef"), by)
     residual = f"(wy - w / (1 + exp(-({formula.eta_sql('coef')}))))"
     totals = scored.groupBy(*by, st, psu).agg(*[

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalens.runtime import broadcast_if_small, materialise
+
 ROWS_PER_SLICE = 2_000_000
 MAX_SLICES = 4_096
 
@@ -160,26 +162,27 @@ def smallest_by_hash(df: DataFrame, group: Sequence[str], hashed: str, row_id: s
     """Rows whose (hash, id) is among the ``need`` smallest of their group.
 
     Hash values are uniform, so equal-width slices are equal-sized. Slices
-    wholly below the cut are kept without ordering them; only the slice that
-    holds the cut is ranked. ``need`` is a column constant within the group.
+    below the one that holds the cut are kept without ordering them; only the
+    slice with the cut is ranked. ``need`` is a column constant in the group.
     """
     group = list(group)
-    rank = Window.partitionBy(*group).orderBy(hashed, row_id)
     if slices <= 1:
+        rank = Window.partitionBy(*group).orderBy(hashed, row_id)
         return df.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= F.col(need)).drop("place")
     width = -(-(1 << hash_bits) // slices)
     cut = df.withColumn("slice", F.floor(F.col(hashed) / width).cast("int"))
     counts = cut.groupBy(*group, "slice").agg(F.count("*").alias("size"), F.max(need).alias("goal"))
     before = Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    state = counts.withColumn("taken", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    state = state.filter("taken < goal").select(
-        *group, "slice", F.least("size", F.col("goal") - F.col("taken")).alias("open"),
-        (F.col("taken") + F.col("size") <= F.col("goal")).alias("whole"),
+    state = (
+        counts.withColumn("taken", F.coalesce(F.sum("size").over(before), F.lit(0))).filter("taken < goal")
+        .groupBy(*group).agg(F.max_by(F.struct(F.col("slice").alias("last"), (F.col("goal") - F.col("taken")).alias("open")),
+                                      "slice").alias("cut"))
+        .select(*group, "cut.last", "cut.open")
     )
-    marked = cut.join(state, [*group, "slice"])
-    inside = Window.partitionBy(*group, "slice").orderBy(hashed, row_id)
+    marked = cut.join(broadcast_if_small(materialise(state)), group)
+    inside = Window.partitionBy(*group).orderBy(hashed, row_id)
     partial = (
-        marked.filter("not whole").withColumn("place", F.row_number().over(inside))
+        marked.filter("slice = last").withColumn("place", F.row_number().over(inside))
         .filter(F.col("place") <= F.col("open")).drop("place")
     )
-    return marked.filter("whole").unionByName(partial).drop("slice", "open", "whole")
+    return marked.filter("slice < last").unionByName(partial).drop("slice", "last", "open")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from stratalens.operators import describe, logit, metrics
 from stratalens.operators.columns import apply_by_outcome, filter_complete_cases, sort_by_custom_order
-from stratalens.operators.design import covariate_cells
+from stratalens.operators.design import covariate_cells, linearised_variance, merge_cells
 from stratalens.operators.logit import Formula
-from stratalens.runtime import broadcast_if_small
+from stratalens.runtime import broadcast_if_small, materialise
 from stratalens.schema import (
     HARD, METRIC_LABELS, METRIC_ORDER, MODEL_DEMOGRAPHIC, PREDICTOR_LEVELS, PRIOR_USE, TERM_ORDER, WEIGHT,
     befor, ever,
@@ -41,11 +41,23 @@ def model_frame(analysis: DataFrame, outcomes: Sequence[str] = HARD, complete: b
 
 
 def fit_outcomes(frame: DataFrame, formula: Formula = FULL, by: Sequence[str] = ("outcome",)):
-    """Cells and fits of every group of a model frame."""
-    cells = covariate_cells(frame, by, formula)
+    """Cells and fits of every group of a model frame.
+
+    The cells are a few rows per fit and every later step needs them, so they
+    are kept at reliable storage: the table behind them is scanned once.
+    """
+    cells = materialise(covariate_cells(frame, by, formula))
     return cells, logit.svy_logistic(cells, by, formula)
 
 
+def fit_with_variance(frame: DataFrame, formula: Formula = FULL, by: Sequence[str] = ("outcome",)) -> DataFrame:
+    """Fits with their design-based covariance, from one scan of the frame."""
+    by = list(by)
+    cells = materialise(covariate_cells(frame, [*by, "stratum", "psu"], formula))
+    fits = materialise(logit.svy_logistic(merge_cells(cells, by, formula), by, formula))
+    return linearised_variance(cells, fits, by, formula)
+
+
 def fit_metrics(cells: DataFrame, fits: DataFrame, formula: Formula, by: Sequence[str] = ("outcome",),
                 cell_by: Sequence[str] = ("outcome",), compat: bool = False) -> DataFrame:
     """R_boot, R_NK, recall, precision, F1 and AUC of fits applied to cells.
@@ -55,8 +67,8 @@ def fit_metrics(cells: DataFrame, fits: DataFrame, formula: Formula, by: Sequenc
     product of the factor levels per key.
     """
     by = list(by)
-    # the fits arrive partitioned by their key; with the cells on the small side
-    # of the join that partitioning also serves every aggregation below
+    fits = materialise(fits)
+    # the cells are the small side, so the fits are never moved to meet them
     small = F.broadcast if not formula.numbers else broadcast_if_small
     cutoffs = cells.groupBy(*cell_by).agg((F.sum("wy") / F.sum("w")).alias("cutoff"))
     scored = logit.predict_prob(small(cells.join(cutoffs, list(cell_by))), fits, cell_by, formula, key=by)
