@@ -174,9 +174,9 @@ HV = PAIR_CATS[:2]
 
 @query("distance_hvdm", survey(
     "SELECT a.rid, round(sqrt(" + " + ".join(f"2 * (a{i}.p - b{i}.p) ** 2" for i in range(len(HV)))
-    + " + (a.ANALWT2_C - b.ANALWT2_C) ** 2 / (16 * v)), 9) AS dist FROM analysis a JOIN analysis b ON b.rid = a.rid + 1 "
+    + " + (a.ANALWT2_C - b.ANALWT2_C) ** 2 / (16 * spread)), 9) AS dist FROM analysis a JOIN analysis b ON b.rid = a.rid + 1 "
     + " ".join(f"JOIN h{i} a{i} ON a{i}.v = a.{c} JOIN h{i} b{i} ON b{i}.v = b.{c}" for i, c in enumerate(HV))
-    + ", (SELECT var_samp(ANALWT2_C) AS v FROM analysis)",
+    + ", (SELECT var_samp(ANALWT2_C) AS spread FROM analysis)",
     *[f"h{i} AS (SELECT {c} AS v, CAST(sum(EVER_COC) AS DOUBLE) / count(*) AS p FROM analysis GROUP BY {c})"
       for i, c in enumerate(HV)]))
 def _(t: Tables):

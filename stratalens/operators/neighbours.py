@@ -9,17 +9,17 @@ are not.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.functions.distance import hvdm_squared, vdm_squared
 from stratalens.operators.ordered import line_neighbours, slice_count
-from stratalens.runtime import materialise
+from stratalens.runtime import broadcast_if_small, materialise, spread
 
 PATTERN = "pattern"
 BUCKETS = 64
+KEYS_PER_PASS = 250_000
 MARGIN = 1.0 + 1e-9  # keeps float rounding from cutting off a candidate
 
 
@@ -28,69 +28,124 @@ def pattern_text(categories: Sequence[str]) -> str:
     return "concat_ws('|', " + ", ".join(f"coalesce(cast({c} as string), '~')" for c in categories) + ")"
 
 
-def masked_keys(categories: Sequence[str], hidden: int) -> str:
-    """One (mask, key) per way of hiding ``hidden`` categories; NULL must be hidden."""
-    entries = []
-    for number, mask in enumerate(combinations(range(len(categories)), hidden)):
-        shown = [c for i, c in enumerate(categories) if i not in mask]
-        known = " and ".join(f"{c} is not null" for c in shown) or "true"
-        key = "concat_ws('|', " + ", ".join(f"cast({c} as string)" for c in shown) + ")" if shown else "''"
-        entries.append(f"if({known}, named_struct('mask', {number}, 'key', {key}), null)")
-    return f"filter(array({', '.join(entries)}), e -> e is not null)"
+def masked_key(categories: Sequence[str], mask: str = "mask") -> str:
+    """Pattern with the categories of a bit mask hidden; NULL when a shown category is."""
+    parts = [f"if({mask} & {1 << i} > 0, '*', cast({c} as string))" for i, c in enumerate(categories)]
+    return "concat(" + ", '|', ".join(parts) + ")"
+
+
+def masks_of(size: int, levels: Sequence[int]) -> list[int]:
+    """Bit masks that hide as many categories as one of the levels."""
+    return [m for m in range(1 << size) if m.bit_count() in levels]
+
+
+def next_levels(start: int, size: int, patterns: int) -> list[int]:
+    """Levels to search in one pass: as many as keep the number of keys within the budget."""
+    levels = [start]
+    for level in range(start + 1, size + 1):
+        if patterns * len(masks_of(size, [*levels, level])) > KEYS_PER_PASS:
+            break
+        levels.append(level)
+    return levels
+
+
+def with_keys(patterns: DataFrame, categories: Sequence[str], levels: Sequence[int]) -> DataFrame:
+    masks = ", ".join(map(str, masks_of(len(categories), levels)))
+    return (
+        patterns.selectExpr("*", f"explode(array({masks})) as mask")
+        .withColumn("key", F.expr(masked_key(categories))).filter("key is not null")
+    )
+
+
+def fewest_mismatches(wanted: DataFrame, patterns: DataFrame, group: list[str],
+                      categories: Sequence[str]) -> DataFrame:
+    """Per wanted pattern the ``level``: fewest mismatches to a row other than itself.
+
+    Hiding ``m`` categories groups the patterns that agree on the rest; a group
+    with a second row means a neighbour with at most ``m`` mismatches. Only
+    counts per key are formed, never pairs.
+    """
+    size = len(categories)
+    open_, levels = wanted, next_levels(0, size, wanted.count())
+    solved: list[DataFrame] = []
+    while True:
+        asked = with_keys(open_, categories, levels)
+        held = with_keys(patterns, categories, levels)
+        if levels[0] > 0:  # the first pass asks for most keys anyway
+            held = held.join(broadcast_if_small(asked.select(*group, "key")), [*group, "key"], "left_semi")
+        shared = held.groupBy(*group, "key").agg(F.sum("size").alias("size")).filter("size > 1")
+        hits = asked.join(shared, [*group, "key"]).groupBy(*group, PATTERN).agg(
+            F.min(F.expr("bit_count(mask)")).alias("level"))
+        hits = materialise(hits)
+        solved.append(hits)
+        if levels[-1] == size:
+            break
+        open_ = open_.join(hits, [*group, PATTERN], "left_anti")
+        left = open_.count()
+        if left == 0:
+            break
+        levels = next_levels(levels[-1] + 1, size, left)
+    out = solved[0]
+    for part in solved[1:]:
+        out = out.unionByName(part)
+    return wanted.join(out, [*group, PATTERN])
+
+
+def patterns_at_level(wanted: DataFrame, patterns: DataFrame, group: list[str],
+                      categories: Sequence[str]) -> DataFrame:
+    """(pattern, other): the patterns that differ from a wanted one in ``level`` categories."""
+    levels = [r["level"] for r in wanted.select("level").distinct().collect()]  # at most one per category
+    asked = with_keys(wanted, categories, levels).filter("bit_count(mask) = level").select(*group, PATTERN, "key", "level")
+    held = with_keys(patterns.withColumnRenamed(PATTERN, "other"), categories, levels).select(*group, "other", "key")
+    return held.join(broadcast_if_small(asked), [*group, "key"]).select(*group, PATTERN, "level", "other").distinct()
 
 
 def heom_nearest(queries: DataFrame, targets: DataFrame, group: Sequence[str], categories: Sequence[str],
                  number: str, row_id: str, slices: int | None = None) -> DataFrame:
     """Nearest target of every query under the overlap metric, ties to the smaller id.
 
-    Every mismatch adds 1 to the squared distance and the number at most 1, so
-    candidates with fewer mismatches come first. Level ``m`` hides ``m``
-    categories at a time and looks along the number line of the rows that
-    agree on the rest; only queries without an answer go on to the next level.
-    A best gap equal to the whole range can tie with the next level, so such a
-    query looks one level further.
+    ``queries`` are rows of ``targets``. Every mismatch adds 1 to the squared
+    distance and the number at most 1, so a row's neighbour lies in a pattern
+    with the fewest mismatches. These patterns are found on the pattern table,
+    and only they are searched, each along its number line.
+
+    A best gap equal to the whole range ties with an equal number one mismatch
+    further away; such rows are looked up there as well.
 
     Returns (group, id, ``nn``, ``mismatches``, ``gap``); queries alone in
     their group have no row.
     """
     group = list(group)
-    rows = materialise(targets.selectExpr(*group, *categories, number, row_id, f"{pattern_text(categories)} as {PATTERN}"))
+    pattern = f"{pattern_text(categories)} as {PATTERN}"
+    rows = materialise(targets.selectExpr(*group, *categories, number, row_id, pattern))
     slices = slice_count(rows.count()) if slices is None else slices
-    patterns = materialise(rows.select(*group, *categories, PATTERN).distinct())
+    asked = materialise(queries.selectExpr(*group, *categories, number, row_id, pattern))
+    patterns = materialise(spread(rows.groupBy(*group, *categories, PATTERN).agg(F.count("*").alias("size")), *group, PATTERN))
     spans = rows.groupBy(*group).agg((F.max(number) - F.min(number)).cast("double").alias("span"))
-    empty = "cast(null as struct<d2: double, nn: bigint, mismatches: int, gap: double>) as best"
-    open_ = queries.select(*group, *categories, number, row_id).join(spans, group).selectExpr("*", empty)
-    closed: list[DataFrame] = []
-    for level in range(len(categories) + 1):
-        keyed = open_.selectExpr(*group, row_id, number, f"inline({masked_keys(categories, level)})")
-        if level == 0:
-            reach = rows.selectExpr(*group, row_id, number, f"inline({masked_keys(categories, 0)})")
-        else:
-            asked = keyed.select(*group, "mask", "key").distinct()
-            shown = patterns.selectExpr(*group, PATTERN, f"inline({masked_keys(categories, level)})")
-            reach = rows.select(*group, PATTERN, row_id, number).join(
-                shown.join(asked, [*group, "mask", "key"], "left_semi"), [*group, PATTERN])
-        near = line_neighbours(keyed, reach, [*group, "mask", "key"], number, row_id, 1, slices)
-        found = near.filter("size(near) > 0").groupBy(*group, row_id).agg(
-            F.expr(f"min(struct(cast(abs(near[0].value - {number}) as double) as gap, near[0].id as id))").alias("hit"))
-        scaled = "if(span > 0, hit.gap / span, 0D)"
-        state = open_.join(found, [*group, row_id], "left").selectExpr(
-            *group, *categories, number, row_id, "span", "best is not null as waited",
-            f"least(best, if(hit is null, null, named_struct('d2', {level} + {scaled} * {scaled},"
-            f" 'nn', cast(hit.id as bigint), 'mismatches', {level}, 'gap', hit.gap))) as best")
-        state = materialise(state.withColumn(
-            "done", F.expr("best is not null and (waited or span = 0 or best.gap < span)")))
-        closed.append(state.filter("done"))
-        open_ = state.filter("not done").drop("done", "waited")
-        if open_.isEmpty():
-            break
-    else:
-        closed.append(open_.filter("best is not null"))
-    parts = [p.selectExpr(*group, row_id, "best.nn", "best.mismatches", "best.gap") for p in closed]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    wanted = materialise(spread(asked.select(*group, *categories, PATTERN).distinct(), *group, PATTERN))
+    wanted = materialise(spread(fewest_mismatches(wanted, patterns, group, categories), *group, PATTERN))
+    lean = rows.select(*group, PATTERN, number, row_id)
+
+    def search(who: DataFrame, where: DataFrame) -> DataFrame:
+        pairs = patterns_at_level(where, patterns, group, categories)
+        keyed = who.select(*group, PATTERN, number, row_id).join(pairs, [*group, PATTERN]).selectExpr(
+            *group, f"other as {PATTERN}", number, row_id, "level")
+        near = line_neighbours(keyed, lean, [*group, PATTERN], number, row_id, 1, slices).filter("size(near) > 0")
+        best = f"min(struct(cast(abs(near[0].value - {number}) as double) as gap, cast(near[0].id as bigint) as nn, level))"
+        return near.groupBy(*group, row_id).agg(F.expr(f"{best} as best")).selectExpr(
+            *group, row_id, "best.nn", "best.level as mismatches", "best.gap")
+
+    found = materialise(search(asked, wanted))
+    edge = found.join(spans, group).filter("gap = span and span > 0")
+    if edge.isEmpty():
+        return found
+    ends = asked.join(edge.select(*group, row_id), [*group, row_id], "left_semi")
+    further = search(ends, wanted.withColumn("level", F.col("level") + 1).filter(f"level <= {len(categories)}"))
+    offers = further.filter("gap = 0").selectExpr(*group, row_id, "nn as far_nn", "mismatches as far_level", "gap as far_gap")
+    wins = "coalesce(far_nn < nn, false)"
+    return found.join(offers, [*group, row_id], "left").selectExpr(
+        *group, row_id, f"if({wins}, far_nn, nn) as nn", f"if({wins}, far_level, mismatches) as mismatches",
+        f"if({wins}, far_gap, gap) as gap")
 
 
 def variance_of(df: DataFrame, number: str):

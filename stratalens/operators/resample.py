@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratalens.operators.neighbours import heom_nearest, hvdm_knn
 from stratalens.operators.ordered import slice_count, smallest_by_hash
-from stratalens.runtime import materialise
+from stratalens.runtime import materialise, spread
 
 GROWTH = 0.5      # synthetic rows per minority row
 NEIGHBOURS = 5
@@ -66,7 +66,7 @@ def smote(parents: DataFrame, group: Sequence[str], categories: Sequence[str], n
     group = list(group)
     outcome = group[0]
     key = f"md5(concat_ws('|', '{seed}', {outcome}, replicate, {row_id}))"
-    slim = parents.select(*group, row_id, "need").selectExpr(
+    slim = spread(parents.select(*group, row_id, "need"), *group, row_id).selectExpr(
         "*", f"explode(sequence(1, {int(replicates)})) as replicate").selectExpr("*", f"{key} as digits")
     slim = slim.withColumn("pick", F.expr("cast(conv(substr(digits, 1, 8), 16, 10) as bigint)"))
     if slices is None:

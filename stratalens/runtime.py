@@ -46,3 +46,14 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when the measured size allows it; otherwise Spark shuffles."""
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Full parallelism ahead of a step that multiplies rows.
+
+    Adaptive execution packs small inputs into few partitions by their size
+    before the step; an explicit count keeps it from doing so.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
