@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ["shaping", "recoding", "describing", "modelling", "resampling"]
+PARTS = ["shaping", "recoding", "describing", "modelling", "resampling", "imputing"]
 
 
 def load():

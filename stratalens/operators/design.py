@@ -102,9 +102,11 @@ def student_p(t: np.ndarray, df: float) -> np.ndarray:
     grid = np.linspace(0.0, 1.0, 2001)
     simpson = np.ones(2001)
     simpson[1:-1:2], simpson[2:-1:2] = 4.0, 2.0
-    upper = np.arctan(np.abs(np.asarray(t, dtype=float)) / np.sqrt(df))
+    # the integrand narrows with df; past the limit nothing is left of it
+    limit = min(np.pi / 2, 40.0 / np.sqrt(df))
+    upper = np.minimum(np.arctan(np.abs(np.asarray(t, dtype=float)) / np.sqrt(df)), limit)
     area = lambda top: top / 6000.0 * (simpson * np.cos(np.multiply.outer(top, grid)) ** (df - 1)).sum(-1)
-    return np.clip(1.0 - area(upper) / area(np.asarray(np.pi / 2)), 0.0, 1.0)
+    return np.clip(1.0 - area(upper) / area(np.asarray(limit)), 0.0, 1.0)
 
 
 def map_fits(fits: DataFrame, keep: Sequence[str], fields: Sequence[T.StructField],

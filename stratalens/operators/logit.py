@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 MAX_ITERATIONS = 25
 TOLERANCE = 1e-11
+SEPARATED = 1e-8  # a fitted probability this close to 0 or 1 means the data are separated
 
 
 @dataclass(frozen=True)
@@ -124,6 +125,7 @@ def irls(x: np.ndarray, w: np.ndarray, wy: np.ndarray) -> dict:
         if done:
             break
     p = 1.0 / (1.0 + np.exp(-(xi @ beta)))
+    done = done and bool(((p > SEPARATED) & (p < 1 - SEPARATED)).all())
     coef, bread = np.full(k, np.nan), np.zeros((k, k))
     coef[cols] = beta
     try:
