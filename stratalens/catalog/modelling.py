@@ -331,8 +331,8 @@ RECORDS = [
     "gframe AS MATERIALIZED (" + " UNION ALL ".join(
         f"SELECT '{h}' AS outcome, CAST(rid % 10 AS INTEGER) AS replicate, GENDER, ANALWT2_C AS w, EVER_{h} AS y FROM analysis"
         for h in s.HARD) + ")",
-    "gcells AS MATERIALIZED (SELECT outcome, replicate, GENDER, CAST(sum(w * y) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS p "
-    "FROM gframe GROUP BY ALL QUALIFY min(p) OVER (PARTITION BY outcome, replicate) > 0 AND max(p) OVER (PARTITION BY outcome, replicate) < 1)",
+    "gcells AS MATERIALIZED (SELECT * FROM (SELECT outcome, replicate, GENDER, CAST(sum(w * y) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS p "
+    "FROM gframe GROUP BY ALL) QUALIFY min(p) OVER (PARTITION BY outcome, replicate) > 0 AND max(p) OVER (PARTITION BY outcome, replicate) < 1)",
     "records AS MATERIALIZED (SELECT a.outcome, a.replicate, '(Intercept)' AS term, ln(a.p / (1 - a.p)) AS value FROM gcells a WHERE GENDER = 1 "
     "UNION ALL SELECT a.outcome, a.replicate, 'GENDER2', ln(a.p / (1 - a.p)) - ln(b.p / (1 - b.p)) FROM gcells a "
     "JOIN gcells b USING (outcome, replicate) WHERE a.GENDER = 2 AND b.GENDER = 1)",

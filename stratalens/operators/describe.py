@@ -16,7 +16,7 @@ from stratalens.operators.ordered import running_sums
 
 def weighted_mean(value: Column, weight: Column) -> Column:
     """Sum of value times weight over the whole weight, a NULL value adding nothing on top."""
-    return F.sum(value * weight) / F.sum(weight)
+    return F.try_divide(F.sum(value * weight), F.sum(weight))
 
 
 def _wide_then_long(df: DataFrame, columns: Sequence[str], measure, name: str, value: str) -> DataFrame:
@@ -31,7 +31,7 @@ def weighted_rate(df: DataFrame, columns: Sequence[str], weight: str,
 
 def unweighted_rate(df: DataFrame, columns: Sequence[str], scale: float = 100.0,
                     name: str = "Drug", value: str = "Proportion") -> DataFrame:
-    return _wide_then_long(df, columns, lambda c: F.sum(c) * scale / F.count(c), name, value)
+    return _wide_then_long(df, columns, lambda c: F.try_divide(F.sum(c) * scale, F.count(c)), name, value)
 
 
 def order_levels_by_value(rates: DataFrame, name: str, value: str) -> DataFrame:
@@ -77,7 +77,7 @@ def category_totals(df: DataFrame, columns: Sequence[str], weight: str | None =
 def share_in_group(totals: DataFrame, group: str = "variable", total: str = "total") -> DataFrame:
     """Share of each category in the total of its facet."""
     whole = F.sum(total).over(Window.partitionBy(group))
-    return totals.withColumn("share", F.col(total) / whole)
+    return totals.withColumn("share", F.try_divide(F.col(total), whole))
 
 
 def weighted_points(long: DataFrame, item: str, value: str, weight: str,
@@ -119,7 +119,7 @@ def weighted_density(long: DataFrame, item: str, value: str, weight: str,
     n, s, ss = F.sum("n"), F.sum(F.col(value) * F.col("n")), F.sum(F.col(value) * F.col(value) * F.col("n"))
     stats = points.groupBy(item).agg(
         n.alias("rows"), F.sum("w").alias("whole"), F.min(value).alias("low"), F.max(value).alias("high"),
-        F.sqrt((ss * n - s * s) / (n * (n - 1))).alias("sd"),
+        F.sqrt(F.try_divide(ss * n - s * s, n * (n - 1))).alias("sd"),
         F.expr(f"percentile({value}, 0.75, n) - percentile({value}, 0.25, n)").alias("iqr"),
     )
     narrow = F.least(F.col("sd"), F.when(F.col("iqr") > 0, F.col("iqr") / 1.34).otherwise(F.col("sd")))
@@ -151,14 +151,14 @@ def column_profile(df: DataFrame, numeric: Sequence[str], factors: Sequence[str]
     )
     is_number = F.col("variable").isin(*numeric)
     known = F.when(F.col("value").isNotNull(), F.col("n"))
-    mean = F.sum(F.col("value") * F.col("n")) / F.sum(known)
+    mean = F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum(known))
     ss = F.sum(F.col("value") * F.col("value") * F.col("n"))
-    variance = (ss - F.sum(known) * mean * mean) / (F.sum(known) - 1)
+    variance = F.try_divide(ss - F.sum(known) * mean * mean, F.sum(known) - 1)
     number = lambda e: F.when(is_number, e)
     out = counts.groupBy("variable").agg(
         F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_missing"),
         F.sum("n").alias("rows"), F.sum(known).alias("known"),
-        mean.alias("mean"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("sd"),
+        mean.alias("mean"), F.sqrt(F.when(variance < 0, 0.0).otherwise(variance)).alias("sd"),
         F.expr("percentile(value, array(0, 0.25, 0.5, 0.75, 1), n) filter (where value is not null)").alias("q"),
         F.count("value").alias("n_unique"), F.max(known).alias("top_count"),
         F.max_by("value", F.struct(known, -F.col("value"))).alias("top_value"),
@@ -243,4 +243,4 @@ def mean_sd_by_term(records: DataFrame, exponentiate: bool = False) -> DataFrame
 def bootstrap_p_value(records: DataFrame) -> DataFrame:
     above, below = F.count_if(F.col("value") > 0), F.count_if(F.col("value") < 0)
     return records.groupBy("outcome", "term").agg(
-        (2 * F.least(above, below) / F.count("value")).alias("p_val"))
+        F.try_divide(2 * F.least(above, below), F.count("value")).alias("p_val"))

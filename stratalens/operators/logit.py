@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,6 +103,9 @@ def irls(x: np.ndarray, w: np.ndarray, wy: np.ndarray) -> dict:
     use = w > 0
     x, w, wy = x[use], w[use], wy[use]
     k = x.shape[1]
+    if not use.any():
+        return {"coef": [None] * k, "bread": [0.0] * (k * k), "deviance": None, "null_deviance": None,
+                "sum_w": 0.0, "sum_wy": 0.0, "iterations": 0, "converged": False}
     rate = wy.sum() / w.sum()
     null = _deviance(w, wy, np.full(len(w), rate))
     cols = _independent(x, w)
@@ -164,14 +167,18 @@ def coefficients(fits: DataFrame, by: Sequence[str], formula: Formula) -> DataFr
     return fits.select(*by, "converged", F.inline(F.arrays_zip(terms.alias("term"), F.col("coef").alias("estimate"))))
 
 
+def null_deviance(ones: str, whole: str) -> Column:
+    """Deviance of the constant rate; a class without weight adds nothing."""
+    one, zero = F.col(ones), F.col(whole) - F.col(ones)
+    part = lambda x: F.when(x > 0, x * F.ln(F.try_divide(x, F.col(whole)))).otherwise(0.0)
+    return -2 * (part(one) + part(zero))
+
+
 def svy_logistic_null(cells: DataFrame, by: Sequence[str], w: str = "w", wy: str = "wy", n: str = "n") -> DataFrame:
     """Intercept-only model: the logit of the weighted rate, with its deviance."""
     sums = cells.groupBy(*by).agg(F.sum(w).alias("sum_w"), F.sum(wy).alias("sum_wy"), F.sum(n).alias("rows"))
-    p = F.col("sum_wy") / F.col("sum_w")
-    return sums.withColumns({
-        "intercept": F.try_divide(p, 1 - p),
-        "null_deviance": -2 * (F.col("sum_wy") * F.ln(p) + (F.col("sum_w") - F.col("sum_wy")) * F.ln(1 - p)),
-    }).withColumn("intercept", F.ln("intercept"))
+    odds = F.try_divide(F.col("sum_wy"), F.col("sum_w") - F.col("sum_wy"))
+    return sums.withColumns({"intercept": F.ln(odds), "null_deviance": null_deviance("sum_wy", "sum_w")})
 
 
 def predict_prob(data: DataFrame, fits: DataFrame, by: Sequence[str], formula: Formula,

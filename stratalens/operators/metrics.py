@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalens.operators.logit import null_deviance
 from stratalens.operators.ordered import running_sums
 
 
@@ -35,7 +36,7 @@ def confusion(table: DataFrame, by: Sequence[str]) -> DataFrame:
     precision = F.when(F.col("both"), F.try_divide("tp", F.col("tp") + F.col("fp"))).otherwise(0.0)
     whole = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     rates = sums.select(*by, recall.alias("Recall"), precision.alias("Precision"), "both",
-                        ((F.col("tp") + F.col("tn")) / whole).alias("Accuracy"))
+                        F.try_divide(F.col("tp") + F.col("tn"), whole).alias("Accuracy"))
     f1 = F.when(F.col("both"), F.try_divide(
         2 * F.col("Precision") * F.col("Recall"), F.col("Precision") + F.col("Recall")))
     return rates.withColumn("F1_Score", f1).drop("both")
@@ -53,8 +54,8 @@ def weighted_auc(scored: DataFrame, by: Sequence[str], prob: str, w: str = "w",
 
 def nagelkerke(deviance: Column, null_deviance: Column, whole: Column) -> Column:
     """Pseudo R-squared from the model and null deviances and the total weight."""
-    cox_snell = 1 - F.exp((deviance - null_deviance) / whole)
-    return cox_snell / (1 - F.exp(-null_deviance / whole))
+    cox_snell = 1 - F.exp(F.try_divide(deviance - null_deviance, whole))
+    return F.try_divide(cox_snell, 1 - F.exp(F.try_divide(-null_deviance, whole)))
 
 
 def nagelkerke_train(fits: DataFrame, by: Sequence[str], name: str = "R_boot") -> DataFrame:
@@ -69,9 +70,7 @@ def holdout_deviance(scored: DataFrame, by: Sequence[str], prob: str, w: str = "
     sums = scored.groupBy(*by).agg(
         (-2 * F.sum(loglik)).alias("deviance"), F.sum(w).alias("whole"), F.sum(wy).alias("ones"),
         F.sum("n").alias("rows"))
-    p = F.col("ones") / F.col("whole")
-    return sums.withColumn("null_deviance", -2 * (
-        F.col("ones") * F.ln(p) + (F.col("whole") - F.col("ones")) * F.ln(1 - p)))
+    return sums.withColumn("null_deviance", null_deviance("ones", "whole"))
 
 
 def nagelkerke_holdout(scored: DataFrame, by: Sequence[str], prob: str = "prob",

@@ -153,7 +153,7 @@ def variance_of(df: DataFrame, number: str):
     if df.schema[number].dataType.typeName() in ("integer", "long", "short", "byte"):
         exact = f"cast({number} as decimal(19,0))"
         top = f"count({number}) * sum({exact} * {exact}) - sum({exact}) * sum({exact})"
-        return F.expr(f"cast({top} as double) / cast(count({number}) * (count({number}) - 1) as double)")
+        return F.expr(f"try_divide(cast({top} as double), cast(count({number}) * (count({number}) - 1) as double))")
     return F.var_samp(number)
 
 
