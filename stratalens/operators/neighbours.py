@@ -20,6 +20,7 @@ from stratalens.runtime import broadcast_if_small, materialise, spread
 PATTERN = "pattern"
 BUCKETS = 64
 KEYS_PER_PASS = 250_000
+FEW_ROWS = 10
 MARGIN = 1.0 + 1e-9  # keeps float rounding from cutting off a candidate
 
 
@@ -57,13 +58,14 @@ def with_keys(patterns: DataFrame, categories: Sequence[str], levels: Sequence[i
     )
 
 
-def fewest_mismatches(wanted: DataFrame, patterns: DataFrame, group: list[str],
-                      categories: Sequence[str]) -> DataFrame:
-    """Per wanted pattern the ``level``: fewest mismatches to a row other than itself.
+def nearest_patterns(wanted: DataFrame, patterns: DataFrame, group: list[str],
+                     categories: Sequence[str]) -> DataFrame:
+    """(pattern, ``level``, ``other``, ``size``): the patterns with the fewest mismatches.
 
     Hiding ``m`` categories groups the patterns that agree on the rest; a group
-    with a second row means a neighbour with at most ``m`` mismatches. Only
-    counts per key are formed, never pairs.
+    with a second row means a neighbour with at most ``m`` mismatches. The
+    level is found from row counts per key; patterns are then matched on the
+    keys of that level only.
     """
     size = len(categories)
     open_, levels = wanted, next_levels(0, size, wanted.count())
@@ -71,13 +73,19 @@ def fewest_mismatches(wanted: DataFrame, patterns: DataFrame, group: list[str],
     while True:
         asked = with_keys(open_, categories, levels)
         held = with_keys(patterns, categories, levels)
+        small = held
         if levels[0] > 0:  # the first pass asks for most keys anyway
-            held = held.join(broadcast_if_small(asked.select(*group, "key")), [*group, "key"], "left_semi")
-        shared = held.groupBy(*group, "key").agg(F.sum("size").alias("size")).filter("size > 1")
+            small = held.join(broadcast_if_small(asked.select(*group, "key")), [*group, "key"], "left_semi")
+        shared = small.groupBy(*group, "key").agg(F.sum("size").alias("size")).filter("size > 1")
         hits = asked.join(shared, [*group, "key"]).groupBy(*group, PATTERN).agg(
-            F.min(F.expr("bit_count(mask)")).alias("level"))
-        hits = materialise(hits)
-        solved.append(hits)
+            F.expr("min(bit_count(mask)) as level"),
+            F.expr("collect_list(struct(bit_count(mask) as level, key)) as keys"))  # at most one per mask
+        hits = materialise(hits.selectExpr(
+            *group, PATTERN, "level", "transform(filter(keys, x -> x.level = level), x -> x.key) as keys"))
+        solved.append(
+            held.select(*group, F.col(PATTERN).alias("other"), "size", "key")
+            .join(broadcast_if_small(hits.selectExpr(*group, PATTERN, "level", "explode(keys) as key")), [*group, "key"])
+            .select(*group, PATTERN, "level", "other", "size"))
         if levels[-1] == size:
             break
         open_ = open_.join(hits, [*group, PATTERN], "left_anti")
@@ -88,16 +96,16 @@ def fewest_mismatches(wanted: DataFrame, patterns: DataFrame, group: list[str],
     out = solved[0]
     for part in solved[1:]:
         out = out.unionByName(part)
-    return wanted.join(out, [*group, PATTERN])
+    return out
 
 
 def patterns_at_level(wanted: DataFrame, patterns: DataFrame, group: list[str],
                       categories: Sequence[str]) -> DataFrame:
-    """(pattern, other): the patterns that differ from a wanted one in ``level`` categories."""
+    """(pattern, other): the patterns that differ from a wanted one in ``level`` categories, with their row count."""
     levels = [r["level"] for r in wanted.select("level").distinct().collect()]  # at most one per category
     asked = with_keys(wanted, categories, levels).filter("bit_count(mask) = level").select(*group, PATTERN, "key", "level")
-    held = with_keys(patterns.withColumnRenamed(PATTERN, "other"), categories, levels).select(*group, "other", "key")
-    return held.join(broadcast_if_small(asked), [*group, "key"]).select(*group, PATTERN, "level", "other").distinct()
+    held = with_keys(patterns.withColumnRenamed(PATTERN, "other"), categories, levels).select(*group, "other", "size", "key")
+    return held.join(broadcast_if_small(asked), [*group, "key"]).select(*group, PATTERN, "level", "other", "size").distinct()
 
 
 def heom_nearest(queries: DataFrame, targets: DataFrame, group: Sequence[str], categories: Sequence[str],
@@ -115,7 +123,7 @@ def heom_nearest(queries: DataFrame, targets: DataFrame, group: Sequence[str], c
     Returns (group, id, ``nn``, ``mismatches``, ``gap``); queries alone in
     their group have no row.
     """
-    group = list(group)
+    group, size = list(group), len(categories)
     pattern = f"{pattern_text(categories)} as {PATTERN}"
     rows = materialise(targets.selectExpr(*group, *categories, number, row_id, pattern))
     slices = slice_count(rows.count()) if slices is None else slices
@@ -123,24 +131,31 @@ def heom_nearest(queries: DataFrame, targets: DataFrame, group: Sequence[str], c
     patterns = materialise(spread(rows.groupBy(*group, *categories, PATTERN).agg(F.count("*").alias("size")), *group, PATTERN))
     spans = rows.groupBy(*group).agg((F.max(number) - F.min(number)).cast("double").alias("span"))
     wanted = materialise(spread(asked.select(*group, *categories, PATTERN).distinct(), *group, PATTERN))
-    wanted = materialise(spread(fewest_mismatches(wanted, patterns, group, categories), *group, PATTERN))
+    pairs = materialise(nearest_patterns(wanted, patterns, group, categories))
     lean = rows.select(*group, PATTERN, number, row_id)
 
-    def search(who: DataFrame, where: DataFrame) -> DataFrame:
-        pairs = patterns_at_level(where, patterns, group, categories)
+    def search(who: DataFrame, pairs: DataFrame) -> DataFrame:
         keyed = who.select(*group, PATTERN, number, row_id).join(pairs, [*group, PATTERN]).selectExpr(
-            *group, f"other as {PATTERN}", number, row_id, "level")
-        near = line_neighbours(keyed, lean, [*group, PATTERN], number, row_id, 1, slices).filter("size(near) > 0")
-        best = f"min(struct(cast(abs(near[0].value - {number}) as double) as gap, cast(near[0].id as bigint) as nn, level))"
-        return near.groupBy(*group, row_id).agg(F.expr(f"{best} as best")).selectExpr(
+            *group, f"other as {PATTERN}", number, row_id, "level", "size")
+        # patterns of a few rows are joined, larger ones searched along their line
+        near = line_neighbours(keyed.filter(f"size > {FEW_ROWS}"), lean, [*group, PATTERN], number, row_id, 1, slices)
+        far = near.filter("size(near) > 0").selectExpr(
+            *group, row_id, number, "level", "near[0].value as value", "near[0].id as nn")
+        few = keyed.filter(f"size <= {FEW_ROWS}").join(
+            lean.withColumnsRenamed({number: "value", row_id: "nn"}), [*group, PATTERN]).filter(f"nn <> {row_id}")
+        hits = far.unionByName(few.select(far.columns))
+        best = f"min(struct(cast(abs(value - {number}) as double) as gap, cast(nn as bigint) as nn, level))"
+        return hits.groupBy(*group, row_id).agg(F.expr(f"{best} as best")).selectExpr(
             *group, row_id, "best.nn", "best.level as mismatches", "best.gap")
 
-    found = materialise(search(asked, wanted))
+    found = materialise(search(asked, pairs))
     edge = found.join(spans, group).filter("gap = span and span > 0")
     if edge.isEmpty():
         return found
     ends = asked.join(edge.select(*group, row_id), [*group, row_id], "left_semi")
-    further = search(ends, wanted.withColumn("level", F.col("level") + 1).filter(f"level <= {len(categories)}"))
+    beyond = pairs.select(*group, PATTERN, "level").distinct().join(ends.select(*group, PATTERN).distinct(), [*group, PATTERN])
+    beyond = wanted.join(beyond.withColumn("level", F.col("level") + 1), [*group, PATTERN]).filter(f"level <= {size}")
+    further = search(ends, patterns_at_level(beyond, patterns, group, categories))
     offers = further.filter("gap = 0").selectExpr(*group, row_id, "nn as far_nn", "mismatches as far_level", "gap as far_gap")
     wins = "coalesce(far_nn < nn, false)"
     return found.join(offers, [*group, row_id], "left").selectExpr(
@@ -180,9 +195,10 @@ def hvdm_knn(rows: DataFrame, group: Sequence[str], categories: Sequence[str], n
     """The ``k`` nearest class-1 rows of every class-1 row under the value difference metric.
 
     A radius that surely holds ``k`` neighbours comes from the row's own
-    pattern, or from nearby patterns when that is too small. Only patterns
-    within the radius are then searched, each along its number line. On dense
-    data the radius is tiny and a row meets its own pattern only.
+    pattern and from the rows next to it on the number line of its group. Only
+    patterns that can hold a row within the radius are then searched, each
+    along its number line. On dense data the radius is tiny and a row meets
+    its own pattern only.
 
     Returns (group, id, ``neighbours``: ids by distance, then id).
     """
@@ -191,36 +207,42 @@ def hvdm_knn(rows: DataFrame, group: Sequence[str], categories: Sequence[str], n
     points = materialise(rows.filter(F.col(y) == 1).selectExpr(
         *group, *categories, number, row_id, f"{pattern_text(categories)} as {PATTERN}"))
     slices = slice_count(points.count()) if slices is None else slices
-    spread = rows.groupBy(*group).agg(variance_of(rows, number).alias("var"))
-    space = class_probabilities(rows, group, categories, y).join(spread, group)
+    spread_of = rows.groupBy(*group).agg(variance_of(rows, number).alias("var"))
+    space = class_probabilities(rows, group, categories, y).join(spread_of, group)
     line = " + ".join(f"at[{i}]" for i in range(c))
-    patterns = (
+    patterns = materialise(
         points.groupBy(*group, *categories, PATTERN)
         .agg(F.count("*").alias("size"), F.min(number).alias("low"), F.max(number).alias("high"))
         .join(space, group)
         .selectExpr(*group, PATTERN, "size", "low", "high", "var", f"{coordinates(categories)} as at")
         .withColumn("along", F.expr(f"({line}) * sqrt(2D / {c})"))
     )
-    patterns = materialise(_outer_radius(patterns, group, k, c))
-
     lean = points.select(*group, PATTERN, number, row_id)
     own = line_neighbours(lean, lean, [*group, PATTERN], number, row_id, k, slices).join(
-        patterns.select(*group, PATTERN, "var", "reach"), [*group, PATTERN])
+        patterns.select(*group, PATTERN, "var"), [*group, PATTERN])
+    reach = _line_radius(lean, patterns, group, number, row_id, k, c, slices)
     gap2 = hvdm_squared("0D", f"(near[{k - 1}].value - {number})", "var")
-    own = materialise(own.withColumn("r2", F.expr(f"if(size(near) >= {k}, {gap2}, reach) * {MARGIN}")))
+    own = materialise(own.join(reach, [*group, row_id], "left").withColumn("r2", F.expr(
+        f"least(if(size(near) >= {k}, {gap2}, null), coalesce(reach, double('infinity'))) * {MARGIN}")))
 
     widest = own.groupBy(*group, PATTERN).agg(F.max("r2").alias("r2"))
     close = _close_patterns(patterns, widest, group, c)
+    outside = f"greatest(low - {number}, {number} - high, 0)"
     cross = own.select(*group, PATTERN, number, row_id, "r2", "var").join(close, [*group, PATTERN])
-    cross = cross.filter("d2 <= r2").drop(PATTERN).withColumnRenamed("other", PATTERN)
-    # pattern pairs are few per row, each is searched like the row's own pattern
-    far = line_neighbours(cross.select(*group, PATTERN, number, row_id, "d2", "var"), lean,
-                          [*group, PATTERN], number, row_id, k, slices)
-    both = own.selectExpr(*group, row_id, number, "var", "0D as d2", "near").unionByName(
-        far.selectExpr(*group, row_id, number, "var", "d2", "near"))
-    dist = hvdm_squared("d2", f"(hit.value - {number})", "var")
-    candidates = both.selectExpr(*group, row_id, number, "var", "d2", "explode(near) as hit").selectExpr(
-        *group, row_id, "hit.id as other", f"{dist} as dist2")
+    cross = cross.filter(F.expr(f"{hvdm_squared('d2', outside, 'var')} <= r2")).selectExpr(
+        *group, f"other as {PATTERN}", number, row_id, "d2", "var", "r2", "size")
+    # the line pays off only where a pattern holds more rows than it would return
+    far = line_neighbours(cross.filter(f"size > {2 * k}").drop("size"), lean, [*group, PATTERN], number, row_id, k, slices)
+    few = cross.filter(f"size <= {2 * k}").join(
+        lean.withColumnsRenamed({number: "value", row_id: "other"}), [*group, PATTERN])
+    dist = lambda value: hvdm_squared("d2", f"({value} - {number})", "var")
+    found = [
+        df.selectExpr(*group, row_id, number, "var", "r2", f"{d2} as d2", "explode(near) as hit").selectExpr(
+            *group, row_id, "r2", "hit.id as other", f"{dist('hit.value')} as dist2")
+        for df, d2 in ((own, "0D"), (far, "d2"))
+    ]
+    found.append(few.selectExpr(*group, row_id, "r2", "other", f"{dist('value')} as dist2"))
+    candidates = found[0].unionByName(found[1]).unionByName(found[2]).filter("dist2 <= r2")
     nearest = Window.partitionBy(*group, row_id).orderBy("dist2", "other")
     top = candidates.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= k)
     return top.groupBy(*group, row_id).agg(
@@ -228,26 +250,20 @@ def hvdm_knn(rows: DataFrame, group: Sequence[str], categories: Sequence[str], n
                     lambda x: F.struct(x["other"].alias("id"), x["dist2"].alias("dist2"))).alias("neighbours"))
 
 
-def _outer_radius(patterns: DataFrame, group: list[str], k: int, c: int) -> DataFrame:
-    """Adds ``reach``: a squared distance within which every row of a pattern has k others.
-
-    Looks at the k patterns on either side along the projection; for each of
-    them the farthest its rows can be is known from the number ranges.
-    """
-    over = f"over (partition by {', '.join(group)} order by along, {PATTERN})"
-    me = "named_struct('size', size, 'low', low, 'high', high, 'at', at)"
-    beside = [f"{way}({me}, {i}) {over}" for i in range(1, k + 1) for way in ("lag", "lead")]
-    worst = "greatest(abs(p.high - low), abs(high - p.low))"
-    bound = hvdm_squared(vdm_squared("p.at", "at", c), worst, "var")
-    marked = patterns.selectExpr("*", f"array({', '.join(beside)}) as beside").selectExpr(
-        "* except (beside)",
-        f"sort_array(concat(array(named_struct('d2', {hvdm_squared('0D', '(high - low)', 'var')}, 'size', size - 1)),"
-        f" transform(filter(beside, p -> p is not null), p -> named_struct('d2', {bound}, 'size', p.size)))) as rings")
-    held = "aggregate(slice(rings, 1, i), 0L, (s, r) -> s + r.size)"
-    return marked.selectExpr(
-        "* except (rings)",
-        f"coalesce(try_element_at(transform(filter(sequence(1, size(rings)), i -> {held} >= {k}),"
-        " i -> rings[i - 1].d2), 1), double('infinity')) as reach")
+def _line_radius(lean: DataFrame, patterns: DataFrame, group: list[str], number: str, row_id: str, k: int,
+                 c: int, slices: int) -> DataFrame:
+    """(group, id, ``reach``): squared distance to the k-th best of the 2k rows next on the number line."""
+    tagged = lean.select(*group, number, F.struct(row_id, PATTERN).alias("me"))
+    near = line_neighbours(tagged, tagged, group, number, "me", 2 * k, slices)
+    hits = near.select(*group, number, f"me.{row_id}", f"me.{PATTERN}", F.explode("near").alias("hit")).selectExpr(
+        *group, number, row_id, PATTERN, "hit.value as value", f"hit.id.{PATTERN} as other")
+    mine = broadcast_if_small(patterns.select(*group, PATTERN, "at", "var"))
+    theirs = broadcast_if_small(patterns.select(*group, F.col(PATTERN).alias("other"), F.col("at").alias("other_at")))
+    dist = hvdm_squared(vdm_squared("at", "other_at", c), f"(value - {number})", "var")
+    scored = hits.join(mine, [*group, PATTERN]).join(theirs, [*group, "other"]).selectExpr(
+        *group, row_id, f"{dist} as dist2")
+    return scored.groupBy(*group, row_id).agg(
+        F.try_element_at(F.sort_array(F.collect_list("dist2")), F.lit(k)).alias("reach"))
 
 
 def _close_patterns(patterns: DataFrame, widest: DataFrame, group: list[str], c: int) -> DataFrame:
@@ -264,11 +280,11 @@ def _close_patterns(patterns: DataFrame, widest: DataFrame, group: list[str], c:
     seek = placed.join(widest, [*group, PATTERN]).selectExpr(
         *group, PATTERN, "at", "r2",
         f"explode(sequence({slot(f'along - sqrt(r2) * {MARGIN}')}, {slot(f'along + sqrt(r2) * {MARGIN}')})) as bucket")
-    held = placed.selectExpr(*group, f"{PATTERN} as other", "at as other_at", f"{slot('along')} as bucket")
+    held = placed.selectExpr(*group, f"{PATTERN} as other", "at as other_at", "size", "low", "high", f"{slot('along')} as bucket")
     return (
         seek.join(held, [*group, "bucket"])
         .filter(f"{PATTERN} <> other")
         .withColumn("d2", F.expr(vdm_squared("at", "other_at", c)))
         .filter("d2 <= r2")
-        .select(*group, PATTERN, "other", "d2")
+        .select(*group, PATTERN, "other", "d2", "size", "low", "high")
     )
