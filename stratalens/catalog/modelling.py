@@ -249,7 +249,7 @@ def _(t: Tables):
     "(any_value(t.wy) * (any_value(t.w) - any_value(t.wy))), 9) AS AUC FROM cells a JOIN cells b USING (outcome) "
     "JOIN total t USING (outcome) GROUP BY a.outcome", FRAME, CELLS, TOTAL))
 def _(t: Tables):
-    return rounded(metrics.weighted_auc(scored_cells(t), BY, "prob"), "AUC", digits=9)
+    return rounded(metrics.weighted_auc(scored_cells(t), BY, "prob", slices=1), "AUC", digits=9)
 
 
 @query("weighted_auc_rows", survey(

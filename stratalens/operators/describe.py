@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.operators.ordered import running_sums
+from stratalens.runtime import materialise
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -80,6 +81,28 @@ def share_in_group(totals: DataFrame, group: str = "variable", total: str = "tot
     return totals.withColumn("share", F.try_divide(F.col(total), whole))
 
 
+def quantiles_of_counts(counts: DataFrame, item: str, value: str, n: str, probs: Mapping[str, float],
+                        slices: int | None = None) -> DataFrame:
+    """Interpolated quantiles per item of a (item, value, count) table.
+
+    Ranks come from running counts, so no task holds all values of an item.
+    """
+    points = running_sums(counts, [item], value, [n], slices)
+    totals = points.groupBy(item).agg(F.sum(n).alias("total"))
+    ranked = points.join(totals, item)
+    first, last = F.col(f"below_{n}"), F.col(f"below_{n}") + F.col(n)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((first <= rank) & (rank < last), F.col(value)))
+
+    out = []
+    for name, q in probs.items():
+        place = (F.col("total") - 1) * F.lit(float(q))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        out.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return ranked.groupBy(item).agg(*out)
+
+
 def weighted_points(long: DataFrame, item: str, value: str, weight: str,
                     slices: int | None = None) -> DataFrame:
     """Distinct values of each item with their weight and the weight below them."""
@@ -108,20 +131,21 @@ def weighted_quantiles(long: DataFrame, item: str, value: str, weight: str,
 
 
 def weighted_density(long: DataFrame, item: str, value: str, weight: str,
-                     grid_points: int = 64) -> DataFrame:
+                     grid_points: int = 64, slices: int | None = None) -> DataFrame:
     """Weighted Gaussian kernel density of each item on a grid between its extremes.
 
     The bandwidth is 0.9 min(sd, IQR / 1.34) n^(-1/5) of the unweighted values.
     Rows are reduced to distinct values first; each of them adds its kernel to
     every grid point, so the work does not depend on the row count.
     """
-    points = long.groupBy(item, value).agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    points = materialise(long.groupBy(item, value).agg(F.count("*").alias("n"), F.sum(weight).alias("w")))
     n, s, ss = F.sum("n"), F.sum(F.col(value) * F.col("n")), F.sum(F.col(value) * F.col(value) * F.col("n"))
     stats = points.groupBy(item).agg(
         n.alias("rows"), F.sum("w").alias("whole"), F.min(value).alias("low"), F.max(value).alias("high"),
         F.sqrt(F.try_divide(ss * n - s * s, n * (n - 1))).alias("sd"),
-        F.expr(f"percentile({value}, 0.75, n) - percentile({value}, 0.25, n)").alias("iqr"),
     )
+    box = quantiles_of_counts(points.select(item, value, "n"), item, value, "n", {"low4": 0.25, "high4": 0.75}, slices)
+    stats = stats.join(box, item).withColumn("iqr", F.col("high4") - F.col("low4"))
     narrow = F.least(F.col("sd"), F.when(F.col("iqr") > 0, F.col("iqr") / 1.34).otherwise(F.col("sd")))
     stats = stats.withColumn("bw", 0.9 * narrow * F.pow(F.col("rows"), F.lit(-0.2)))
     step = (F.col("high") - F.col("low")) / F.lit(grid_points - 1)
@@ -137,7 +161,8 @@ def weighted_density(long: DataFrame, item: str, value: str, weight: str,
     )
 
 
-def column_profile(df: DataFrame, numeric: Sequence[str], factors: Sequence[str] = ()) -> DataFrame:
+def column_profile(df: DataFrame, numeric: Sequence[str], factors: Sequence[str] = (),
+                   slices: int | None = None) -> DataFrame:
     """Per column: missing, complete rate, mean, sd, quartiles; distinct and top count of factors.
 
     Columns are reduced to (column, value, count) with map-side combining; all
@@ -149,6 +174,7 @@ def column_profile(df: DataFrame, numeric: Sequence[str], factors: Sequence[str]
         .unpivot([], columns, "variable", "value")
         .groupBy("variable", "value").agg(F.count("*").alias("n"))
     )
+    counts = materialise(counts)
     is_number = F.col("variable").isin(*numeric)
     known = F.when(F.col("value").isNotNull(), F.col("n"))
     mean = F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum(known))
@@ -159,15 +185,17 @@ def column_profile(df: DataFrame, numeric: Sequence[str], factors: Sequence[str]
         F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_missing"),
         F.sum("n").alias("rows"), F.sum(known).alias("known"),
         mean.alias("mean"), F.sqrt(F.when(variance < 0, 0.0).otherwise(variance)).alias("sd"),
-        F.expr("percentile(value, array(0, 0.25, 0.5, 0.75, 1), n) filter (where value is not null)").alias("q"),
         F.count("value").alias("n_unique"), F.max(known).alias("top_count"),
         F.max_by("value", F.struct(known, -F.col("value"))).alias("top_value"),
     )
+    probs = {f"p{p}": p / 100 for p in (0, 25, 50, 75, 100)}
+    numbers = counts.filter(is_number & F.col("value").isNotNull())
+    out = out.join(quantiles_of_counts(numbers, "variable", "value", "n", probs, slices), "variable", "left")
     return out.select(
         "variable", "n_missing",
         (F.coalesce(F.col("known"), F.lit(0)) / F.col("rows")).alias("complete_rate"),
         number(F.col("mean")).alias("mean"), number(F.col("sd")).alias("sd"),
-        *[number(F.col("q")[i]).alias(f"p{p}") for i, p in enumerate((0, 25, 50, 75, 100))],
+        *probs,
         F.when(~is_number, F.col("n_unique")).alias("n_unique"),
         F.when(~is_number, F.col("top_value")).alias("top_value"),
         F.when(~is_number, F.col("top_count")).alias("top_count"),

@@ -46,11 +46,13 @@ def running_sums(df: DataFrame, group: Sequence[str], order: str, sums: Sequence
                  slices: int | None = None) -> DataFrame:
     """Distinct (group, order) values with the total and the sum strictly below of each column.
 
-    Adds ``below_<c>`` per summed column ``c``.
+    Adds ``below_<c>`` per summed column ``c``. Without ``slices`` the number
+    of distinct values decides how many there are; pass 1 where it is bounded.
     """
     points_df = df.groupBy(*group, order).agg(*[F.sum(c).alias(c) for c in sums])
     if slices is None:
-        slices = 1
+        points_df = materialise(points_df)
+        slices = slice_count(points_df.count())
     points = split_points(points_df, order, slices)
     cut = points_df.withColumn("slice", slice_of(F.col(order), points))
     inside = Window.partitionBy(*group, "slice").orderBy(order)
@@ -87,6 +89,7 @@ def line_neighbours(queries: DataFrame, targets: DataFrame, group: Sequence[str]
     side only the next ``k`` distinct values can.
     """
     group = list(group)
+    slices = slice_count(targets.count()) if slices is None else slices
     smallest = Window.partitionBy(*group, value).orderBy(row_id)
     points_df = (
         targets.select(*group, value, row_id)
@@ -103,7 +106,7 @@ def line_neighbours(queries: DataFrame, targets: DataFrame, group: Sequence[str]
         .groupBy(*group, value)
         .agg(F.max("point").alias("point"), F.max(F.col("point").isNull()).alias("asked"))
     )
-    points = split_points(line, value, slices or 1)
+    points = split_points(line, value, slices)
     line = line.withColumn("slice", slice_of(F.col(value), points))
     over = f"over (partition by {', '.join([*group, 'slice'])} order by {value})"
     sides = {

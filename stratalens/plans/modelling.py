@@ -78,7 +78,7 @@ def fit_metrics(cells: DataFrame, fits: DataFrame, formula: Formula, by: Sequenc
         metrics.nagelkerke_train(fits, by)
         .join(metrics.nagelkerke_holdout(scored, by, "prob", fits if compat else None), by)
         .join(rates, by)
-        .join(metrics.weighted_auc(scored, by, "prob"), by)
+        .join(metrics.weighted_auc(scored, by, "prob", slices=1), by)
     )
 
 

@@ -112,3 +112,15 @@ def test_replicate_driver(spark):
     assert len(m) == 3 * 6 and len(c) == 3 * 13
     auc = [r["value"] for r in m if r["term"] == "AUC"]
     assert all(0.5 < x < 0.9 for x in auc)
+
+
+@pytest.mark.parametrize("slices", [1, 4])
+def test_quantiles_from_counts(spark, slices):
+    import numpy as np
+
+    values = {"a": [1, 1, 2, 5, 8, 8, 8, 13, 20], "b": [4.0], "c": [1, 2]}
+    rows = [(k, float(v), vs.count(v)) for k, vs in values.items() for v in sorted(set(vs))]
+    df = spark.createDataFrame(rows, "item string, v double, n long")
+    got = describe.quantiles_of_counts(df, "item", "v", "n", {"q1": 0.25, "q9": 0.9}, slices).collect()
+    for r in got:
+        assert (r["q1"], r["q9"]) == pytest.approx(tuple(np.quantile(values[r["item"]], [0.25, 0.9])))
