@@ -9,6 +9,7 @@ are not.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,11 +109,43 @@ def patterns_at_level(wanted: DataFrame, patterns: DataFrame, group: list[str],
     return held.join(broadcast_if_small(asked), [*group, "key"]).select(*group, PATTERN, "level", "other", "size").distinct()
 
 
+@dataclass(frozen=True)
+class HeomSpace:
+    """Target rows prepared once for any number of overlap-metric searches."""
+
+    group: list[str]
+    categories: list[str]
+    number: str
+    row_id: str
+    rows: DataFrame
+    patterns: DataFrame
+    slices: int
+
+    @classmethod
+    def of(cls, targets: DataFrame, group: Sequence[str], categories: Sequence[str], number: str, row_id: str,
+           slices: int | None = None) -> HeomSpace:
+        group, categories = list(group), list(categories)
+        rows = materialise(with_pattern(targets, group, categories, number, row_id))
+        counted = rows.groupBy(*group, *categories, PATTERN).agg(F.count("*").alias("size"))
+        patterns = materialise(spread(counted, *group, PATTERN))
+        slices = slice_count(rows.count()) if slices is None else slices
+        return cls(group, categories, number, row_id, rows, patterns, slices)
+
+
+def with_pattern(df: DataFrame, group: Sequence[str], categories: Sequence[str], number: str, row_id: str) -> DataFrame:
+    return df.selectExpr(*group, *categories, number, row_id, f"{pattern_text(categories)} as {PATTERN}")
+
+
 def heom_nearest(queries: DataFrame, targets: DataFrame, group: Sequence[str], categories: Sequence[str],
                  number: str, row_id: str, slices: int | None = None) -> DataFrame:
-    """Nearest target of every query under the overlap metric, ties to the smaller id.
+    """Nearest target of every query under the overlap metric; see :func:`heom_search`."""
+    return heom_search(queries, HeomSpace.of(targets, group, categories, number, row_id, slices))
+
+
+def heom_search(queries: DataFrame, space: HeomSpace) -> DataFrame:
+    """Nearest row of the space for every query, ties to the smaller id.
 
-    ``queries`` are rows of ``targets``. Every mismatch adds 1 to the squared
+    The queries are rows of the space. Every mismatch adds 1 to the squared
     distance and the number at most 1, so a row's neighbour lies in a pattern
     with the fewest mismatches. These patterns are found on the pattern table,
     and only they are searched, each along its number line.
@@ -123,12 +156,9 @@ def heom_nearest(queries: DataFrame, targets: DataFrame, group: Sequence[str], c
     Returns (group, id, ``nn``, ``mismatches``, ``gap``); queries alone in
     their group have no row.
     """
-    group, size = list(group), len(categories)
-    pattern = f"{pattern_text(categories)} as {PATTERN}"
-    rows = materialise(targets.selectExpr(*group, *categories, number, row_id, pattern))
-    slices = slice_count(rows.count()) if slices is None else slices
-    asked = materialise(queries.selectExpr(*group, *categories, number, row_id, pattern))
-    patterns = materialise(spread(rows.groupBy(*group, *categories, PATTERN).agg(F.count("*").alias("size")), *group, PATTERN))
+    group, categories, number, row_id = space.group, space.categories, space.number, space.row_id
+    rows, patterns, slices, size = space.rows, space.patterns, space.slices, len(space.categories)
+    asked = materialise(with_pattern(queries, group, categories, number, row_id))
     spans = rows.groupBy(*group).agg((F.max(number) - F.min(number)).cast("double").alias("span"))
     wanted = materialise(spread(asked.select(*group, *categories, PATTERN).distinct(), *group, PATTERN))
     pairs = materialise(nearest_patterns(wanted, patterns, group, categories))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.operators.neighbours import heom_nearest, hvdm_knn
+from stratalens.operators.neighbours import HeomSpace, heom_search, hvdm_knn
 from stratalens.operators.ordered import slice_count, smallest_by_hash
 from stratalens.runtime import materialise, spread
 
@@ -23,10 +23,11 @@ def tomek_links(rows: DataFrame, group: Sequence[str], categories: Sequence[str]
     rows that were found.
     """
     group = list(group)
-    first = materialise(heom_nearest(rows.filter(F.col(y) == 1), rows, group, categories, number, row_id, slices))
+    space = HeomSpace.of(rows, group, categories, number, row_id, slices)
+    first = heom_search(rows.filter(F.col(y) == 1), space)
     met = first.select(*group, F.col("nn").alias(row_id)).distinct()
     candidates = rows.filter(F.col(y) == 0).join(met, [*group, row_id], "left_semi")
-    second = heom_nearest(candidates, rows, group, categories, number, row_id, slices)
+    second = heom_search(candidates, space)
     out = first.select(*group, F.col(row_id).alias("minority"), F.col("nn").alias("majority"))
     back = second.select(*group, F.col(row_id).alias("majority"), F.col("nn").alias("minority"))
     return out.join(back, [*group, "majority", "minority"])
