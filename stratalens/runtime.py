@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context.
+
+    Functions that run in workers are pickled by reference, so the workers must
+    be able to import them from wherever the driver was started.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_stratalens_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="ship-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._stratalens_shipped = True
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage at reliable storage so lost executors cost no recomputation."""
     folder = shared_dir(df.sparkSession)
