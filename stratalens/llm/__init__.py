@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ["toxicity"]
+PARTS = ["quality", "language", "toxicity"]
 
 
 def load():

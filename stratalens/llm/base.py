@@ -39,15 +39,16 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds about ``limit`` bytes of text; a longer text comes alone."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES,
+                rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each holds at most ``limit`` bytes of text and ``rows`` texts; a longer text comes alone."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes.astype(np.int64))
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + limit, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 
