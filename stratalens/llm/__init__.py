@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ["quality", "language", "mixing", "toxicity"]
+PARTS = ["quality", "language", "mixing", "toxicity", "packing"]
 
 
 def load():
