@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ["quality", "sharding", "language", "mixing", "toxicity", "packing"]
+PARTS = ["quality", "sharding", "language", "mixing", "rules", "toxicity", "packing"]
 
 
 def load():
