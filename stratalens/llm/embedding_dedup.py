@@ -151,11 +151,11 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
 
 SQL = """
 with recursive good as (
-  select vec_id, label, list_transform(embedding, x -> cast(x as double)) as v
+  select vec_id, label, cast(embedding as double[]) as v
   from embeddings
   where vec_id is not null and label is not null and embedding is not null
-    and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x)))
-    and list_bool_or(list_transform(embedding, x -> x <> 0))),
+    and list_bool_and([x is not null and isfinite(x) for x in embedding])
+    and list_bool_or([x <> 0 for x in embedding])),
 unit as (select vec_id, label, v, sqrt(list_inner_product(v, v)) as norm from good),
 link as (
   select a.vec_id as a, b.vec_id as b from unit a join unit b on a.label = b.label and a.vec_id <> b.vec_id
