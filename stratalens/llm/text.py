@@ -30,8 +30,11 @@ class Words:
     the words of each text begin, with the total at the end. A null text has no words.
     """
 
-    def __init__(self, texts: list[str | None], member: np.ndarray = NON_SPACE, lower: bool = False):
+    def __init__(self, texts: list[str | None], member: np.ndarray = NON_SPACE, lower: bool = False,
+                 lower_ascii: bool = False):
         raw = [("" if t is None else t.lower() if lower else t).encode("utf-8", "surrogatepass") for t in texts]
+        if lower_ascii:
+            raw = [r.lower() for r in raw]
         self.buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8) if raw else np.zeros(0, np.uint8)
         self.sizes = np.fromiter((len(r) for r in raw), np.int64, len(raw))
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes + 1)])
@@ -74,3 +77,29 @@ def windows(h: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     left = np.repeat(bounds[1:], counts)[:len(total)] - np.arange(len(total))
     at = np.flatnonzero(left >= n)
     return mix(total[at] + np.uint64(n)), at
+
+
+def shingles(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed n-word shingles of each text, as (text, hash) sorted by both; words with A-Z lower-cased.
+
+    A text of fewer words is one shingle of all of them; one without words has none.
+    """
+    words = Words(texts, lower_ascii=True)
+    h = words.hashes()[0]
+    found, at = windows(h, words.bounds, n)
+    doc, parts = words.doc[at], [found]
+    counts = np.diff(words.bounds)
+    docs = [doc]
+    for k in range(1, n):
+        short = np.flatnonzero(counts == k)
+        total = np.zeros(len(short), np.uint64)
+        for j in range(k):
+            total = total * MIX1 + h[words.bounds[short] + j]
+        parts.append(mix(total + np.uint64(k)))
+        docs.append(short)
+    doc, found = np.concatenate(docs), np.concatenate(parts)
+    order = np.lexsort((found, doc))
+    doc, found = doc[order], found[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])
+    return doc[new], found[new]
