@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ["embedding_dedup", "quality", "ngram_join", "sharding", "language", "mixing", "rules", "toxicity", "packing"]
+PARTS = ["pii", "embedding_dedup", "quality", "ngram_join", "sharding", "language", "mixing", "rules", "toxicity",
+         "packing"]
 
 
 def load():
