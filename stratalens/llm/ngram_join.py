@@ -29,7 +29,7 @@ from stratalens.llm.text import mix, shingles
 
 ORDERS = 3
 TILE = 512
-CHUNK_TOKENS = 1 << 22
+CHUNK_TOKENS = 1 << 20
 BUCKET_TOKENS = 1 << 20
 HOT_SHARE = 1000
 HOT_LEAST = 64
