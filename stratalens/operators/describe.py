@@ -134,7 +134,8 @@ def weighted_density(long: DataFrame, item: str, value: str, weight: str,
                      grid_points: int = 64, slices: int | None = None) -> DataFrame:
     """Weighted Gaussian kernel density of each item on a grid between its extremes.
 
-    The bandwidth is 0.9 min(sd, IQR / 1.34) n^(-1/5) of the unweighted values.
+    The bandwidth is 0.9 min(sd, IQR / 1.34) n^(-1/5) of the unweighted values; where
+    that is zero the sd, the value itself or 1 takes the place of the minimum, in this order.
     Rows are reduced to distinct values first; each of them adds its kernel to
     every grid point, so the work does not depend on the row count.
     """
@@ -146,15 +147,16 @@ def weighted_density(long: DataFrame, item: str, value: str, weight: str,
     )
     box = quantiles_of_counts(points.select(item, value, "n"), item, value, "n", {"low4": 0.25, "high4": 0.75}, slices)
     stats = stats.join(box, item).withColumn("iqr", F.col("high4") - F.col("low4"))
-    narrow = F.least(F.col("sd"), F.when(F.col("iqr") > 0, F.col("iqr") / 1.34).otherwise(F.col("sd")))
-    stats = stats.withColumn("bw", 0.9 * narrow * F.pow(F.col("rows"), F.lit(-0.2)))
+    narrow = F.least(F.col("sd"), F.col("iqr") / 1.34)
+    width = F.coalesce(*[F.when(x > 0, x) for x in (narrow, F.col("sd"), F.abs(F.col("low")))], F.lit(1.0))
+    stats = stats.withColumn("bw", 0.9 * width * F.pow(F.col("rows"), F.lit(-0.2)))
     step = (F.col("high") - F.col("low")) / F.lit(grid_points - 1)
     at = F.col("low") + F.col("slot") * step
     z = (F.col("at") - F.col(value)) / F.col("bw")
     kernel = F.col("w") * F.exp(-0.5 * z * z)
     norm = F.first("whole") * F.first("bw") * F.lit((2 * 3.141592653589793) ** 0.5)
     return (
-        points.join(stats, item).filter("bw > 0")
+        points.join(stats, item)
         .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))))
         .withColumn("at", at)
         .groupBy(item, "slot", "at").agg((F.sum(kernel) / norm).alias("density"))

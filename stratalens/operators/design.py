@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalens.operators.logit import Formula
+from stratalens.runtime import ship_package
 
 
 @dataclass(frozen=True)
@@ -76,6 +77,7 @@ def linearised_variance(cells: DataFrame, fits: DataFrame, by: Sequence[str], fo
             f"sum({factor} * d{i} * d{j})" for i in range(k) for j in range(i, k)) + ") as meat"),
     )
     joined = fits.join(meat, by)
+    ship_package(fits.sparkSession)
     schema = T.StructType([f for f in joined.schema.fields if f.name != "meat"]
                           + [T.StructField("vcov", T.ArrayType(T.DoubleType()))])
     names = schema.fieldNames()
@@ -99,14 +101,20 @@ def student_p(t: np.ndarray, df: float) -> np.ndarray:
     """Two-sided p-value of Student's t (normal limit for large df, NaN without df)."""
     if not df > 0:
         return np.full(np.shape(t), np.nan)
-    grid = np.linspace(0.0, 1.0, 2001)
-    simpson = np.ones(2001)
+    grid = np.linspace(0.0, 1.0, 4001)
+    simpson = np.ones(4001)
     simpson[1:-1:2], simpson[2:-1:2] = 4.0, 2.0
-    # the integrand narrows with df; past the limit nothing is left of it
-    limit = min(np.pi / 2, 40.0 / np.sqrt(df))
-    upper = np.minimum(np.arctan(np.abs(np.asarray(t, dtype=float)) / np.sqrt(df)), limit)
-    area = lambda top: top / 6000.0 * (simpson * np.cos(np.multiply.outer(top, grid)) ** (df - 1)).sum(-1)
-    return np.clip(1.0 - area(upper) / area(np.asarray(limit)), 0.0, 1.0)
+
+    def tail(low):
+        """Area from ``low`` to where the integrand has fallen by e^-40: the tail itself, so small values keep digits."""
+        at = np.asarray(low, dtype=float)[..., None]
+        drop = np.exp(-40.0 / max(df - 1, 1.0)) if df > 1 else 0.0
+        high = np.minimum(np.arccos(np.clip(np.cos(at) * drop, 0.0, 1.0)), np.pi / 2)
+        x = at + (high - at) * grid
+        return ((high - at)[..., 0] / 12000.0) * (simpson * np.cos(x) ** (df - 1)).sum(-1)
+
+    start = np.arctan(np.abs(np.asarray(t, dtype=float)) / np.sqrt(df))
+    return np.clip(tail(start) / tail(np.zeros(())), 0.0, 1.0)
 
 
 def map_fits(fits: DataFrame, keep: Sequence[str], fields: Sequence[T.StructField],
@@ -114,6 +122,7 @@ def map_fits(fits: DataFrame, keep: Sequence[str], fields: Sequence[T.StructFiel
     """Expand each fit (one row) to the rows ``fn`` makes of it."""
     schema = T.StructType([f for f in fits.schema.fields if f.name in keep] + list(fields))
     names = schema.fieldNames()
+    ship_package(fits.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.operators.describe import modal_frequency_row
+from stratalens.schema import NEVER_USED
 
 
 def guttman_order_check(ages: Sequence[Column]) -> Column:
@@ -23,11 +24,12 @@ def guttman_inversions(ages: Sequence[Column]) -> Column:
 
 
 def guttman_scales(df: DataFrame, orderings: Mapping[str, Sequence[str]],
-                   used: Mapping[str, Sequence[str]], classical: bool = False) -> DataFrame:
+                   used: Mapping[str, Sequence[str]], classical: bool = False, known: Sequence[str] = ()) -> DataFrame:
     """CR and CS of several item orders.
 
     ``orderings`` maps a label to its columns, easiest item first; ``used``
-    gives the EVER columns of which one must be nonzero. Rows are first
+    gives the EVER columns of which one must be nonzero; rows with a NULL in one
+    of ``known`` are left out. A NULL age counts as never used. Rows are first
     counted per distinct age pattern; errors and modal counts then come from
     the pattern table.
     """
@@ -35,12 +37,13 @@ def guttman_scales(df: DataFrame, orderings: Mapping[str, Sequence[str]],
         F.when(
             reduce(lambda a, b: a | b, [F.col(c) != 0 for c in used[label]]),
             F.struct(F.lit(label).alias("scale"),
-                     F.array(*[F.col(c).cast("int") for c in columns]).alias("ages")),
+                     F.array(*[F.coalesce(F.col(c).cast("int"), F.lit(NEVER_USED)) for c in columns]).alias("ages")),
         )
         for label, columns in orderings.items()
     ]
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in known], F.lit(True))
     patterns = (
-        df.select(F.explode(F.array(*entries)).alias("e")).filter("e is not null")
+        df.withColumn("complete", complete).select("complete", F.explode(F.array(*entries)).alias("e")).filter("e is not null and complete")
         .groupBy("e.scale", "e.ages").agg(F.count("*").alias("n"))
     )
     width = len(next(iter(orderings.values())))
@@ -78,14 +81,19 @@ def guttman_ages(df: DataFrame, compat: bool = False) -> DataFrame:
 
 def guttman_all(df: DataFrame, items: Sequence[str], compat: bool = False,
                 digits: int = 3) -> DataFrame:
-    """CR and CS for every item and both orders (with and without vaping)."""
+    """CR and CS for every item and both orders (with and without vaping).
+
+    A missing age counts as never used. Rows without any use, or with an
+    unknown flag of any item, are left out first.
+    """
+    flags = [c for c in df.columns if c.startswith("EVER_")]
     scales, used = {}, {}
     for item in items:
         for first in ("FSM", "NIC"):
             label = f"{first}.{item}"
             scales[label] = [first, "ALC", "MRJ", item]
             used[label] = [f"EVER_{i}" for i in ("ALC", "FSM", "VAP", "MRJ", item)]
-    result = guttman_scales(guttman_ages(df, compat), scales, used)
+    result = guttman_scales(guttman_ages(df, compat), scales, used, known=flags)
     return result.select(
         F.substring_index("scale", ".", 1).alias("first_item"),
         F.substring_index("scale", ".", -1).alias("item"),

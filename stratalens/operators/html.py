@@ -67,10 +67,15 @@ def grid_cells(tables: DataFrame, ids: Sequence[str] = ("page_id",)) -> DataFram
 
 def header_column_filter(tables: DataFrame, names: Sequence[str], unwanted: str = "Number",
                          header_rows: int = 2, ids: Sequence[str] = ("page_id",)) -> DataFrame:
-    """Drop columns whose last header cell matches ``unwanted``; name the rest; drop header rows."""
+    """Drop columns whose last header cell matches ``unwanted``; name the rest; drop header rows.
+
+    More columns to keep than ``names`` are an error.
+    """
     header = F.element_at("grid", header_rows)
     kept = F.filter(F.sequence(F.lit(1), F.size(header)),
                     lambda c: ~F.coalesce(F.element_at(header, c).rlike(unwanted), F.lit(False)))
+    message = F.format_string(f"%d columns to keep, {len(names)} names", F.size(kept))
+    kept = F.when(F.size(kept) <= len(names), kept).otherwise(F.raise_error(message))
     body = F.filter("grid", lambda r, i: i >= header_rows)
     rows = tables.filter(F.size("grid") > header_rows).select(
         *ids, kept.alias("kept"), F.explode(body).alias("cells"))

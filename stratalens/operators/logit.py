@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratalens.runtime import ship_package
+
 MAX_ITERATIONS = 25
 TOLERANCE = 1e-11
 SEPARATED = 1e-8  # a fitted probability this close to 0 or 1 means the data are separated
@@ -43,15 +45,22 @@ class Formula:
 
     def design_sql(self) -> list[str]:
         """One SQL expression per term: the columns of the design matrix."""
-        dummies = [f"if({v} = {level}, 1, 0)" for v, levels in self.factors.items() for level in levels[1:]]
+        dummies = [f"if({self.known_sql(v)} = {level}, 1, 0)" for v, levels in self.factors.items() for level in levels[1:]]
         return ["1", *dummies, *self.numbers]
 
+    def known_sql(self, v: str) -> str:
+        """A factor as it is; a level outside its list is an error, as no model has a term for it."""
+        levels = ", ".join(map(str, self.factors[v]))
+        return (f"case when {v} is null or {v} in ({levels}) then {v} "
+                f"else raise_error(concat('unknown level of {v}: ', {v})) end")
+
     def eta_sql(self, coef: str) -> str:
-        """Linear predictor from an array column of coefficients; NULL for an unknown level."""
+        """Linear predictor from an array column of coefficients; an unknown level is an error."""
         parts, at = [f"coalesce({coef}[0], 0D)"], 1
         for v, levels in self.factors.items():
             arms = "".join(f" when {level} then coalesce({coef}[{at + i}], 0D)" for i, level in enumerate(levels[1:]))
-            parts.append(f"case {v} when {levels[0]} then 0D{arms} end")
+            other = f"if({v} is null, cast(null as double), cast(raise_error(concat('unknown level of {v}: ', {v})) as double))"
+            parts.append(f"case {v} when {levels[0]} then 0D{arms} else {other} end")
             at += len(levels) - 1
         parts += [f"coalesce({coef}[{at + i}], 0D) * {v}" for i, v in enumerate(self.numbers)]
         return " + ".join(parts)
@@ -145,9 +154,10 @@ def svy_logistic(cells: DataFrame, by: Sequence[str], formula: Formula, w: str =
     """One weighted logistic regression per group of cells.
 
     A group holds at most the product of the factor levels, whatever the size
-    of the table behind it. Aliased terms get a NULL coefficient; separation
-    shows as ``converged = false``.
+    of the table behind it: a level outside its list is an error. Aliased terms
+    get a NULL coefficient; separation shows as ``converged = false``.
     """
+    ship_package(cells.sparkSession)
     by = list(by)
     schema = fit_schema([cells.schema[b] for b in by])
     names = schema.fieldNames()
@@ -157,7 +167,8 @@ def svy_logistic(cells: DataFrame, by: Sequence[str], formula: Formula, w: str =
         keys = {b: pdf[b].iloc[0] for b in by}
         return pd.DataFrame([{**keys, **found, "rows": int(pdf[n].sum())}], columns=names)
 
-    slim = cells.select(*by, *formula.variables, w, wy, n).dropna(subset=formula.variables)
+    factors = [F.expr(formula.known_sql(v)).alias(v) for v in formula.factors]
+    slim = cells.select(*by, *factors, *formula.numbers, w, wy, n).dropna(subset=formula.variables)
     return slim.groupBy(*by).applyInPandas(solve, schema)
 
 

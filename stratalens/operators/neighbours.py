@@ -25,14 +25,19 @@ FEW_ROWS = 10
 MARGIN = 1.0 + 1e-9  # keeps float rounding from cutting off a candidate
 
 
+def category_text(category: str) -> str:
+    """A category as text in which the separator and the marks cannot occur; NULL stays NULL."""
+    return f"replace(replace(cast({category} as string), '^', '^^'), '|', '^p')"
+
+
 def pattern_text(categories: Sequence[str]) -> str:
-    """Category pattern of a row as one text; NULL has its own mark."""
-    return "concat_ws('|', " + ", ".join(f"coalesce(cast({c} as string), '~')" for c in categories) + ")"
+    """Category pattern of a row as one text; different patterns never share one. NULL has its own mark."""
+    return "concat_ws('|', " + ", ".join(f"coalesce({category_text(c)}, '^n')" for c in categories) + ")"
 
 
 def masked_key(categories: Sequence[str], mask: str = "mask") -> str:
     """Pattern with the categories of a bit mask hidden; NULL when a shown category is."""
-    parts = [f"if({mask} & {1 << i} > 0, '*', cast({c} as string))" for i, c in enumerate(categories)]
+    parts = [f"if({mask} & {1 << i} > 0, '^x', {category_text(c)})" for i, c in enumerate(categories)]
     return "concat(" + ", '|', ".join(parts) + ")"
 
 
@@ -148,33 +153,47 @@ def heom_search(queries: DataFrame, space: HeomSpace) -> DataFrame:
     The queries are rows of the space. Every mismatch adds 1 to the squared
     distance and the number at most 1, so a row's neighbour lies in a pattern
     with the fewest mismatches. These patterns are found on the pattern table,
-    and only they are searched, each along its number line.
+    and only they are searched, each along its number line. A missing number is
+    as far from any other as the whole range; rows with one are offered by id.
 
     A best gap equal to the whole range ties with an equal number one mismatch
     further away; such rows are looked up there as well.
 
-    Returns (group, id, ``nn``, ``mismatches``, ``gap``); queries alone in
-    their group have no row.
+    Returns (group, id, ``nn``, ``mismatches``, ``gap``: the whole range where a
+    number is missing); queries alone in their group have no row.
     """
     group, categories, number, row_id = space.group, space.categories, space.number, space.row_id
     rows, patterns, slices, size = space.rows, space.patterns, space.slices, len(space.categories)
     asked = materialise(with_pattern(queries, group, categories, number, row_id))
-    spans = rows.groupBy(*group).agg((F.max(number) - F.min(number)).cast("double").alias("span"))
+    spans = broadcast_if_small(materialise(
+        rows.groupBy(*group).agg((F.max(number) - F.min(number)).cast("double").alias("span"))))
     wanted = materialise(spread(asked.select(*group, *categories, PATTERN).distinct(), *group, PATTERN))
     pairs = materialise(nearest_patterns(wanted, patterns, group, categories))
     lean = rows.select(*group, PATTERN, number, row_id)
+    # of each pattern the smallest id without a number, and the two smallest of all
+    firsts = lean.groupBy(*group, PATTERN).agg(
+        F.expr(f"min(if({number} is null, {row_id}, null)) as blank"), F.min(row_id).alias("low"))
+    seconds = lean.join(firsts, [*group, PATTERN]).filter(f"{row_id} > low").groupBy(*group, PATTERN).agg(
+        F.min(row_id).alias("next"))
+    firsts = firsts.join(seconds, [*group, PATTERN], "left")
 
     def search(who: DataFrame, pairs: DataFrame) -> DataFrame:
         keyed = who.select(*group, PATTERN, number, row_id).join(pairs, [*group, PATTERN]).selectExpr(
             *group, f"other as {PATTERN}", number, row_id, "level", "size")
         # patterns of a few rows are joined, larger ones searched along their line
-        near = line_neighbours(keyed.filter(f"size > {FEW_ROWS}"), lean, [*group, PATTERN], number, row_id, 1, slices)
+        large = keyed.filter(f"size > {FEW_ROWS}")
+        near = line_neighbours(large.filter(f"{number} is not null"), lean.filter(f"{number} is not null"),
+                               [*group, PATTERN], number, row_id, 1, slices)
         far = near.filter("size(near) > 0").selectExpr(
             *group, row_id, number, "level", "near[0].value as value", "near[0].id as nn")
+        far_off = large.join(firsts, [*group, PATTERN]).selectExpr(
+            *group, row_id, number, "level", f"if({number} is null, {number}, null) as value",
+            f"if({number} is not null, blank, if(low = {row_id}, next, low)) as nn").filter("nn is not null")
         few = keyed.filter(f"size <= {FEW_ROWS}").join(
             lean.withColumnsRenamed({number: "value", row_id: "nn"}), [*group, PATTERN]).filter(f"nn <> {row_id}")
-        hits = far.unionByName(few.select(far.columns))
-        best = f"min(struct(cast(abs(value - {number}) as double) as gap, cast(nn as bigint) as nn, level))"
+        hits = far.unionByName(far_off).unionByName(few.select(far.columns)).join(spans, group, "left")
+        gap = f"cast(coalesce(abs(value - {number}), span, 0) as double)"
+        best = f"min(struct({gap} as gap, cast(nn as bigint) as nn, level))"
         return hits.groupBy(*group, row_id).agg(F.expr(f"{best} as best")).selectExpr(
             *group, row_id, "best.nn", "best.level as mismatches", "best.gap")
 
@@ -209,14 +228,14 @@ def class_probabilities(rows: DataFrame, group: Sequence[str], categories: Seque
     """
     group = list(group)
     counts = rows.groupBy(*group, *categories).agg(F.count("*").alias("n"), F.sum(y).alias("ones"))
-    entries = ", ".join(f"concat('{c}=', coalesce(cast({c} as string), '~'))" for c in categories)
+    entries = ", ".join(f"concat('{c}=', coalesce({category_text(c)}, '^n'))" for c in categories)
     long = counts.selectExpr(*group, f"explode(array({entries})) as value", "n", "ones")
     p = long.groupBy(*group, "value").agg((F.sum("ones") / F.sum("n")).alias("p"))
     return p.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("value", "p"))).alias("p_one"))
 
 
 def coordinates(categories: Sequence[str], probabilities: str = "p_one") -> str:
-    parts = [f"try_element_at({probabilities}, concat('{c}=', coalesce(cast({c} as string), '~')))" for c in categories]
+    parts = [f"try_element_at({probabilities}, concat('{c}=', coalesce({category_text(c)}, '^n')))" for c in categories]
     return f"array({', '.join(parts)})"
 
 

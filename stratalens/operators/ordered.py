@@ -18,11 +18,10 @@ from pyspark.sql import functions as F
 from stratalens.runtime import broadcast_if_small, materialise
 
 ROWS_PER_SLICE = 2_000_000
-MAX_SLICES = 4_096
 
 
 def slice_count(n_rows: int, rows_per_slice: int = ROWS_PER_SLICE) -> int:
-    return max(1, min(MAX_SLICES, -(-n_rows // rows_per_slice)))
+    return max(1, -(-n_rows // rows_per_slice))
 
 
 def split_points(df: DataFrame, value: str, slices: int) -> list[float]:
@@ -38,8 +37,24 @@ def slice_of(value: Column, points: Sequence[float]) -> Column:
     """Index of the slice a value belongs to: the number of cut points below it."""
     if not points:
         return F.lit(0)
+    number = value.cast("double")
+
+    def below(low: int, high: int) -> Column:
+        """Binary search among the cut points: one comparison per halving."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(number > F.lit(float(points[middle])), below(middle + 1, high)).otherwise(below(low, middle))
+
+    if len(points) <= 64:
+        return below(0, len(points))
+    # a first step of 64 keeps the expression small
+    step = -(-len(points) // 64)
     cuts = F.array(*[F.lit(float(p)) for p in points])
-    return F.size(F.filter(cuts, lambda c: c < value.cast("double")))
+    heads = [float(p) for p in points[::step]]
+    block = F.size(F.filter(F.array(*map(F.lit, heads)), lambda c: c < number)) - 1
+    inner = F.slice(cuts, F.greatest(block * step, F.lit(0)) + 1, step)
+    return F.when(block < 0, 0).otherwise(block * step + F.size(F.filter(inner, lambda c: c < number)))
 
 
 def running_sums(df: DataFrame, group: Sequence[str], order: str, sums: Sequence[str],

@@ -62,4 +62,4 @@ def test_split_points_are_bounded(spark):
     df = spark.range(1000).withColumn("x", F.col("id") * F.col("id"))
     points = ordered.split_points(df, "x", 8)
     assert len(points) == 7 and points == sorted(points)
-    assert ordered.slice_count(10**13) == ordered.MAX_SLICES and ordered.slice_count(5) == 1
+    assert ordered.slice_count(10**13) == 5_000_000 and ordered.slice_count(5) == 1
