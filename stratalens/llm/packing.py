@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from stratalens import runtime
 from stratalens.llm.base import query, table, text_slices
@@ -77,25 +78,27 @@ def word_tokens(path: str) -> WordTokens:
 
 
 class Windows:
-    """Open windows of one task, best fit; ``place`` returns the window and the offset of a piece."""
+    """Open windows of one task, best fit; ``place`` returns the window and the offset of a piece.
+
+    ``closed`` collects the windows that nothing more goes into, until the caller takes them.
+    """
 
     def __init__(self, length: int, most: int):
-        self.length, self.most, self.count, self.open = length, most, 0, []
+        self.length, self.most, self.count, self.open, self.closed = length, most, 0, [], []
 
     def place(self, size: int) -> tuple[int, int]:
-        if size >= self.length:
-            self.count += 1
-            return self.count - 1, 0
         at = bisect_left(self.open, (size, -1))
         if at < len(self.open):
             room, window = self.open.pop(at)
         else:
-            if len(self.open) == self.most:
-                self.open.pop(0)
+            if len(self.open) == self.most and size < self.length:
+                self.closed.append(self.open.pop(0)[1])
             room, window = self.length, self.count
             self.count += 1
         if room > size:
             insort(self.open, (room - size, window))
+        else:
+            self.closed.append(window)
         return window, self.length - room
 
 
@@ -106,51 +109,53 @@ def pack(docs: DataFrame, *, tokenizer: str, id_col="doc_id", text_col="text", l
     ``ids``: the piece's token ids as little-endian unsigned 32-bit binary. A document is its text's ids and the id 1 at
     the end; a null or empty text is that id alone. Documents longer than a sequence are cut into whole sequences and a
     rest. Repeated rows are packed each for itself; a null id stays null; an empty table gives no pieces.
+
+    A piece leaves its task when its window is closed; those of the few windows left open at the end are marked, and
+    only they meet the merged sequences in a join.
     """
     spark = docs.sparkSession
     runtime.ship_package(spark)
     end = np.array([END_ID], "<u4").tobytes()
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "part", "window", "offset"]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    id_type = to_arrow_type(rows.schema["doc_id"].dataType)
+    schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
+                        ("doc_tokens", pa.int64()), ("part", pa.int64()), ("window", pa.int64()), ("offset", pa.int64()),
+                        ("open", pa.bool_())])
 
     def run(batches):
         part, tokens, windows = TaskContext.get().partitionId(), word_tokens(tokenizer), Windows(length, open_windows)
-        kind = None
+        held: dict[int, list[tuple]] = {}
+
+        def pieces(of, still_open):
+            found = [(*piece, part, w, *place, still_open) for w in of for *piece, place in held.pop(w)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*found), schema.types)], schema=schema)
+
         for batch in text_slices(batches, "text"):
-            kind = batch.schema.field("doc_id").type
-            owner, start, size, ids, whole, window, offset = [], [], [], [], [], [], []
-            for i, raw in enumerate(tokens.encode(batch.column("text").to_pylist())):
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), tokens.encode(batch.column("text").to_pylist())):
                 raw += end
                 n = len(raw) // 4
                 for first in range(0, n, length):
                     piece = raw[4 * first:4 * (first + length)]
-                    w, o = windows.place(len(piece) // 4)
-                    owner.append(i), start.append(first), size.append(len(piece) // 4), ids.append(piece)
-                    whole.append(n), window.append(w), offset.append(o)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(start, pa.int64()),
-                 pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.array(whole, pa.int64()),
-                 pa.array([part] * len(owner), pa.int64()), pa.array(window, pa.int64()), pa.array(offset, pa.int64())],
-                names)
-        if windows.open:  # the rows of windows that are still open: no document, ``length`` is their fill
-            n = len(windows.open)
-            empty = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, kind), empty, pa.array([length - r for r, _ in windows.open], pa.int64()),
-                 pa.nulls(n, pa.binary()), empty, pa.array([part] * n, pa.int64()),
-                 pa.array([w for _, w in windows.open], pa.int64()), empty], names)
+                    w, offset = windows.place(len(piece) // 4)
+                    held.setdefault(w, []).append((doc, first, len(piece) // 4, piece, n, (offset,)))
+            if windows.closed:
+                yield pieces(windows.closed, False)
+                windows.closed = []
+        if held:
+            yield pieces(sorted(held), True)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     path = runtime.scratch_path(spark, "pieces")
     rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, length long, ids binary, "
-                         "doc_tokens long, part long, window long, offset long").write.parquet(path)
+                         "doc_tokens long, part long, window long, offset long, open boolean").write.parquet(path)
     made = spark.read.parquet(path)
-    moved = _merge(made.filter("start is null").select("part", "window", F.col("length").alias("fill")),
-                   length, open_windows)
-    final = made.filter("start is not null").join(moved, ["part", "window"], "left")
-    return final.select(
-        "doc_id", "start", "length", "ids", "doc_tokens",
-        F.expr("coalesce(merged, part << 32 | window)").alias("sequence_id"),
-        (F.col("offset") + F.coalesce(F.col("base"), F.lit(0))).alias("offset"))
+    columns = ["doc_id", "start", "length", "ids", "doc_tokens"]
+    done = made.filter("not open").select(
+        *columns, F.expr("part << 32 | window").alias("sequence_id"), "offset")
+    left = made.filter("open")
+    moved = _merge(left.groupBy("part", "window").agg(F.sum("length").alias("fill")), length, open_windows)
+    return done.union(left.join(moved, ["part", "window"]).select(
+        *columns, F.col("merged").alias("sequence_id"), (F.col("offset") + F.col("base")).alias("offset")))
 
 
 def _merge(left: DataFrame, length: int, most: int) -> DataFrame:
