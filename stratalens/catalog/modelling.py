@@ -323,49 +323,81 @@ def group_fits(t: Tables):
 
 def coef_records(t: Tables, fits=None):
     fits = group_fits(t)[1] if fits is None else fits
-    return logit.coefficients(fits, KEYS, GENDER).filter("estimate is not null and converged").select(
-        *KEYS, "term", F.col("estimate").alias("value"))
+    return logit.coefficients(fits, KEYS, GENDER).filter("estimate is not null").select(
+        *KEYS, "term", F.col("estimate").alias("value"), "converged")
 
 
+def digits(name: str, places: int = 4):
+    """Significant digits: a separated fit has estimates of any size, exact to a few digits only."""
+    return F.format_string(f"%.{places - 1}e", name).cast("double").alias(name)
+
+
+def digits_sql(expression: str, name: str, places: int = 4) -> str:
+    return f"CAST(printf('%.{places - 1}e', {expression}) AS DOUBLE) AS {name}"
+
+
+# the model of one factor is saturated, so a Newton step moves each cell by itself; the fit ends by the deviance of all
+# log of the probability of a 0, or with a minus sign of a 1, kept exact far from zero
+LOG_P = "CASE WHEN {s}{e} < -15 THEN -exp({s}{e}) * (1 - exp({s}{e}) / 2) ELSE -ln(1 + exp({s}{e})) END"
 RECORDS = [
     "gframe AS MATERIALIZED (" + " UNION ALL ".join(
         f"SELECT '{h}' AS outcome, CAST(rid % 10 AS INTEGER) AS replicate, GENDER, ANALWT2_C AS w, EVER_{h} AS y FROM analysis"
         for h in s.HARD) + ")",
-    "gcells AS MATERIALIZED (SELECT * FROM (SELECT outcome, replicate, GENDER, CAST(sum(w * y) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS p "
-    "FROM gframe GROUP BY ALL) QUALIFY min(p) OVER (PARTITION BY outcome, replicate) > 0 AND max(p) OVER (PARTITION BY outcome, replicate) < 1)",
-    "records AS MATERIALIZED (SELECT a.outcome, a.replicate, '(Intercept)' AS term, ln(a.p / (1 - a.p)) AS value FROM gcells a WHERE GENDER = 1 "
-    "UNION ALL SELECT a.outcome, a.replicate, 'GENDER2', ln(a.p / (1 - a.p)) - ln(b.p / (1 - b.p)) FROM gcells a "
-    "JOIN gcells b USING (outcome, replicate) WHERE a.GENDER = 2 AND b.GENDER = 1)",
+    "start AS (SELECT *, sum(wy) OVER g / sum(w) OVER g AS r FROM (SELECT outcome, replicate, GENDER, CAST(sum(w) AS DOUBLE) AS w, "
+    "CAST(sum(w * y) AS DOUBLE) AS wy FROM gframe GROUP BY ALL) WINDOW g AS (PARTITION BY outcome, replicate))",
+    "newton(step, outcome, replicate, GENDER, w, wy, eta, dev, done) AS ("
+    "SELECT 0, outcome, replicate, GENDER, w, wy, CASE WHEN r > 0 AND r < 1 THEN ln(r / (1 - r)) ELSE 0.0 END, "
+    "CASE WHEN r > 0 AND r < 1 THEN -2 * sum(wy * ln(r) + (w - wy) * ln(1 - r)) OVER (PARTITION BY outcome, replicate) ELSE 0.0 END, false FROM start "
+    "UNION ALL SELECT step + 1, outcome, replicate, GENDER, w, wy, e, dev2, abs(dev2 - dev) <= 1e-11 * (abs(dev2) + 0.1) FROM ("
+    "SELECT *, -2 * sum(CASE WHEN wy > 0 THEN wy * (" + LOG_P.format(s="-", e="e") + ") ELSE 0 END + CASE WHEN w - wy > 0 THEN (w - wy) * ("
+    + LOG_P.format(s="", e="e") + ") ELSE 0 END) OVER (PARTITION BY outcome, replicate) AS dev2 FROM ("
+    "SELECT *, eta + (wy / w - 1 / (1 + exp(-eta))) * (1 + exp(-eta)) * (1 + exp(eta)) AS e FROM newton WHERE NOT done AND step < 25)))",
+    "gcells AS MATERIALIZED (SELECT outcome, replicate, GENDER, arg_max(eta, step) AS eta, 1 / (1 + exp(-arg_max(eta, step))) AS p, "
+    "arg_max(done, step) AS done, arg_max(dev, step) AS d1, arg_min(dev, step) AS d0, any_value(w) AS w FROM newton GROUP BY ALL)",
+    "gfits AS MATERIALIZED (SELECT outcome, replicate, bool_and(done AND p > 1e-8 AND p < 1 - 1e-8) AS converged, "
+    "any_value(d1) AS d1, any_value(d0) AS d0, sum(w) AS whole FROM gcells GROUP BY ALL)",
+    "records AS MATERIALIZED (SELECT a.outcome, a.replicate, '(Intercept)' AS term, a.eta AS value, converged FROM gcells a "
+    "JOIN gfits USING (outcome, replicate) WHERE GENDER = 1 "
+    "UNION ALL SELECT a.outcome, a.replicate, 'GENDER2', a.eta - b.eta, converged FROM gcells a "
+    "JOIN gcells b USING (outcome, replicate) JOIN gfits USING (outcome, replicate) WHERE a.GENDER = 2 AND b.GENDER = 1)",
 ]
+COUNTED = "count(value) AS n_replicates, count(*) FILTER (NOT converged) AS n_not_converged"
 
 
-@query("mean_sd_by_term", survey(
-    "SELECT outcome, term, round(avg(exp(value)), 6) AS mean, round(stddev_samp(exp(value)), 6) AS sd FROM records GROUP BY ALL",
-    *RECORDS))
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("mean_sd_by_term", recursive(survey(
+    f"SELECT outcome, term, {digits_sql('avg(exp(value))', 'mean')}, {digits_sql('stddev_samp(exp(value))', 'sd')}, {COUNTED} "
+    "FROM records GROUP BY ALL", *RECORDS)))
 def _(t: Tables):
-    return rounded(describe.mean_sd_by_term(coef_records(t), exponentiate=True), "mean", "sd")
+    table = describe.mean_sd_by_term(coef_records(t), exponentiate=True)
+    return table.select("outcome", "term", digits("mean"), digits("sd"), "n_replicates", "n_not_converged")
 
 
-@query("exp_transform", survey(
-    "SELECT outcome, replicate, term, round(exp(value), 6) AS odds_ratio FROM records", *RECORDS))
+@query("exp_transform", recursive(survey(
+    f"SELECT outcome, replicate, term, {digits_sql('exp(value)', 'odds_ratio')}, converged FROM records", *RECORDS)))
 def _(t: Tables):
-    return coef_records(t).select(*KEYS, "term", F.round(F.exp("value"), 6).alias("odds_ratio"))
+    odds = coef_records(t).withColumn("odds_ratio", F.exp("value"))
+    return odds.select(*KEYS, "term", digits("odds_ratio"), "converged")
 
 
 P_VALUE = "2.0 * least(count(*) FILTER (value > 0), count(*) FILTER (value < 0)) / count(value)"
 
 
-@query("bootstrap_p_value", survey(
-    f"SELECT outcome, term, round(CAST({P_VALUE} AS DOUBLE), 6) AS p_val FROM records GROUP BY ALL", *RECORDS))
+@query("bootstrap_p_value", recursive(survey(
+    f"SELECT outcome, term, round(CAST({P_VALUE} AS DOUBLE), 6) AS p_val FROM records GROUP BY ALL", *RECORDS)))
 def _(t: Tables):
     return rounded(describe.bootstrap_p_value(coef_records(t)), "p_val")
 
 
-@query("replicate_coef_table", survey(
-    "SELECT outcome, term, round(avg(exp(value)), 3) AS odds_ratio, round(stddev_samp(exp(value)), 3) AS se, "
-    f"round(CAST({P_VALUE} AS DOUBLE), 4) AS p_val FROM records GROUP BY ALL", *RECORDS))
+@query("replicate_coef_table", recursive(survey(
+    f"SELECT outcome, term, {digits_sql('round(avg(exp(value)), 3)', 'odds_ratio')}, {digits_sql('round(stddev_samp(exp(value)), 3)', 'se')}, "
+    f"round(CAST({P_VALUE} AS DOUBLE), 4) AS p_val, {COUNTED} FROM records GROUP BY ALL", *RECORDS)))
 def _(t: Tables):
-    return m.replicate_coef_table(coef_records(t))
+    table = m.replicate_coef_table(coef_records(t))
+    return table.select("outcome", "term", digits("odds_ratio"), digits("se"), "p_val", "n_replicates", "n_not_converged")
 
 
 # a fit of one binary factor scored on all rows: recall, precision and F1 in closed form
@@ -373,50 +405,60 @@ SCORED = [
     *RECORDS,
     "whole AS (SELECT outcome, GENDER, CAST(sum(w) AS DOUBLE) AS w, CAST(sum(w * y) AS DOUBLE) AS wy FROM gframe GROUP BY ALL)",
     "cut AS (SELECT outcome, sum(wy) / sum(w) AS p0, sum(wy) AS wy1, sum(w) - sum(wy) AS w0 FROM whole GROUP BY outcome)",
-    "marked AS (SELECT outcome, replicate, GENDER, gcells.p, whole.w, whole.wy, p0, wy1, w0, gcells.p >= p0 AS hit "
+    "marked AS (SELECT outcome, replicate, GENDER, gcells.p, gcells.eta, whole.w, whole.wy, p0, wy1, w0, gcells.p >= p0 AS hit "
     "FROM gcells JOIN whole USING (outcome, GENDER) JOIN cut USING (outcome))",
     "per_rep AS (SELECT outcome, replicate, CASE WHEN bool_and(hit) OR NOT bool_or(hit) THEN 0.0 ELSE sum(wy) FILTER (hit) / any_value(wy1) END AS Recall, "
     "CASE WHEN bool_and(hit) OR NOT bool_or(hit) THEN 0.0 ELSE sum(wy) FILTER (hit) / sum(w) FILTER (hit) END AS Precision, "
-    "0.5 + 0.5 * sum(CASE WHEN GENDER = 1 THEN sign(p - q) ELSE 0 END * (wy * (v - vy) - vy * (w - wy))) / any_value(wy1 * w0) AS AUC "
+    "0.5 + 0.5 * sum(CASE WHEN GENDER = 1 THEN sign(p - q) ELSE 0 END * (wy * (v - vy) - vy * (w - wy))) / any_value(wy1 * w0) AS AUC, "
+    "-2 * sum(wy * (" + LOG_P.format(s="-", e="eta") + ") + (w - wy) * (" + LOG_P.format(s="", e="eta") + ")) AS d1, "
+    "any_value(-2 * (wy1 * ln(p0) + w0 * ln(1 - p0))) AS d0, sum(w) AS whole "
     "FROM marked JOIN (SELECT outcome, replicate, 3 - GENDER AS GENDER, p AS q, w AS v, wy AS vy FROM marked) USING (outcome, replicate, GENDER) GROUP BY ALL)",
-    "mrec AS MATERIALIZED (SELECT outcome, replicate, 'Recall' AS term, Recall AS value FROM per_rep UNION ALL "
+    "mrec AS MATERIALIZED (SELECT outcome, replicate, term, value, converged FROM ("
+    "SELECT outcome, replicate, 'Recall' AS term, Recall AS value FROM per_rep UNION ALL "
     "SELECT outcome, replicate, 'Precision', Precision FROM per_rep UNION ALL "
     "SELECT outcome, replicate, 'F1_Score', CASE WHEN Recall > 0 THEN 2 * Recall * Precision / (Recall + Precision) END FROM per_rep UNION ALL "
-    "SELECT outcome, replicate, 'AUC', AUC FROM per_rep)",
+    "SELECT outcome, replicate, 'AUC', AUC FROM per_rep UNION ALL "
+    "SELECT outcome, replicate, 'R_NK', (1 - exp((d1 - d0) / whole)) / (1 - exp(-d0 / whole)) FROM per_rep UNION ALL "
+    "SELECT outcome, replicate, 'R_boot', CASE WHEN d0 > 0 THEN (1 - exp((d1 - d0) / whole)) / (1 - exp(-d0 / whole)) END FROM gfits) "
+    "JOIN (SELECT outcome, replicate, converged FROM gfits) USING (outcome, replicate) WHERE value IS NOT NULL)",
 ]
-CHECKED = ["Recall", "Precision", "F1_Score", "AUC"]
 
 
-def metric_rows(t: Tables, names=CHECKED):
+def metric_rows(t: Tables, names=s.METRIC_TERMS):
     cells, fits = group_fits(t)
-    wide = m.fit_metrics(cells, fits.filter("converged"), GENDER, KEYS, BY)
+    wide = m.fit_metrics(cells, fits, GENDER, KEYS, BY)
     return m.metric_records(wide, KEYS, names)
 
 
-@query("replicate_fit_table", survey(
-    "SELECT outcome, CASE term WHEN 'F1_Score' THEN 'F1 score' ELSE term END AS metric, round(avg(value), 4) AS mean, "
-    "round(stddev_samp(value), 4) AS sd FROM mrec GROUP BY ALL", *SCORED))
+@query("replicate_fit_table", recursive(survey(
+    "SELECT outcome, CASE term WHEN 'F1_Score' THEN 'F1 score' WHEN 'R_NK' THEN 'R_{NK}' ELSE term END AS metric, "
+    f"{digits_sql('round(avg(value), 4)', 'mean')}, {digits_sql('round(stddev_samp(value), 4)', 'sd')}, {COUNTED} "
+    "FROM mrec WHERE term <> 'R_boot' GROUP BY ALL", *SCORED)))
 def _(t: Tables):
-    return m.replicate_fit_table(metric_rows(t))
+    table = m.replicate_fit_table(metric_rows(t))
+    return table.select("outcome", "metric", digits("mean"), digits("sd"), "n_replicates", "n_not_converged")
 
 
-@query("write_replicate_results", survey(
-    "SELECT outcome, replicate, term, round(value, 6) AS value FROM records", *RECORDS))
-def _(t: Tables):
+def stored_records(t: Tables):
+    """Metrics and coefficients written as one folder per outcome, and read again."""
     cells, fits = group_fits(t)
-    coefs = coef_records(t, fits)
     path = scratch_path(t.spark, "replicates")
-    replicates.write_replicate_results(coefs.limit(0), coefs, path)
+    wide = m.fit_metrics(cells, fits, GENDER, KEYS, BY)
+    replicates.write_replicate_results(m.metric_records(wide, KEYS, s.METRIC_TERMS), coef_records(t, fits), path)
     back = replicates.scan_replicates(t.spark, path)
-    return back.filter("kind = 'coefs'").select(*KEYS, "term", F.round("value", 6).alias("value"))
+    return back.select(*KEYS, "kind", "term", digits("value", 3))
 
 
-@query("scan_replicates", survey(
-    "SELECT outcome, replicate, 'coefs' AS kind, term, round(value, 6) AS value FROM records UNION ALL "
-    "SELECT outcome, replicate, 'metrics', term, round(value, 6) FROM mrec", *SCORED))
+BOTH = (f"SELECT outcome, replicate, 'coefs' AS kind, term, {digits_sql('value', 'value', 3)} FROM records UNION ALL "
+        f"SELECT outcome, replicate, 'metrics', term, {digits_sql('value', 'value', 3)} FROM mrec")
+
+
+@query("write_replicate_results", recursive(survey(
+    f"SELECT outcome, kind, term, count(*) AS n FROM ({BOTH}) GROUP BY ALL", *SCORED)))
 def _(t: Tables):
-    cells, fits = group_fits(t)
-    path = scratch_path(t.spark, "replicates")
-    wide = m.fit_metrics(cells, fits.filter("converged"), GENDER, KEYS, BY)
-    replicates.write_replicate_results(m.metric_records(wide, KEYS, CHECKED), coef_records(t, fits), path)
-    return rounded(replicates.scan_replicates(t.spark, path), "value")
+    return stored_records(t).groupBy("outcome", "kind", "term").agg(F.count("*").alias("n"))
+
+
+@query("scan_replicates", recursive(survey(BOTH, *SCORED)))
+def _(t: Tables):
+    return stored_records(t)

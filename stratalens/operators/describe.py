@@ -265,9 +265,11 @@ def weighted_prevalence_cutoff(long: DataFrame, by: Sequence[str], y: str, weigh
 
 
 def mean_sd_by_term(records: DataFrame, exponentiate: bool = False) -> DataFrame:
+    """Mean and SD over all replicates, with their number and how many fits did not converge."""
     value = F.exp("value") if exponentiate else F.col("value")
     return records.groupBy("outcome", "term").agg(
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+        F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
+        F.count("value").alias("n_replicates"), F.count_if(~F.col("converged")).alias("n_not_converged"))
 
 
 def bootstrap_p_value(records: DataFrame) -> DataFrame:

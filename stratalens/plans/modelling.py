@@ -75,7 +75,7 @@ def fit_metrics(cells: DataFrame, fits: DataFrame, formula: Formula, by: Sequenc
     scored = scored.withColumn("predicted", (F.col("prob") >= F.col("cutoff")).cast("int"))
     rates = metrics.confusion(metrics.contingency_weighted(scored, by), by)
     return (
-        metrics.nagelkerke_train(fits, by)
+        metrics.nagelkerke_train(fits, by).join(fits.select(*by, "converged"), by)
         .join(metrics.nagelkerke_holdout(scored, by, "prob", fits if compat else None), by)
         .join(rates, by)
         .join(metrics.weighted_auc(scored, by, "prob", slices=1), by)
@@ -88,7 +88,8 @@ def replicate_coef_table(records: DataFrame) -> DataFrame:
     table = describe.mean_sd_by_term(coefs, exponentiate=True).join(
         describe.bootstrap_p_value(coefs), ["outcome", "term"])
     rounded = table.select("outcome", "term", F.round("mean", 3).alias("odds_ratio"),
-                           F.round("sd", 3).alias("se"), F.round("p_val", 4).alias("p_val"))
+                           F.round("sd", 3).alias("se"), F.round("p_val", 4).alias("p_val"),
+                           "n_replicates", "n_not_converged")
     return sort_by_custom_order(rounded, "term", TERM_ORDER, "outcome")
 
 
@@ -97,9 +98,11 @@ def replicate_fit_table(records: DataFrame) -> DataFrame:
     table = describe.mean_sd_by_term(records.filter(F.col("term").isin(*METRIC_ORDER)))
     label = F.coalesce(*[F.when(F.col("term") == k, F.lit(v)) for k, v in METRIC_LABELS.items()], F.col("term"))
     ordered = sort_by_custom_order(table, "term", METRIC_ORDER, "outcome")
-    return ordered.select("outcome", label.alias("metric"), F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
+    return ordered.select("outcome", label.alias("metric"), F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"),
+                          "n_replicates", "n_not_converged")
 
 
 def metric_records(wide: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
-    return wide.select(*by, *[F.col(n).cast("double").alias(n) for n in names]).unpivot(
-        list(by), list(names), "term", "value")
+    ids = [*by, "converged"]
+    return wide.select(*ids, *[F.col(n).cast("double").alias(n) for n in names]).unpivot(
+        ids, list(names), "term", "value").filter("value is not null")

@@ -57,7 +57,8 @@ def replicate_driver(frame: DataFrame, replicates: int = 1000, seed: int = 1, fo
     fits = replicate_fits(frame, replicates, seed, formula, slices)
     cells = materialise(covariate_cells(frame, ["outcome"], formula))
     wide = fit_metrics(cells, fits, formula, KEYS, ["outcome"], compat)
-    coefs = logit.coefficients(fits, KEYS, formula).select(*KEYS, "term", F.col("estimate").alias("value"))
+    coefs = logit.coefficients(fits, KEYS, formula).select(
+        *KEYS, "term", F.col("estimate").alias("value"), "converged")
     return metric_records(wide, KEYS, METRIC_TERMS), coefs
 
 
