@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stratalens import schema as s
 from stratalens.catalog.base import Tables, query
 from stratalens.catalog.recoding import RATES_SQL
-from stratalens.catalog.shaping import AGES_LONG, EVER, IMP, RATE, ages_long
+from stratalens.catalog.shaping import AGES_LONG, EVER, IMP, RATE, WHOLE, ages_long
 from stratalens.catalog.views import befor, melt, respondents_sql, survey
 from stratalens.functions import recode
 from stratalens.operators import columns as c
@@ -129,12 +129,12 @@ def _(t: Tables):
     return profile.withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
 
 
-ALL_COLUMNS = [s.befor(x, h) for x in s.PRIOR_USE for h in s.HARD] + EVER + IMP + s.DEMOGRAPHIC + s.ITEMS
+ALL_COLUMNS = WHOLE
 
 
 @query("missing_report", survey(
-    "SELECT Zmienna, N, printf('%.2f', round_even(CAST(N AS DOUBLE) / rows, 2)) AS \"Missing share\" FROM ("
-    + " UNION ALL ".join(f"SELECT '{x}' AS Zmienna, count(*) - count({x}) AS N, count(*) AS rows FROM analysis"
+    "SELECT variable, N, printf('%.2f', round_even(CAST(N AS DOUBLE) / rows, 2)) AS \"Missing share\" FROM ("
+    + " UNION ALL ".join(f"SELECT '{x}' AS variable, count(*) - count({x}) AS N, count(*) AS rows FROM analysis"
                          for x in ALL_COLUMNS) + ") WHERE N > 0"))
 def _(t: Tables):
     return describe.missing_report(t.analysis(), ALL_COLUMNS)

@@ -11,7 +11,7 @@ from stratalens.functions import recode
 from stratalens.operators import columns as c
 from stratalens.operators import describe, html, reshape
 from stratalens.plans import analysis, pages
-from stratalens.runtime import scratch_path
+from stratalens.runtime import materialise, scratch_path
 from stratalens.sources import tables as src
 
 RAW_SQL = "SELECT rid, " + ", ".join(
@@ -22,15 +22,15 @@ SELECTED_SQL = "SELECT rid, " + ", ".join(
 ) + ", VEREP, VESTR_C, w_cents AS ANALWT2_C FROM respondents"
 EVER = [s.ever(i) for i in [*s.SOFT, *s.HARD]]
 IMP = [f"{i}_IMP" for i in s.IMPUTED]
-DESIGN = "rid, VEREP, VESTR_C, ANALWT2_C"
+WHOLE = ["rid", *s.RAW_DESIGN, *s.ITEMS, *s.AGGREGATES, *[s.befor(x, h) for x in s.PRIOR_USE for h in s.HARD], *EVER, *IMP,
+         *s.DEMOGRAPHIC]
 
 
-@query("scan_table", "SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE l_discount >= 0.095")
+@query("scan_table", "SELECT * REPLACE (CAST(l_shipdate AS DATE) AS l_shipdate) FROM lineitem")
 def _(t: Tables):
     path = f"{t.sf_dir}/lineitem.parquet"
     schema = t.spark.read.parquet(path).schema
-    return src.scan_table(t.spark, path, schema).filter("l_discount >= 0.095").select(
-        "l_orderkey", "l_linenumber", "l_discount")
+    return src.scan_table(t.spark, path, schema).withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
 
 
 @query("normalise_names", respondents_sql(RAW_SQL.replace("rid,", "rid AS RID,", 1)))
@@ -38,17 +38,17 @@ def _(t: Tables):
     return src.normalise_names(t.raw())
 
 
-@query("write_dataset", survey(f"SELECT {DESIGN}, EVER_HDG, SMK_befor_COC FROM analysis"))
+@query("write_dataset", survey("SELECT * FROM analysis"))
 def _(t: Tables):
     path = scratch_path(t.spark, "dataset")
-    src.write_dataset(t.analysis().select(*DESIGN.split(", "), "EVER_HDG", "SMK_befor_COC"), path)
+    src.write_dataset(t.analysis(), path)
     return src.scan_table(t.spark, path)
 
 
-@query("write_dataset_csv", survey("SELECT rid, ETHNIC, RLGINF FROM analysis"))
+@query("write_dataset_csv", survey("SELECT * FROM analysis"))
 def _(t: Tables):
     path = scratch_path(t.spark, "csv")
-    df = t.analysis().select("rid", "ETHNIC", "RLGINF")
+    df = t.analysis()
     src.write_dataset(df, path, "csv")
     return src.scan_table(t.spark, path, df.schema, "csv")
 
@@ -193,16 +193,15 @@ def _(t: Tables):
 
 
 @query("filter_any_nonzero", survey(
-    "SELECT rid, EVER_ALC, EVER_FSM, EVER_COC FROM analysis WHERE EVER_ALC <> 0 OR EVER_FSM <> 0 OR EVER_COC <> 0"))
+    f"SELECT rid, {', '.join(EVER)} FROM analysis WHERE {' OR '.join(f'{x} <> 0' for x in EVER)}"))
 def _(t: Tables):
-    cols = ["EVER_ALC", "EVER_FSM", "EVER_COC"]
-    return c.filter_any_nonzero(t.analysis().select("rid", *cols), cols)
+    return c.filter_any_nonzero(t.analysis().select("rid", *EVER), EVER)
 
 
 @query("filter_rowsum_positive", survey(
-    f"SELECT rid FROM analysis WHERE ({' + '.join(f'CAST({x} <> 0 AS INTEGER)' for x in FLAGS_PNK)}) > 0"))
+    f"SELECT rid FROM analysis WHERE ({' + '.join(f'CAST({x} <> 0 AS INTEGER)' for x in EVER)}) > 0"))
 def _(t: Tables):
-    return c.filter_rowsum_positive(t.analysis(), FLAGS_PNK).select("rid")
+    return c.filter_rowsum_positive(t.analysis().select("rid", *EVER), EVER).select("rid")
 
 
 @query("filter_in_set", survey(f"SELECT * FROM {AGES_LONG} WHERE drugs IN ('COC', 'HER') AND age NOT IN (991, 999)"))
@@ -210,8 +209,9 @@ def _(t: Tables):
     return ages_long(t).filter(F.col("drugs").isin("COC", "HER") & ~F.col("age").isin(s.NON_USER, s.NEVER_USED))
 
 
-PAIR_VARIABLES = [s.befor("ALC", "COC"), s.befor("ALC", "HER"), "GENDER", "TOTINC"]
-PAIR_MELT = "(SELECT rid, d.n AS Drug, variable, categories FROM (SELECT rid, unnest([{'n': 'COC'}, {'n': 'HER'}]) AS d, variable, categories FROM "
+PAIR_VARIABLES = [*[s.befor("ALC", h) for h in s.HARD], "GENDER", "TOTINC"]
+PAIR_MELT = ("(SELECT rid, Drug, variable, categories FROM (SELECT rid, unnest([" + ", ".join(f"'{h}'" for h in s.HARD)
+             + "]) AS Drug, variable, categories FROM ")
 
 
 @query("filter_name_matches_row", survey(
@@ -219,16 +219,16 @@ PAIR_MELT = "(SELECT rid, d.n AS Drug, variable, categories FROM (SELECT rid, un
     "WHERE right(variable, 3) = Drug OR variable IN ('GENDER')"))
 def _(t: Tables):
     long = t.analysis().select("rid", *PAIR_VARIABLES).unpivot(["rid"], PAIR_VARIABLES, "variable", "categories")
-    both = long.select("rid", F.explode(F.array(F.lit("COC"), F.lit("HER"))).alias("Drug"), "variable", "categories")
+    both = long.select("rid", F.explode(F.array(*map(F.lit, s.HARD))).alias("Drug"), "variable", "categories")
     return c.filter_name_matches_row(both, "variable", "Drug", 3, ["GENDER"])
 
 
 @query("filter_missing_positive", survey(
     "SELECT * FROM (" + " UNION ALL ".join(
-        f"SELECT count(*) AS rows, '{x}' AS Zmienna, count(*) - count({x}) AS N FROM analysis"
-        for x in [*FLAGS_PNK, "RLGINF", "GENDER", "EVER_COC"]) + ") WHERE N > 0"))
+        f"SELECT count(*) AS rows, '{x}' AS variable, count(*) - count({x}) AS N FROM analysis"
+        for x in WHOLE) + ") WHERE N > 0"))
 def _(t: Tables):
-    return describe.missing_counts(t.analysis(), [*FLAGS_PNK, "RLGINF", "GENDER", "EVER_COC"]).filter("N > 0")
+    return describe.missing_counts(t.analysis(), WHOLE).filter("N > 0")
 
 
 # --- reshaping and simple joins -----------------------------------------------------
@@ -280,7 +280,7 @@ RATE = "CAST(sum({x} * ANALWT2_C) AS DOUBLE) / CAST(sum(ANALWT2_C) AS DOUBLE)"
 MEANS_CTE = "means AS (" + " UNION ALL ".join(
     f"SELECT '{h}' AS Drug, {RATE.format(x='EVER_' + h)} AS Overall FROM analysis" for h in [*s.SOFT, *s.HARD]) + ")"
 GROUP_RATE_CTE = ("group_rates AS (SELECT Drug, variable, category, CAST(sum(initiation * ANALWT2_C) AS DOUBLE) / "
-                  "CAST(sum(ANALWT2_C) AS DOUBLE) AS odsetek FROM pairs GROUP BY ALL)")
+                  "CAST(sum(ANALWT2_C) AS DOUBLE) AS share FROM pairs GROUP BY ALL)")
 
 
 def overall_means(t: Tables):
@@ -313,9 +313,9 @@ def _(t: Tables):
     return df.select("rid", *analysis.exprs(both))
 
 
-@query("bind_rows", survey(
-    "SELECT rid, 'COC' AS outcome, EVER_COC AS used FROM analysis UNION ALL SELECT rid, 'HER', EVER_HER FROM analysis"))
+@query("bind_rows", survey(" UNION ALL ".join(
+    f"SELECT rid, '{h}' AS outcome, EVER_{h} AS used FROM analysis" for h in s.HARD)))
 def _(t: Tables):
-    part = lambda h: t.analysis().select(
-        "rid", F.lit(h).alias("outcome"), F.col(s.ever(h)).alias("used"))
-    return reshape.bind_rows(part("COC"), part("HER"))
+    base = materialise(t.analysis().select("rid", *map(s.ever, s.HARD)))
+    return reshape.bind_rows(*[
+        base.select("rid", F.lit(h).alias("outcome"), F.col(s.ever(h)).alias("used")) for h in s.HARD])

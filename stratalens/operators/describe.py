@@ -41,7 +41,7 @@ def order_levels_by_value(rates: DataFrame, name: str, value: str) -> DataFrame:
 
 
 def weighted_group_rate(long: DataFrame, keys: Sequence[str], value: str, weight: str,
-                        name: str = "odsetek") -> DataFrame:
+                        name: str = "share") -> DataFrame:
     return long.groupBy(*keys).agg(weighted_mean(F.col(value), F.col(weight)).alias(name))
 
 
@@ -208,15 +208,15 @@ def missing_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns with missing cells and their missing share, most missing first."""
     return (
         missing_counts(df, columns).filter(F.col("N") > 0)
-        .select("Zmienna", "N",
+        .select("variable", "N",
                 F.format_string("%.2f", F.bround(F.col("N") / F.col("rows"), 2)).alias("Missing share"))
-        .orderBy(F.desc("N"), "Zmienna")
+        .orderBy(F.desc("N"), "variable")
     )
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     wide = df.agg(F.count("*").alias("rows"), *[F.expr(f"count_if({c} is null) as {c}") for c in columns])
-    return wide.unpivot(["rows"], list(columns), "Zmienna", "N")
+    return wide.unpivot(["rows"], list(columns), "variable", "N")
 
 
 def rows_with_any_null(df: DataFrame) -> DataFrame:
