@@ -165,17 +165,23 @@ def heom_search(queries: DataFrame, space: HeomSpace) -> DataFrame:
     group, categories, number, row_id = space.group, space.categories, space.number, space.row_id
     rows, patterns, slices, size = space.rows, space.patterns, space.slices, len(space.categories)
     asked = materialise(with_pattern(queries, group, categories, number, row_id))
-    spans = broadcast_if_small(materialise(
-        rows.groupBy(*group).agg((F.max(number) - F.min(number)).cast("double").alias("span"))))
+    spans = materialise(rows.groupBy(*group).agg(
+        (F.max(number) - F.min(number)).cast("double").alias("span"), F.count_if(F.col(number).isNull()).alias("blanks")))
+    some_missing = not spans.filter("blanks > 0").isEmpty()
+    spans = broadcast_if_small(spans.drop("blanks"))
     wanted = materialise(spread(asked.select(*group, *categories, PATTERN).distinct(), *group, PATTERN))
     pairs = materialise(nearest_patterns(wanted, patterns, group, categories))
     lean = rows.select(*group, PATTERN, number, row_id)
-    # of each pattern the smallest id without a number, and the two smallest of all
-    firsts = lean.groupBy(*group, PATTERN).agg(
-        F.expr(f"min(if({number} is null, {row_id}, null)) as blank"), F.min(row_id).alias("low"))
-    seconds = lean.join(firsts, [*group, PATTERN]).filter(f"{row_id} > low").groupBy(*group, PATTERN).agg(
-        F.min(row_id).alias("next"))
-    firsts = firsts.join(seconds, [*group, PATTERN], "left")
+
+    def far_off(large: DataFrame) -> DataFrame:
+        """Rows at the whole range: those without a number for all, any row for those without one, by id."""
+        firsts = lean.groupBy(*group, PATTERN).agg(
+            F.expr(f"min(if({number} is null, {row_id}, null)) as blank"), F.min(row_id).alias("low"))
+        seconds = lean.join(firsts, [*group, PATTERN]).filter(f"{row_id} > low").groupBy(*group, PATTERN).agg(
+            F.min(row_id).alias("next"))
+        return large.join(firsts.join(seconds, [*group, PATTERN], "left"), [*group, PATTERN]).selectExpr(
+            *group, row_id, number, "level", f"if({number} is null, {number}, null) as value",
+            f"if({number} is not null, blank, if(low = {row_id}, next, low)) as nn").filter("nn is not null")
 
     def search(who: DataFrame, pairs: DataFrame) -> DataFrame:
         keyed = who.select(*group, PATTERN, number, row_id).join(pairs, [*group, PATTERN]).selectExpr(
@@ -186,12 +192,11 @@ def heom_search(queries: DataFrame, space: HeomSpace) -> DataFrame:
                                [*group, PATTERN], number, row_id, 1, slices)
         far = near.filter("size(near) > 0").selectExpr(
             *group, row_id, number, "level", "near[0].value as value", "near[0].id as nn")
-        far_off = large.join(firsts, [*group, PATTERN]).selectExpr(
-            *group, row_id, number, "level", f"if({number} is null, {number}, null) as value",
-            f"if({number} is not null, blank, if(low = {row_id}, next, low)) as nn").filter("nn is not null")
+        if some_missing:
+            far = far.unionByName(far_off(large))
         few = keyed.filter(f"size <= {FEW_ROWS}").join(
             lean.withColumnsRenamed({number: "value", row_id: "nn"}), [*group, PATTERN]).filter(f"nn <> {row_id}")
-        hits = far.unionByName(far_off).unionByName(few.select(far.columns)).join(spans, group, "left")
+        hits = far.unionByName(few.select(far.columns)).join(spans, group, "left")
         gap = f"cast(coalesce(abs(value - {number}), span, 0) as double)"
         best = f"min(struct({gap} as gap, cast(nn as bigint) as nn, level))"
         return hits.groupBy(*group, row_id).agg(F.expr(f"{best} as best")).selectExpr(
