@@ -5,6 +5,8 @@ Cutoffs are chosen per stratum on labelled texts: going from the loosest to the
 exact binomial test shows that it rejects at most a given share of good texts. The tests of one rule are done in this
 fixed order, which needs no correction; the error level is divided by the number of rules and strata (Bonferroni), and
 so is the risk by the number of rules. With probability 1 - ``error`` no stratum loses more than ``risk`` of its good texts.
+All certified cutoffs hold at once, so any of them may be used: the loosest that rejects as many bad texts as the tightest,
+counting those that no earlier rule rejects.
 """
 
 from __future__ import annotations
@@ -99,31 +101,46 @@ def certify(n: int, rejected: list[int], risk: float, error: float) -> int:
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, *, risk: float = 0.05, error: float = 0.05) -> DataFrame:
-    """Per stratum the certified cutoff of each rule, null where none is.
+    """Per stratum the certified cutoff of each rule; null where none is, or where none rejects a text labelled bad.
 
     ``measured``: ``id``, ``stratum``, ``base_failed`` and the rates. Good texts that fail the base are left out, as the
     rules never see them. One row per stratum comes to the driver (up to ``MAX_STRATA``, else an error).
     """
-    good = (labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1")
-            .select(F.col("doc_id").alias("good_id")))
-    counted = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(cutoffs(r))]
-    strata = measured.groupBy(F.col("stratum").alias("name")).agg(F.count("*").alias("all_rows"))
-    held = (measured.filter("not base_failed").join(good, F.col("id") == F.col("good_id"))
-            .groupBy("stratum").agg(F.count("*").alias("n"), *counted))
-    rows = (strata.join(held, F.col("name").eqNullSafe(F.col("stratum")), "left").drop("stratum")
-            .limit(MAX_STRATA + 1).collect())
-    if len(rows) > MAX_STRATA:
+    marked = labels.groupBy(F.col("doc_id").alias("of")).agg(F.max("quality").alias("quality"))
+    names = [r.name for r in measured.groupBy(F.col("stratum").alias("name")).agg(F.count("*").alias("rows"))
+             .limit(MAX_STRATA + 1).collect()]
+    if len(names) > MAX_STRATA:
         raise ValueError(f"more than {MAX_STRATA} strata")
-    out = []
-    for row in rows:
-        line = [row.name]
-        for rule in RULES:
-            steps = [row[f"{rule}_{i}"] or 0 for i in range(STEPS)]
-            passed = certify(row.n or 0, steps, risk / len(RULES), error / len(RULES) / len(rows))
-            line.append(cutoffs(rule)[passed - 1] if passed else None)
-        out.append(tuple(line))
+    held = runtime.materialise(measured.filter("not base_failed").join(marked, F.col("id") == F.col("of"))
+                               .select("stratum", "quality", *RULES))
+
+    def rejected(rows: DataFrame, rules: list[str]) -> dict:
+        counted = [F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r in rules for i, c in enumerate(cutoffs(r))]
+        return {r.stratum: r for r in rows.groupBy("stratum").agg(F.count("*").alias("n"), *counted).collect()}
+
+    good = rejected(held.filter("quality = 1"), list(RULES))
     kind = "cut_stratum string, " + ", ".join(f"cut_{r} double" for r in RULES)
-    return F.broadcast(measured.sparkSession.createDataFrame(out, kind))
+    cuts = {name: dict.fromkeys(RULES) for name in names}
+    table = None
+    for rule in RULES:  # bad texts that an earlier rule rejects need no second one
+        rows = held.filter("quality = 0")
+        if table is not None:
+            rows = rows.join(table, F.col("stratum").eqNullSafe(F.col("cut_stratum")), "left").filter(_broken().isNull())
+        bad = rejected(rows, [rule])
+        for name, cut in cuts.items():
+            steps = [good[name][f"{rule}_{i}"] for i in range(STEPS)] if name in good else []
+            passed = certify(good[name].n if name in good else 0, steps, risk / len(RULES), error / len(RULES) / len(names))
+            found = [bad[name][f"{rule}_{i}"] for i in range(passed)] if name in bad else []
+            most = max(found, default=0)
+            cut[rule] = cutoffs(rule)[found.index(most)] if most else None
+        table = F.broadcast(measured.sparkSession.createDataFrame(
+            [(name, *cut.values()) for name, cut in cuts.items()], kind))
+    return table
+
+
+def _broken():
+    """The first rule whose cutoff a text is above."""
+    return F.coalesce(*[F.when(F.col(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES])
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", stratum_col="lang",
@@ -139,9 +156,8 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     found = found.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     measured = runtime.materialise(found).select("*", *[F.expr(RULES[r][0]).alias(r) for r in RULES])
     cuts = calibrate(measured, labels, risk=risk, error=error)
-    broken = F.coalesce(*[F.when(F.col(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES])
     return (measured.join(cuts, F.col("stratum").eqNullSafe(F.col("cut_stratum")), "left")
-            .select(F.col("id").alias("doc_id"), *MEASURES, "base_failed", broken.alias("broken"))
+            .select(F.col("id").alias("doc_id"), *MEASURES, "base_failed", _broken().alias("broken"))
             .withColumn("kept", ~F.col("base_failed") & F.col("broken").isNull()))
 
 
