@@ -7,50 +7,120 @@ and the whole text of the page is searched.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: markup that holds no table text, and named entities (&amp; last)
+# fixed values: markup that holds no table text, the largest span that browsers honour
 NOT_CONTENT = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
+MOST_SPAN = 1000
+
+
+def _character(name: Column) -> Column:
+    """The text of an entity such as ``amp``, ``#233`` or ``#xe9``; NULL if it stands for nothing."""
+    named = F.create_map(*[F.lit(x) for n, c in name2codepoint.items() for x in (n, " " if n == "nbsp" else chr(c))])
+    code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).cast("int")
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    number = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(~name.startswith("#"), F.try_element_at(named, name)).when(code == 160, " ").when(valid, number)
+
+
+def unescape(text: Column) -> Column:
+    """Named and numeric entities replaced once; unknown ones stay as they are."""
+    names = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1))
+    between = F.split(text, ENTITY, -1)
+    joined = F.array_join(F.zip_with(between, names, lambda t, n: F.concat(t, F.coalesce(
+        _character(n), F.concat(F.lit("&"), n, F.lit(";")), F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def cell_text(markup: Column) -> Column:
-    text = F.regexp_replace(markup, r"<[^>]*>", " ")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = unescape(F.regexp_replace(markup, r"<[^>]*>", " "))
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def _elements(text: Column, tag: str, closed: bool) -> Column:
-    end = rf"</(?:{tag})\s*>" if closed else rf"(?=<(?:{tag})\b|</(?:{tag})\b|\z)"
+def _elements(text: Column, tag: str) -> Column:
+    end = rf"(?=<(?:{tag})\b|</(?:{tag})\b|\z)"
     return F.regexp_extract_all(text, F.lit(rf"(?is)(<(?:{tag})\b[^>]*>.*?){end}"), F.lit(1))
 
 
+def _tables(text: Column, table: str, inner: str) -> Column:
+    """Markup of every closed table in the order of their opening tags; tables inside one keep only their text in it."""
+    tag = rf"(?i)</?{table}\b[^>]*>"
+    opens = F.transform(F.regexp_extract_all(text, F.lit(tag), F.lit(0)), lambda x: ~x.startswith("</"))
+    pieces = F.transform(F.split(text, tag, -1), lambda x, i: F.struct(i.alias("at"), x.alias("text")))
+    start = F.struct(F.lit(0).alias("now"), F.array().cast("array<int>").alias("depth"))
+    depth = F.aggregate(opens, start, lambda acc, o: F.struct(
+        F.greatest(acc["now"] + F.when(o, 1).otherwise(-1), F.lit(0)).alias("now"),
+        F.array_append(acc["depth"], F.greatest(acc["now"] + F.when(o, 1).otherwise(-1), F.lit(0))).alias("depth")),
+        lambda acc: acc["depth"])  # depth[i]: how many tables are open after tag i, in piece i + 1
+    held = F.struct(opens.alias("opens"), pieces.alias("pieces"), depth.alias("depth"))
+
+    def markup(h: Column) -> Column:
+        def one(i: Column) -> Column:
+            own = F.get(h["depth"], i)
+            after = F.slice(h["depth"], i + 2, F.size(h["depth"]))
+            length = F.array_position(F.transform(after, lambda d: d < own), F.lit(True)).cast("int")
+            body = F.transform(F.slice(h["pieces"], i + 2, length), lambda piece: F.when(
+                F.get(h["depth"], piece["at"] - 1) > own, F.regexp_replace(piece["text"], rf"(?i)</?(?:{inner})\b[^>]*>", " "))
+                .otherwise(piece["text"]))
+            return F.when(length > 0, F.array_join(body, " "))
+
+        at = F.filter(F.transform(h["opens"], lambda o, i: F.when(o, i)), lambda i: i.isNotNull())
+        return F.filter(F.transform(at, one), lambda x: x.isNotNull())
+
+    return F.get(F.transform(F.array(held), markup), F.lit(0))
+
+
+def _place(rows: Column) -> Column:
+    """Rows of (text, down) cells laid out in columns; a cell that reaches down keeps its column in the next rows."""
+    cell = "array<struct<text:string,down:int>>"
+    start = F.struct(F.array().cast("array<array<string>>").alias("grid"), F.array().cast(cell).alias("held"))
+
+    def step(acc: Column, row: Column) -> Column:
+        columns = F.sequence(F.lit(0), F.size(acc["held"]) + F.size(row))
+        taken = lambda c: F.coalesce(F.get(acc["held"], c)["down"] > 0, F.lit(False))
+        free = F.filter(columns, lambda c: ~taken(c))
+        laid = F.transform(columns, lambda c: F.when(taken(c), F.struct(
+            F.get(acc["held"], c)["text"].alias("text"), (F.get(acc["held"], c)["down"] - 1).alias("down")))
+            .otherwise(F.get(row, F.array_position(free, c).cast("int") - 1)))
+        width = F.array_max(F.transform(laid, lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(0)))
+        laid = F.slice(laid, 1, width)
+        return F.struct(F.array_append(acc["grid"], F.transform(laid, lambda x: x["text"])).alias("grid"),
+                        F.transform(laid, lambda x: F.struct(x["text"].alias("text"), F.coalesce(x["down"], F.lit(0)).alias("down")))
+                        .cast(cell).alias("held"))
+
+    return F.aggregate(rows, start, step, lambda acc: acc["grid"])
+
+
 def html_tables(pages: DataFrame, html: str = "html", table: str = "table", row: str = "tr",
                 cell: str = "td|th", ids: Sequence[str] = ("page_id",)) -> DataFrame:
     """One row per table: ids, ``table_no`` from 1, ``grid`` (rows of cell texts).
 
-    Cells that span columns are repeated; short rows are filled with NULL.
+    Cells that span columns or rows are repeated, up to ``MOST_SPAN``; short rows are filled with NULL. A table inside
+    another is a table of its own, and its text belongs to the outer cell.
     """
     clean = F.regexp_replace(html, NOT_CONTENT, "")
 
-    def spread(markup: Column) -> Column:
-        span = F.regexp_extract(markup, r"(?is)^<[^>]*\bcolspan\s*=\s*[\"']?(\d+)", 1)
-        return F.array_repeat(cell_text(markup), F.coalesce(span.try_cast("int"), F.lit(1)))
+    def span(markup: Column, name: str) -> Column:
+        found = F.regexp_extract(markup, rf"(?is)^<[^>]*\b{name}\s*=\s*[\"']?(\d+)", 1).try_cast("int")
+        return F.greatest(F.least(F.coalesce(found, F.lit(1)), F.lit(MOST_SPAN)), F.lit(1))
 
     def cells(markup: Column) -> Column:
-        return F.flatten(F.transform(_elements(markup, cell, False), spread))
+        return F.flatten(F.transform(_elements(markup, cell), lambda m: F.array_repeat(
+            F.struct(cell_text(m).alias("text"), (span(m, "rowspan") - 1).alias("down")), span(m, "colspan"))))
 
     def fill(grid: Column) -> Column:
         width = F.array_max(F.transform(grid, F.size))
         return F.transform(grid, lambda r: F.concat(
             r, F.array_repeat(F.lit(None).cast("string"), width - F.size(r))))
 
-    found = pages.select(*ids, F.posexplode(_elements(clean, table, True)).alias("table_no", "markup"))
-    grid = F.transform(_elements(F.col("markup"), row, False), cells)
-    return found.select(*ids, (F.col("table_no") + 1).alias("table_no"), fill(grid).alias("grid"))
+    found = pages.select(*ids, F.posexplode(_tables(clean, table, f"{row}|{cell}")).alias("table_no", "markup"))
+    grids = found.select(*ids, (F.col("table_no") + 1).alias("table_no"),
+                         _place(F.transform(_elements(F.col("markup"), row), cells)).alias("grid"))
+    return grids.select(*ids, "table_no", fill(F.col("grid")).alias("grid"))
 
 
 def nth_table(tables: DataFrame, number: int) -> DataFrame:

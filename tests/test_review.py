@@ -65,3 +65,27 @@ def test_more_columns_than_names_are_an_error(spark):
     assert [tuple(r) for r in html.header_column_filter(grid, ["p", "q"]).collect()] == [(1, "1", "3")]
     with pytest.raises(Exception, match="2 columns to keep, 1 names"):
         html.header_column_filter(grid, ["p"]).collect()
+
+
+def grids(spark, page):
+    pages = spark.createDataFrame([(1, page)], "page_id int, html string")
+    return [r.grid for r in html.html_tables(pages).orderBy("table_no").collect()]
+
+
+def test_cells_that_span_rows_and_columns(spark):
+    page = ("<table><tr><td rowspan=2>g<td>1</tr><tr><td>2</tr><tr><td colspan='2'>w<td>x</tr>"
+            "<tr><td rowspan=9>d<td colspan=2 rowspan=2>e</tr><tr></tr><tr><td>f</table>")
+    assert grids(spark, page) == [[["g", "1", None], ["g", "2", None], ["w", "w", "x"], ["d", "e", "e"], ["d", "e", "e"],
+                                   ["d", "f", None]]]
+    assert len(grids(spark, "<table><tr><td colspan=99999999>a</table>")[0][0]) == 1000
+
+
+def test_a_table_inside_a_cell(spark):
+    page = "<p><table><tr><td>a<table><tr><td>in</td><td>ner</td></tr></table>z</td><td>tail</td></tr></table><table><tr><td>b</table>"
+    assert grids(spark, page) == [[["a in ner z", "tail"]], [["in", "ner"]], [["b"]]]
+    assert grids(spark, "</table><table><tr><td>open") == []
+
+
+def test_entities(spark):
+    page = "<table><tr><td>caf&eacute; &#233;&#xE9; &amp;lt; &lt;b&gt; a&nbsp;b &bogus; &#0; & c &#128512;</table>"
+    assert grids(spark, page) == [[["café éé &lt; <b> a b &bogus; &#0; & c \U0001F600"]]]
