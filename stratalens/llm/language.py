@@ -20,6 +20,7 @@ from stratalens.llm.base import in_fold, map_texts, query, table, text_slices
 BUCKETS = 4096
 ROWS = 512
 UNKNOWN = "und"
+MAX_LANGS = 10_000
 LETTER = np.zeros(256, bool)
 LETTER[128:] = True
 LETTER[97:123] = True
@@ -88,7 +89,7 @@ def fit(docs: DataFrame, *, text_col="text", lang_col="lang", id_col="doc_id", p
 
     Document frequencies of the trigrams cover all these rows. Centroids come from about ``per_lang`` rows of each
     language (a documented bound), those under a hash threshold of the id. ``least`` of a centroid is the cosine that
-    the share ``reject`` of its training texts falls short of.
+    the share ``reject`` of its training texts falls short of. More than ``MAX_LANGS`` languages are an error.
     """
     runtime.ship_package(docs.sparkSession)
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
@@ -106,9 +107,12 @@ def fit(docs: DataFrame, *, text_col="text", lang_col="lang", id_col="doc_id", p
     df = {r.bucket: r.n for r in found.collect()}
     n = df.pop(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([df.get(b, 0) for b in range(BUCKETS)], float))) + 0.05
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("in_lang"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    sizes = F.broadcast(rows.sparkSession.createDataFrame([(r.lang, r.n) for r in sizes], "of string, in_lang long"))
     mark = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 1) / F.lit(float(1 << 63))
-    sample = (rows.join(sizes, "lang").filter(mark < F.lit(float(per_lang)) / F.col("in_lang")).select("id", "lang", "text"))
+    sample = (rows.join(sizes, F.col("lang") == F.col("of")).filter(mark < F.lit(float(per_lang)) / F.col("in_lang")).select("id", "lang", "text"))
 
     def centroids(group):
         group = group.sort_by([("id", "ascending")])
