@@ -13,13 +13,13 @@ from stratalens.plans import modelling as m
 from stratalens.plans import resampling as rs
 from stratalens.runtime import materialise
 
-ITEMS = s.SINGLE_HARD
+ITEMS = s.HARD
 CATS = rs.CATEGORIES
 SEED = 7
 
 
 def resampling_frame(t: Tables, complete: bool):
-    """Model frame of the nine single items over a stored, narrow analysis dataset."""
+    """Model frame of all twelve outcomes over a stored, narrow analysis dataset."""
     narrow = materialise(t.analysis().select(*rs.needed_columns(ITEMS)))
     frame = m.model_frame(narrow, ITEMS, complete)
     return frame if complete else frame.filter("y is not null")
@@ -122,12 +122,12 @@ SMOTE = [
 ]
 
 
-@query("smote", survey("SELECT * EXCLUDE (w), round(w, 6) AS w FROM synthetic", frame_sql(True), *HEOM, LINKS, *SMOTE))
+@query("smote", survey("SELECT * EXCLUDE (w), round(w, 4) AS w FROM synthetic", frame_sql(True), *HEOM, LINKS, *SMOTE))
 def _(t: Tables):
     cleaned = materialise(rs.cleaned_frame(resampling_frame(t, True)))
     parents = resample.smote_parents(cleaned, rs.GROUP, CATS, "w", "rid")
     rows = resample.smote(parents, rs.GROUP, CATS, "w", "rid", REPLICATES, SEED)
-    return rows.withColumn("w", F.round("w", 6))
+    return rows.withColumn("w", F.round("w", 4))
 
 
 @query("replicate_cells", survey(
