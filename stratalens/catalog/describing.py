@@ -8,7 +8,7 @@ from stratalens import schema as s
 from stratalens.catalog.base import Tables, query
 from stratalens.catalog.recoding import RATES_SQL
 from stratalens.catalog.shaping import AGES_LONG, EVER, IMP, RATE, WHOLE, ages_long
-from stratalens.catalog.views import befor, melt, respondents_sql, survey
+from stratalens.catalog.views import befor, melt, survey
 from stratalens.functions import recode
 from stratalens.operators import columns as c
 from stratalens.operators import describe, guttman

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from stratalens import schema as s
+from pyspark.sql import functions as F
+
 from stratalens.catalog.base import Tables, query
+from stratalens.catalog.views import survey
 from stratalens.operators import impute
 
 LEVELS = {
@@ -15,7 +17,24 @@ LEVELS = {
 TARGETS = ["ALC_befor_PNK", "SMK_befor_PNK", "MRJ_befor_PNK", "RLGINF"]
 
 
+def imputed(df):
+    return impute.rf_impute(df, LEVELS, TARGETS, "rid", trees=10, depth=5, max_rounds=3)
+
+
 @query("rf_impute")
 def _(t: Tables):
-    df = t.analysis().select("rid", *LEVELS)
-    return impute.rf_impute(df, LEVELS, TARGETS, "rid", trees=10, depth=5, max_rounds=3)
+    return imputed(t.analysis().select("rid", *LEVELS))
+
+
+@query("rf_impute_summary", survey(" UNION ALL ".join(
+    f"SELECT '{c}' AS variable, count(*) - count({c}) AS n_missing, CAST(0 AS BIGINT) AS n_null_after, "
+    "CAST(0 AS BIGINT) AS n_changed FROM analysis" for c in TARGETS)))
+def _(t: Tables):
+    """Of each column the gaps before and after, and the observed cells that changed."""
+    before = t.analysis().select("rid", *LEVELS)
+    after = imputed(before).select("rid", *[F.col(c).alias(f"new_{c}") for c in TARGETS])
+    wide = before.join(after, "rid").select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.col(c).alias("old"), F.col(f"new_{c}").cast("int").alias("new")) for c in TARGETS])))
+    return wide.groupBy("col.variable").agg(
+        F.count_if(F.col("col.old").isNull()).alias("n_missing"), F.count_if(F.col("col.new").isNull()).alias("n_null_after"),
+        F.count_if(F.col("col.old") != F.col("col.new")).alias("n_changed"))

@@ -8,7 +8,7 @@ from stratalens import schema as s
 from stratalens.catalog.base import Tables, query
 from stratalens.catalog.shaping import EVER, GROUP_RATE_CTE, IMP, PAIRS_CTE, RATE, group_rates
 from stratalens.catalog.views import (
-    AGGREGATE_COLUMNS, ETHNIC, RLGINF, befor, ever_basic, ever_known, melt, respondents_sql, row_min, survey,
+    AGGREGATE_COLUMNS, ETHNIC, RLGINF, befor, ever_basic, ever_known, melt, respondents_sql, survey,
 )
 from stratalens.functions import labels, recode
 from stratalens.operators import columns as c
@@ -177,22 +177,16 @@ def _(t: Tables):
 
 
 RATES_SQL = " UNION ALL ".join(f"SELECT '{x}' AS Drug, {RATE.format(x=x)} AS Proportion FROM analysis" for x in EVER)
-REGEX_RULES = [("EVER_(ALC|FSM|MRJ|VAP|ESM)", s.GROUP_SOFT), ("EVER_(HDG|NMD|MED)", s.GROUP_AGGREGATE)]
-SET_RULES = [
-    (["ALC", "FSM", "MRJ", "VAP", "ESM"], s.GROUP_SOFT),
-    (["HDG", "MED", "NMD"], s.GROUP_AGGREGATE),
-    (s.NONMEDICAL + s.PRESCRIPTION, s.GROUP_HARD),
-]
 
 
 @query("classify_by_regex", survey(
     "SELECT Drug, Proportion, CASE WHEN regexp_matches(Drug, 'EVER_(ALC|FSM|MRJ|VAP|ESM)') THEN '''Soft''' "
-    "WHEN regexp_matches(Drug, 'EVER_(HDG|NMD|MED)') THEN '''Hard'' aggregated' ELSE '''Hard''' END AS Kategoria "
+    "WHEN regexp_matches(Drug, 'EVER_(HDG|NMD|MED)') THEN '''Hard'' aggregated' ELSE '''Hard''' END AS category "
     f"FROM ({RATES_SQL})"))
 def _(t: Tables):
     rates = describe.weighted_rate(t.analysis(), EVER, s.WEIGHT)
-    kind = labels.classify_by_regex(F.col("Drug"), REGEX_RULES, s.GROUP_HARD)
-    return rates.withColumn("Kategoria", kind)
+    kind = labels.classify_by_regex(F.col("Drug"), s.REGEX_RULES, s.GROUP_HARD)
+    return rates.withColumn("category", kind)
 
 
 @query("classify_by_set", survey(
@@ -202,7 +196,7 @@ def _(t: Tables):
     f"FROM {melt('analysis', s.ITEM_ORDER, 'rid', 'drugs', 'age')}"))
 def _(t: Tables):
     long = t.analysis().select("rid", *s.ITEM_ORDER).unpivot(["rid"], s.ITEM_ORDER, "drugs", "age")
-    return long.select("rid", "drugs", labels.classify_by_set(F.col("drugs"), SET_RULES).alias("Category"),
+    return long.select("rid", "drugs", labels.classify_by_set(F.col("drugs"), s.SET_RULES).alias("Category"),
                        labels.level_position(F.col("drugs"), s.ITEM_ORDER).alias("level"))
 
 

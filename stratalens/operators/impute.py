@@ -68,8 +68,9 @@ def rf_impute(df: DataFrame, levels: Levels, targets: Sequence[str], row_id: str
     for turn in range(max_rounds):
         work = state
         for c in order:
-            work = _predict_column(work, c, [x for x in columns if x != c], levels, trees, depth, seed + turn)
-        new = materialise(work)
+            # cut after each column, or every forest would replay those before it
+            work = materialise(_predict_column(work, c, [x for x in columns if x != c], levels, trees, depth, seed + turn))
+        new = work
         now = _change(state, new, order, levels, row_id)
         if change is not None and all(now[k] >= change[k] for k in now):
             break

@@ -7,8 +7,6 @@ convention (three-letter items, six-letter demographics, ``_befor_``,
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 # --- fixed values: sentinels inside age columns --------------------------------
 NON_USER = 991          # non-user
 USER_AGE_UNKNOWN = 993  # user, age not known
@@ -62,7 +60,7 @@ AGGREGATES = {
     "HDG": NONMEDICAL + PRESCRIPTION,
 }
 HARD = ["MED"] + PRESCRIPTION + ["NMD"] + NONMEDICAL + ["HDG"]
-SINGLE_HARD = NONMEDICAL[:4] + PRESCRIPTION + NONMEDICAL[4:]
+SINGLE_HARD = ["COC", "HER", "CRK", "HAL", "SED", "TRQ", "PNK", "STM", "MTH"]
 ITEMS = SOFT + NONMEDICAL + PRESCRIPTION
 PRIOR_USE = ["ALC", "VAP", "SMK", "MRJ"]
 IMPUTED = ITEMS + ["TOTINC", "EDUCAT"]
@@ -86,7 +84,6 @@ ITEM_ORDER = [
     "ALC", "FSM", "MRJ", "VAP", "ESM", "HDG", "NMD", "COC", "HER", "CRK", "HAL", "MTH",
     "MED", "PNK", "STM", "TRQ", "SED",
 ]
-MAX_CATEGORY = 11
 
 # --- fixed values: category labels ----------------------------------------------
 LABELS = {
@@ -107,20 +104,12 @@ SHORT_LABELS = {
 USAGE_LABELS = {0: " never used", 1: " used"}
 USAGE_OTHER = " addiction"
 GROUP_SOFT, GROUP_AGGREGATE, GROUP_HARD = "'Soft'", "'Hard' aggregated", "'Hard'"
-
-
-@dataclass(frozen=True)
-class SurveySchema:
-    """Names an analysis needs to know about its table."""
-
-    row_id: str = "rid"
-    psu: str = PSU
-    stratum: str = STRATUM
-    weight: str = WEIGHT
-    soft: tuple[str, ...] = tuple(SOFT)
-    hard: tuple[str, ...] = tuple(HARD)
-    prior_use: tuple[str, ...] = tuple(PRIOR_USE)
-    demographic: tuple[str, ...] = tuple(MODEL_DEMOGRAPHIC)
+REGEX_RULES = [("EVER_(ALC|FSM|MRJ|VAP|ESM)", GROUP_SOFT), ("EVER_(HDG|NMD|MED)", GROUP_AGGREGATE)]
+SET_RULES = [
+    (["ALC", "FSM", "MRJ", "VAP", "ESM"], GROUP_SOFT),
+    (["HDG", "MED", "NMD"], GROUP_AGGREGATE),
+    (NONMEDICAL + PRESCRIPTION, GROUP_HARD),
+]
 
 
 def befor(soft: str, hard: str) -> str:
