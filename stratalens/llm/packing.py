@@ -27,45 +27,75 @@ CACHED_WORDS = 400_000
 _TOKENS: dict[str, WordTokens] = {}
 
 
+#: Blanks, tabs and line ends separate words; A to Z are lower-cased, as the tokenizer does.
+BLANK = bytes.maketrans(b"\t\n\r", b"   ")
+PLAIN = bytes.maketrans(b"\t\n\r" + bytes(range(65, 91)), b"   " + bytes(range(97, 123)))
+MARKS = b".,!?;:|"
+
+
 class WordTokens:
     """Token ids of texts as little-endian 32-bit bytes, each word encoded once while it stays cached.
 
-    The tokenizer drops white space and never joins over it, so the ids of a text are those of its words in a row.
-    Only blanks, tabs and line ends separate words here; other white space is left to the tokenizer. Two generations of
-    words are kept, so memory is bounded and words in use stay.
+    The tokenizer drops white space and never joins over it, so the ids of a text are those of its words in a row; and
+    it parts a letter or digit from the marks after it, so those of a word are of its front and of its last marks. Other
+    white space than blanks, tabs and line ends is left to the tokenizer. Two generations of words are kept, so memory
+    is bounded and words in use stay.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.new: dict[bytes, bytes] = {b"": b""}
+        self.old: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[str]) -> None:
+    def _encode(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 2000):
-            part = words[i:i + 2000]
+            part = [w.decode("utf-8", "replace") for w in words[i:i + 2000]]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
             starts = np.cumsum([0] + [len(w) + 1 for w in part])
             at = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
             cut = np.searchsorted(at, starts)
-            for j, word in enumerate(part):
+            for j, word in enumerate(words[i:i + 2000]):
                 self.new[word] = ids[cut[j]:cut[j + 1]].tobytes()
 
+    def _known(self, word: bytes) -> bool:
+        if word in self.new:
+            return True
+        ids = self.old.get(word)
+        if ids is not None:
+            self.new[word] = ids
+        return ids is not None
+
+    def _learn(self, words: set[bytes]) -> None:
+        split, fresh = [], set()
+        for word in words:
+            if self._known(word):
+                continue
+            front = word.rstrip(MARKS)
+            if 0 < len(front) < len(word) and front[-1:].isalnum():
+                split.append((word, front, word[len(front):]))
+                fresh.update(x for x in split[-1][1:] if not self._known(x))
+            else:
+                fresh.add(word)
+        rest = []
+        for word in fresh:
+            if word.isalpha() and word.islower():  # ASCII letters only: nothing to normalise or to split
+                self.new[word] = np.array([t.id for t in self.model.tokenize(word.decode())], "<u4").tobytes()
+            else:
+                rest.append(word)
+        self._encode(rest)
+        for word, front, marks in split:
+            self.new[word] = self.new[front] + self.new[marks]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        split = [r.translate(BLANK if b"<|" in r else PLAIN).split(b" ") for r in raw]  # names of special tokens stay
         if len(self.new) > CACHED_WORDS:
-            self.old, self.new = self.new, {"": b""}
-        unseen = []
-        for word in set().union(*split):
-            if word not in self.new:
-                known = self.old.get(word)
-                if known is None:
-                    unseen.append(word)
-                else:
-                    self.new[word] = known
-        self._encode(unseen)
+            self.old, self.new = self.new, {b"": b""}
+        self._learn(set().union(*split))
         look = self.new.__getitem__
         return [b"".join(map(look, words)) for words in split]
 
