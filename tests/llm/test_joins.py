@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from stratalens.llm import embedding_dedup, ngram_join
@@ -83,6 +84,26 @@ def test_vector_links_are_those_of_all_pairs(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_vector_links_of_a_group_larger_than_the_windows(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE", (100, 400))  # several tiles
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    group = rng.normal(size=16) + rng.normal(0, 0.1, (900, 16))
+    x = np.concatenate([group, group[:5], rng.normal(size=(600, 16))])
+    x = x[rng.permutation(len(x))]
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    table = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    found = embedding_dedup.near_duplicates(
+        spark.createDataFrame(table, "vec_id long, embedding array<double>, label int"), window=32)
+    got = {r.vec_id: r for r in found.collect()}
+    root = cases.roots(range(len(x)), [(a, b) for a, b in zip(*near.nonzero()) if a > b])
+    assert near.sum(1).max() > 600
+    assert [got[i].n_links for i in range(len(x))] == near.sum(1).tolist()
+    assert all(got[i].component_id == root[i] for i in got)
+
+
 def test_vectors_that_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     table = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [0.0, 0.0], 1), (5, None, 1), (6, [nan, 1.0], 1),
