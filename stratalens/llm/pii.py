@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from stratalens import runtime
 from stratalens.llm.base import packed, query, table
 
-# Patterns of the entity types, titles, names. Every repetition is bounded.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,6}"
-SECRET = (r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?"
-          r"(?=[A-Za-z+/_-]{0,63}[0-9])[A-Za-z0-9+/_-]{6,128}+")
+# Patterns of the entity types, titles, names. Repetitions are bounded, or possessive and run to the true end.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+LABEL = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?"
+SECRET = (rf"(?<![A-Za-z]){LABEL}(?=[A-Za-z+/_=~.-]*+[0-9])(?=(?:\.?[A-Za-z0-9+/_=~-]){{6}})"
+          r"[A-Za-z0-9+/_=~-]++(?:\.++[A-Za-z0-9+/_=~-]++)*+")
 KEY = r"(?<![A-Za-z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -29,7 +30,10 @@ CARD = (r"(?<![0-9.])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4
         r"(?![0-9])")
 MALE = "Mr|Sir|Herr|Herrn|Señor|Monsieur|Господин"
 FEMALE = "Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mme|Госпожа"
-NAME = rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.?[ ]\p{{Lu}}\p{{Ll}}{{1,30}}(?:[ ]\p{{Lu}}\p{{Ll}}{{1,30}})?"
+TITLE = rf"(?:{MALE}|{FEMALE})\.?[ ]"
+PARTICLE = "(?:von|van|vom|der|den|de|del|della|di|da|dos|du|la|le|zu|zur|bin|ibn|al|el|ter|ten)"
+WORD = r"\p{Lu}(?:\.(?=[ ]\p{Lu})|[\p{L}\p{M}]*+(?:['’-](?![sS](?!\p{L}))\p{L}[\p{L}\p{M}]*+)*+)"
+NAME = rf"(?<!\p{{L}}){TITLE}(?:{PARTICLE}[ ])*+{WORD}(?:(?:[ ]{PARTICLE})*+[ ]{WORD})*+(?!\p{{L}})"
 ANY = rf"{EMAIL}|(?=[pPsStTaA]){SECRET}|(?=[0-9+(])(?:{IP}|{SSN}|{PHONE}|{CARD})|(?=[A-ZГ])(?:{KEY}|{IBAN}|{NAME})"
 #: What every text with a match holds: a digit, an at sign, or a title.
 GUARD = "[0-9@]|[MSHFГ](?:rs?|s|iss|ir|err|eñor|onsieur|осп|rau|adame|me)"
@@ -72,30 +76,31 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(_chars(F.concat(F.substring(s, 5, 64), F.substring(s, 1, 4))), F.lit(0), step)
 
 
-def _kind(e: Column) -> Column:
+def _kind(e: Column, surnames: Column) -> Column:
     """Type of a match; null if it only looks like one (a card or an IBAN with a wrong check digit)."""
     whole = lambda p: e.rlike(f"^(?:{p})$")
     return (F.when(whole(EMAIL), "email").when(whole(SECRET), "secret").when(whole(KEY), "key")
             .when(whole(IBAN), F.when(_mod97(F.replace(e, F.lit(" "), F.lit(""))) == 1, "iban"))
             .when(whole(IP), "ip").when(whole(SSN), "ssn").when(whole(PHONE), "phone")
-            .when(whole(CARD), F.when(_luhn(_digits(e), False) % 10 == 0, "card")).when(whole(NAME), "name"))
+            .when(whole(CARD), F.when(_luhn(_digits(e), False) % 10 == 0, "card")).when(whole(NAME) | F.array_contains(surnames, e), "name"))
 
 
 def _units(e: Column, kind: Column) -> Column:
-    """What of a match is replaced: (type, normal form), one each, but first and last name of a person."""
+    """What of a match is replaced: (type, normal form), one each, but every name of a person; a single word is a surname."""
     unit = lambda t, n: F.struct(t.alias("type"), n.alias("norm"))
     one = lambda n: F.array(unit(kind, n))
-    words = F.split(e, " ")
+    words = F.filter(F.split(e, " "), lambda w: ~w.rlike(f"^{PARTICLE}$"))
     script = F.when(e.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     gender = F.when(e.rlike(rf"^(?:{MALE})\.?[ ]"), "m").otherwise("f")
     last = unit(F.concat(F.lit("last."), script), F.get(words, F.size(words) - 1))
-    first = unit(F.concat_ws(".", F.lit("first"), gender, script), F.get(words, F.lit(1)))
+    first = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))),
+                        lambda w: unit(F.concat_ws(".", F.lit("first"), gender, script), w))
     return (F.when(kind == "email", one(F.lower(e)))
-            .when(kind == "secret", one(F.regexp_extract(e, "([A-Za-z0-9+/_-]+)$", 1)))
+            .when(kind == "secret", one(F.regexp_extract(e, f"^{LABEL}(.*)$", 1)))
             .when(kind == "iban", one(F.replace(e, F.lit(" "), F.lit(""))))
             .when(kind == "phone", one(F.right(_digits(e), F.lit(10))))
             .when(kind.isin("card", "ssn"), one(_digits(e)))
-            .when(kind == "name", F.when(F.size(words) > 2, F.array(first, last)).otherwise(F.array(last)))
+            .when(kind == "name", F.concat(first, F.array(last)))
             .when(kind.isNotNull(), one(e)))
 
 
@@ -160,19 +165,36 @@ def _render(e: Column, kind: Column, units: Column) -> Column:
     shaped = F.aggregate(_chars(e), start, put, lambda a: a["out"])
     letters = F.aggregate(F.transform(F.arrays_zip(_chars(e).alias("c"), _chars(first).alias("s")), lambda z: F.when(
         z["c"].between("A", "Z"), F.upper(z["s"])).otherwise(z["s"])), F.lit(""), lambda a, c: F.concat(a, c))
-    return (F.when(kind == "name", F.concat_ws(" ", F.get(F.split(e, " "), F.lit(0)), F.array_join(units, " ")))
-            .when(kind == "secret", F.concat(F.regexp_extract(e, "^(.*?)[A-Za-z0-9+/_-]+$", 1), first))
+    return (F.when(kind == "name", F.concat(F.regexp_extract(e, f"^{TITLE}", 0), F.array_join(units, " ")))
+            .when(kind == "secret", F.concat(F.regexp_extract(e, f"^({LABEL}).*$", 1), first))
             .when(kind == "email", letters).when(kind.isin("phone", "card", "ssn", "iban"), shaped).otherwise(first))
 
 
-def entities(text: Column) -> Column:
-    """``array<struct<match, kind, units>>``: every match in order; the kind of a false one is null."""
-    matches = F.when(text.rlike(GUARD), F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
-    with_kind = F.transform(matches, lambda e: F.struct(e.alias("match"), _kind(e).alias("kind")))
+def _found(text: Column, pattern: Column, surnames: Column) -> Column:
+    matches = F.when(text.rlike(GUARD), F.regexp_extract_all(text, pattern, 0)).otherwise(F.array().cast("array<string>"))
+    with_kind = F.transform(matches, lambda e: F.struct(e.alias("match"), _kind(e, surnames).alias("kind")))
     return F.transform(with_kind, lambda x: F.struct(x["match"].alias("match"), x["kind"].alias("kind"),
                                                      _units(x["match"], x["kind"]).alias("units")))
 
 
+def entities(rows: DataFrame) -> DataFrame:
+    """Adds ``found array<struct<match, kind, units>>``, every match in order, the kind of a false one null, and ``pattern``.
+
+    The surnames found after a title are looked for without one in the same text, so the pattern belongs to the text.
+    """
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("titled", _found(F.col("text"), F.lit(ANY), none))
+    last = F.flatten(F.transform(F.filter("titled", lambda f: f["kind"] == "name"), lambda f: f["units"]))
+    known = F.transform(F.filter(last, lambda u: u["type"].startswith("last.") & (F.length(u["norm"]) > 1)), lambda u: u["norm"])
+    rows = rows.withColumn("surnames", F.sort_array(F.array_distinct(known), asc=False))  # the longer of two with one start first
+    some = F.size("surnames") > 0
+    quoted = F.array_join(F.transform("surnames", lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E"))), "|")
+    rows = rows.withColumn("pattern", F.when(some, F.concat(
+        F.lit(ANY + r"|(?<![\p{L}\p{M}])(?:"), quoted, F.lit(r")(?![\p{L}\p{M}])"))).otherwise(F.lit(ANY)))
+    return (rows.withColumn("found", F.when(some, _found(F.col("text"), F.col("pattern"), F.col("surnames")))
+                            .otherwise(F.col("titled"))).drop("titled", "surnames"))
+
+
 def clashes(units: DataFrame, key: str) -> DataFrame | None:
     """``type, norm, attempt`` of the entities whose first surrogate may not be used; None if there are none.
 
@@ -205,7 +227,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
     A null text stays null with no spans; a text without entities stays as it is. Equal texts get equal results.
     """
-    rows = packed(docs, text_col).withColumn("found", entities(F.col("text")))
+    rows = entities(packed(docs, text_col))
     units = (rows.select(F.explode("found").alias("f"))
              .select(F.explode("f.units").alias("u")).select("u.type", "u.norm").distinct())
     again = clashes(units, key)
@@ -229,7 +251,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     new = F.transform("found", lambda f: F.struct(f["kind"].alias("kind"), F.when(
         f["kind"].isNotNull(), _render(f["match"], f["kind"], F.transform(f["units"], surrogate)))
         .otherwise(f["match"]).alias("new")))
-    rows = rows.withColumn("new", F.when(some, new)).withColumn("between", F.when(some, F.split("text", ANY, -1)))
+    rows = rows.withColumn("new", F.when(some, new)).withColumn("between", F.when(some, F.split("text", F.col("pattern"), -1)))
     start = F.struct(F.element_at("between", 1).alias("out"), F.array().cast(
         "array<struct<type:string,start:int,length:int>>").alias("spans"))
 

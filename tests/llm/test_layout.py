@@ -60,6 +60,25 @@ def test_surrogates_stay_distinct(spark):
     assert len({s[1].split()[2] for _, spans in got.values() for s in spans}) == 1
 
 
+def test_surrogates_cover_whole_secrets_and_names(spark):
+    long = "".join(f"{i:x}G" for i in range(120))[:200]
+    texts = [f"token={long} end", "token=eyJhbGci1.eyJzdWIi.SflKxwRJ~x=. Next", "Herr Karl Heinz Schmidt and Herr Schmidt. Schmidt said",
+             "Mr McDonald, Frau Mueller-X, Mr O'Brien's hat, Mrs J. Smith, Herr von Goethe; Goethe", "Smith is no name here",
+             "mail a@b.c1.c2.c3.c4.c5.c6.c7.org", f"{'long.' * 20}name@example.org"]
+    got = surrogates(spark, texts)
+    assert got[0][0].endswith(" end") and len(got[0][0]) == len(texts[0]) and long[128:] not in got[0][0]
+    jwt = got[1][1][0][1]
+    assert got[1][0].endswith(". Next") and jwt.count(".") == 2 and "eyJzdWIi" not in jwt and "SflKxwRJ" not in jwt
+    whole, short, bare = (x for _, x in got[2][1])
+    assert len(whole.split()) == 4 and whole.split()[3] == short.split()[1] == bare
+    for old in ("McDonald", "Donald", "Mueller", "-X", "Brien", "J.", "Smith", "Goethe", "von"):
+        assert old not in got[3][0]
+    assert "'s hat" in got[3][0] and [k for k, _ in got[3][1]] == ["name"] * 6
+    assert got[3][1][4][1].split()[1] == got[3][1][5][1]
+    assert got[4] == (texts[4], [])
+    assert ".c7" not in got[5][0] and got[5][0].endswith(".org") and "long." not in got[6][0]
+
+
 def test_surrogates_of_awkward_rows(spark):
     docs = cases.awkward(spark, [SAMPLE[0]] * 2)
     done = pii.hide_private(spark, docs.withColumn("n_chars", F.lit(0).cast("long")), "")
