@@ -35,8 +35,8 @@ PARTICLE = "(?:von|van|vom|der|den|de|del|della|di|da|dos|du|la|le|zu|zur|bin|ib
 WORD = r"\p{Lu}(?:\.(?=[ ]\p{Lu})|[\p{L}\p{M}]*+(?:['’-](?![sS](?!\p{L}))\p{L}[\p{L}\p{M}]*+)*+)"
 NAME = rf"(?<!\p{{L}}){TITLE}(?:{PARTICLE}[ ])*+{WORD}(?:(?:[ ]{PARTICLE})*+[ ]{WORD})*+(?!\p{{L}})"
 ANY = rf"{EMAIL}|(?=[pPsStTaA]){SECRET}|(?=[0-9+(])(?:{IP}|{SSN}|{PHONE}|{CARD})|(?=[A-ZГ])(?:{KEY}|{IBAN}|{NAME})"
-#: What every text with a match holds: a digit, an at sign, or a title.
-GUARD = "[0-9@]|[MSHFГ](?:rs?|s|iss|ir|err|eñor|onsieur|осп|rau|adame|me)"
+#: What every text with a match holds: a digit, an at sign, the start of a key, or a title.
+GUARD = "[0-9@]|A[KS]IA|[MSHFГ](?:rs?|s|iss|ir|err|eñor|onsieur|осп|rau|adame|me)"
 FIRST = {
     ("m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leo Martin Noah Oscar Paul",
     ("f", "latin"): "Anna Berta Clara Diana Emma Flora Greta Helen Irene Julia Karla Laura Maria Nora Olga Paula",
