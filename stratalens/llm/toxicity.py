@@ -1,6 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are the lower-cased words of a text and their 4- and 5-byte stems, hashed. Beside a weight per term the model
+Terms are the lower-cased words of a text and their 4- and 5-byte stems, all hashed into a fixed number of slots; none is
+left out. In pairs a text's terms count one over the root of their number each, so that long texts do not drown in them. Beside a weight per term the model
 learns a vector per term; the inner product of two vectors is the weight of that pair occurring in one text, so that an
 insult together with a mention of a group can score high where neither does alone.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens import runtime
-from stratalens.llm.base import in_fold, map_texts, packed, query, sample_ids, table, text_slices
+from stratalens.llm.base import in_fold, map_texts, packed, query, sample_ids, table
 from stratalens.llm.text import LETTERS, Words
 
 STEMS = (4, 5)
@@ -24,22 +25,24 @@ STEMS = (4, 5)
 
 @dataclass
 class Model:
-    """``slot``: model position of each hash bucket, -1 if it has none; ``base``: score of a text without terms."""
+    """A weight and a vector for each of 2 ** ``bits`` slots; zero for those that no text of the sample holds."""
 
     bits: int
-    slot: np.ndarray
     bias: float
     weight: np.ndarray
     factor: np.ndarray
 
     def score(self, doc: np.ndarray, term: np.ndarray, docs: int) -> np.ndarray:
         """Scores from distinct (doc, term) pairs."""
+        if not len(self.weight):
+            return np.full(docs, 1 / (1 + np.exp(-self.bias)))
+        n = np.maximum(np.bincount(doc, minlength=docs), 1)
         linear = np.bincount(doc, self.weight[term], docs)
         pairs = np.zeros(docs)
         for f in range(self.factor.shape[1]):
             v = self.factor[term, f]
             pairs += np.bincount(doc, v, docs) ** 2 - np.bincount(doc, v * v, docs)
-        return 1 / (1 + np.exp(-np.clip(self.bias + linear + pairs / 2, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.bias + linear + pairs / 2 / n, -30, 30)))
 
 
 def terms(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,67 +54,54 @@ def terms(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return key >> bits, key & ((1 << bits) - 1)
 
 
-def _choose(rows: DataFrame, bits: int, n_pos: int, n_all: int, limit: int, least: float) -> np.ndarray:
-    """Buckets whose share of toxic texts differs most from the rest, by chi-square; ``limit`` at most."""
-
-    def count(batches):
-        pos, every = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-        for part in text_slices(batches, "text"):
-            doc, term = terms(part.column("text").to_pylist(), bits)
-            label = np.asarray(part.column("label"))[doc]
-            every += np.bincount(term, minlength=1 << bits)
-            pos += np.bincount(term[label == 1], minlength=1 << bits)
-        at = np.flatnonzero(every)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(pos[at]), pa.array(every[at])], ["term", "pos", "n"])
-
-    rate = n_pos / n_all
-    spread = rate * (1 - rate)
-    chosen = (rows.mapInArrow(count, "term long, pos long, n long").groupBy("term")
-              .agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).filter("n >= 3")
-              .withColumn("chi", F.pow(F.col("pos") - F.col("n") * rate, 2)
-                          / (F.col("n") * F.lit(spread) * (1 - F.col("n") / F.lit(float(n_all) + 1))))
-              .filter(F.col("chi") >= least).orderBy(F.desc("chi"), "term").limit(limit).collect())
-    return np.sort(np.array([r.term for r in chosen], np.int64))
-
-
 def _fit(doc, term, label, n_terms, rank, epochs, seed, rate=0.1, decay=1e-4):
     """Adagrad on the log loss, all in arrays over (doc, term) pairs sorted by doc."""
     rng = np.random.default_rng(seed)
     docs = len(label)
     bounds = np.searchsorted(doc, np.arange(docs + 1))
     w, v = np.zeros(n_terms), rng.normal(0, 0.05, (n_terms, rank))
+    seen = np.zeros(n_terms, bool)
+    seen[term] = True
+    v[~seen] = 0
     b = float(np.log((label.sum() + 1) / (docs - label.sum() + 1)))
-    gw, gv, gb = np.full(n_terms, 1e-6), np.full((n_terms, rank), 1e-6), 1e-6
-    for _ in range(epochs):
+    gw, gv, gb = np.full(n_terms, 1e-2), np.full((n_terms, rank), 1e-2), 1e-6
+    n = np.bincount(term, minlength=n_terms)
+    toxic = label.mean()
+    chi = ((np.bincount(term, label[doc], n_terms) - n * toxic) ** 2
+           / np.maximum(n * toxic * (1 - toxic) * (1 - n / (docs + 1)), 1e-9))
+    gain = (chi ** 2 / (chi ** 2 + 400)) ** 2  # of the weights only; a term that says nothing alone keeps its vector
+    for epoch in range(epochs):
         for part in np.array_split(rng.permutation(docs), max(1, docs // 256)):
             counts = bounds[part + 1] - bounds[part]
             row = np.repeat(np.arange(len(part)), counts)
             at = np.repeat(bounds[part], counts) + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            t = term[at]
-            vt = v[t]
-            s = np.stack([np.bincount(row, vt[:, f], len(part)) for f in range(rank)], 1)
-            sq = np.stack([np.bincount(row, vt[:, f] ** 2, len(part)) for f in range(rank)], 1)
-            z = b + np.bincount(row, w[t], len(part)) + 0.5 * (s ** 2 - sq).sum(1)
+            u, t = np.unique(term[at], return_inverse=True)  # only the slots of these texts are touched
+            x = 1 / np.sqrt(np.maximum(counts, 1))
+            wu, vu, gu = w[u], v[u], gain[u]
+            s = np.stack([np.bincount(row, vu[t, f], len(part)) for f in range(rank)], 1) * x[:, None]
+            sq = np.bincount(row, (vu ** 2).sum(1)[t], len(part)) * x ** 2
+            z = b + np.bincount(row, (wu * gu)[t], len(part)) + 0.5 * ((s ** 2).sum(1) - sq)
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[part]) / len(part) * 16
-            grad = np.bincount(t, err[row], n_terms) + decay * w
-            gw += grad ** 2
-            w -= rate * grad / np.sqrt(gw)
-            each = err[row][:, None] * (s[row] - vt)
-            grad = np.stack([np.bincount(t, each[:, f], n_terms) for f in range(rank)], 1) + decay * v
-            gv += grad ** 2
-            v -= rate * 0.3 * grad / np.sqrt(gv)
+            grad = np.bincount(t, err[row], len(u)) * gu + decay * wu
+            gw[u] += grad ** 2
+            w[u] -= rate * grad / np.sqrt(gw[u])
             gb += err.sum() ** 2
             b -= rate * err.sum() / np.sqrt(gb)
-    return b, w, v
+            if epoch < epochs // 2:  # weights first; the vectors learn what they leave
+                continue
+            own = np.bincount(t, (err * x ** 2)[row], len(u))
+            pull = (err * x)[:, None] * s
+            grad = np.stack([np.bincount(t, pull[row, f], len(u)) for f in range(rank)], 1) - own[:, None] * vu + decay * vu
+            gv[u] += grad ** 2
+            v[u] -= rate * 0.3 * grad / np.sqrt(gv[u])
+    return b, w * gain, v
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic",
-        max_rows: int = 20_000, bits: int = 20, max_terms: int = 4096, least_chi: float = 10.0, rank: int = 8,
-        epochs: int = 30, seed: int = 7) -> Model:
+        max_rows: int = 20_000, bits: int = 18, rank: int = 8, epochs: int = 30, seed: int = 7) -> Model:
     """Fit on at most ``max_rows`` labelled rows (a documented bound), chosen by hash of the id.
 
-    Terms are picked by chi-square over that sample on the executors; only the picked terms of each text come to the
-    driver. Without labels of both kinds the model has no terms and scores every text with the share of toxic labels
+    Every term of those texts is used, whatever its own share of toxic texts; their slots come to the driver. Without labels of both kinds the model has no terms and scores every text with the share of toxic labels
     (0 when there are none).
     """
     ids = sample_ids(labels, id_col, label_col, max_rows, seed)
@@ -120,30 +110,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text",
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
         .select("id", "text", "label"))
     n_all, n_pos = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    slot = np.full(1 << bits, -1, np.int32)
     if not n_pos or n_pos == n_all:
         odds = n_pos / (n_all + 1)
         bias = -30.0 if not n_pos else float(np.log(odds / (1 - odds)))
-        return Model(bits, slot, bias, np.zeros(0), np.zeros((0, rank)))
-    chosen = _choose(rows, bits, n_pos, n_all, max_terms, least_chi)
-    slot[chosen] = np.arange(len(chosen))
-    small = rows.sparkSession.sparkContext.broadcast(slot)
+        return Model(bits, bias, np.zeros(0), np.zeros((0, rank)))
 
-    def picked(texts):
+    def slots_of(texts):
         doc, term = terms(texts, bits)
-        at = small.value[term]
-        doc, at = doc[at >= 0], at[at >= 0]
         cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-        return {"slots": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(at, pa.int32()))}
+        return {"slots": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(term, pa.int32()))}
 
-    sample = map_texts(rows, "text", picked, "slots array<int>").toArrow().sort_by([("id", "ascending")])
-    small.unpersist()
+    sample = map_texts(rows, "text", slots_of, "slots array<int>").toArrow().sort_by([("id", "ascending")])
     label = sample.column("label").to_numpy().astype(float)
     slots = sample.column("slots").combine_chunks()
     doc = np.repeat(np.arange(len(label)), pc.list_value_length(slots).to_numpy())
     term = slots.flatten().to_numpy().astype(np.int64)
-    bias, w, v = _fit(doc, term, label, len(chosen), rank, epochs, seed)
-    return Model(bits, slot, bias, w, v)
+    bias, w, v = _fit(doc, term, label, 1 << bits, rank, epochs, seed)
+    return Model(bits, bias, w, v)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -153,8 +136,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(texts):
         m = known.value
         doc, term = terms(texts, m.bits)
-        at = m.slot[term]
-        return {"score": m.score(doc[at >= 0], at[at >= 0], len(texts))}
+        return {"score": m.score(doc, term, len(texts))}
 
     return map_texts(docs, text_col, run, "score double")
 

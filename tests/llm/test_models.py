@@ -31,6 +31,15 @@ def test_toxicity_learns_a_pair_of_terms(spark):
     assert all((got[i] >= 0.5) == ("apple" in t and "river" in t) for i, t in enumerate(texts))
 
 
+def test_toxicity_learns_terms_that_are_neutral_alone(spark):
+    kinds = ["apple river", "pear stone", "apple stone", "pear river"]  # the first two toxic: each word as often in clean texts
+    texts = [f"{kinds[i % 4]} w{i * 7 % 13} w{i % 11}" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 < 2)) for i in range(400)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert sum((got[i] >= 0.5) == (i % 4 < 2) for i in got) >= 392
+
+
 def test_toxicity_without_labels_and_with_awkward_rows(spark):
     docs = cases.awkward(spark)
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
