@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 PARTS = ["pii", "embedding_dedup", "quality", "ngram_join", "sharding", "language", "mixing", "rules", "toxicity",
-         "packing"]
+         "packing", "line_dedup", "whitening", "filter_audit"]
 
 
 def load():
