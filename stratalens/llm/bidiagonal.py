@@ -168,12 +168,22 @@ class Twisted:
         return z
 
 
+def _product(d: np.ndarray, e: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """B'B z."""
+    u = d * z
+    u[:-1] += e * z[1:]
+    out = d * u
+    out[1:] += e * u[:-1]
+    return out
+
+
 def _block_vectors(d: np.ndarray, e: np.ndarray, values: np.ndarray) -> np.ndarray:
     """A unit vector per value, as columns; values rise."""
     n, out = len(d), np.zeros((len(d), len(values)))
     if n == 1:
         return np.ones((1, 1))
     rng = np.random.default_rng(1)
+    top = max(float(values[-1]), 1e-300)
     group = 0
     for k, value in enumerate(values):
         if k and value - values[k - 1] > CLUSTER * value:
@@ -187,11 +197,14 @@ def _block_vectors(d: np.ndarray, e: np.ndarray, values: np.ndarray) -> np.ndarr
             out[:, k] = z / np.linalg.norm(z)
             continue
         z = rng.normal(size=n)
-        for _ in range(4):
+        for _ in range(12):
             z = t.solve(z / np.linalg.norm(z))
-            for _ in range(2):
+            for _ in range(3):
                 z -= out[:, group:k] @ (out[:, group:k].T @ z)
-        out[:, k] = z / np.linalg.norm(z)
+                z /= np.linalg.norm(z)
+            if np.linalg.norm(_product(d, e, z) - value * z) <= 4 * EPS * top:
+                break
+        out[:, k] = z
     return out
 
 
