@@ -208,6 +208,21 @@ def _block_vectors(d: np.ndarray, e: np.ndarray, values: np.ndarray) -> np.ndarr
     return out
 
 
+def _refine(b: np.ndarray, values: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Two quadratically convergent corrections of all directions at once (Ogita and Aishima, 2018).
+
+    Twisted factors of clustered values can lose digits to growing pivots; this takes the mutual error out again.
+    """
+    gap = values[None, :] - values[:, None]
+    apart = np.abs(gap) > CLUSTER * np.maximum(values[None, :], values[:, None])
+    for _ in range(2):
+        bz = b @ z
+        missing = np.eye(z.shape[1]) - z.T @ z
+        turn = (bz.T @ bz + values[None, :] * missing) / np.where(apart, gap, 1)
+        z = z + z @ np.where(apart, turn, missing / 2)
+    return z
+
+
 def right_singular(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Squared singular values of a square matrix, falling, and unit right singular vectors as columns.
 
@@ -230,6 +245,9 @@ def right_singular(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             dd = d[block]
         vectors[block, block] = _block_vectors(dd, e[first:end - 1], found)
     order = np.argsort(-values, kind="stable")
-    out = v @ vectors[:, order]
+    z, sorted_values = vectors[:, order], values[order]
+    some = int((sorted_values > (4 * n * EPS) ** 2 * sorted_values[0]).sum())
+    z[:, :some] = _refine(np.diag(d) + np.diag(e, 1), sorted_values[:some], z[:, :some])
+    out = v @ z
     sign = np.sign(out[np.abs(out).argmax(0), np.arange(n)])
     return values[order] * top * top, out * np.where(sign == 0, 1, sign)
