@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stratalens import runtime
 
@@ -56,11 +57,12 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHU
 def map_texts(df: DataFrame, text: str, fn, schema: str) -> DataFrame:
     """``fn(list of texts or None) -> dict of arrays`` over every row; the other columns of ``df`` pass through.
 
-    ``schema`` names the new columns; the text itself is not returned.
+    ``schema`` names the new columns; the text itself is not returned, nor a column that has the name of a new one.
     """
     runtime.ship_package(df.sparkSession)
-    kept = [c for c in df.columns if c != text]
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text] + [schema])
+    new = {name.lower() for name in StructType.fromDDL(schema).names}
+    kept = [c for c in df.columns if c != text and c.lower() not in new]
+    fields = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [schema])
 
     def run(batches):
         for part in text_slices(batches, text):

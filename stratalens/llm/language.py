@@ -88,7 +88,8 @@ def fit(docs: DataFrame, *, text_col="text", lang_col="lang", id_col="doc_id", p
     """Fit from ``docs`` with a language and a text.
 
     Document frequencies of the trigrams cover all these rows. Centroids come from about ``per_lang`` rows of each
-    language (a documented bound), those under a hash threshold of the id. ``least`` of a centroid is the cosine that
+    language (a documented bound), those under a hash threshold of id and text, so that rows without an id, or with the
+    same one, are drawn one by one. ``least`` of a centroid is the cosine that
     the share ``reject`` of its training texts falls short of. More than ``MAX_LANGS`` languages are an error.
     """
     runtime.ship_package(docs.sparkSession)
@@ -111,7 +112,7 @@ def fit(docs: DataFrame, *, text_col="text", lang_col="lang", id_col="doc_id", p
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     sizes = F.broadcast(rows.sparkSession.createDataFrame([(r.lang, r.n) for r in sizes], "of string, in_lang long"))
-    mark = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 1) / F.lit(float(1 << 63))
+    mark = F.shiftrightunsigned(F.xxhash64(F.coalesce("id", F.lit("")), "text", F.lit(seed)), 1) / F.lit(float(1 << 63))
     sample = (rows.join(sizes, F.col("lang") == F.col("of")).filter(mark < F.lit(float(per_lang)) / F.col("in_lang")).select("id", "lang", "text"))
 
     def centroids(group):

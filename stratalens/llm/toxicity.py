@@ -4,6 +4,10 @@ Terms are the lower-cased words of a text and their 4- and 5-byte stems, all has
 left out. In pairs a text's terms count one over the root of their number each, so that long texts do not drown in them. Beside a weight per term the model
 learns a vector per term; the inner product of two vectors is the weight of that pair occurring in one text, so that an
 insult together with a mention of a group can score high where neither does alone.
+
+Null, empty and wordless texts have no terms and score by the bias alone. Whole texts are scored, however long. Equal texts
+score alike; repeated rows and ids each give a row. An empty table gives an empty one. A column of the input named
+``score`` is replaced by the new one.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from stratalens.llm.base import in_fold, map_texts, packed, query, sample_ids, t
 from stratalens.llm.text import LETTERS, Words
 
 STEMS = (4, 5)
+ROUNDS = 7
+BLOCK = 1 << 12  # slots a task sends at once
 
 
 @dataclass
@@ -31,18 +37,23 @@ class Model:
     bias: float
     weight: np.ndarray
     factor: np.ndarray
+    slope: float = 1.0
+    shift: float = 0.0
 
-    def score(self, doc: np.ndarray, term: np.ndarray, docs: int) -> np.ndarray:
-        """Scores from distinct (doc, term) pairs."""
+    def logit(self, doc: np.ndarray, term: np.ndarray, docs: int) -> np.ndarray:
+        """Log odds from distinct (doc, term) pairs, before calibration."""
         if not len(self.weight):
-            return np.full(docs, 1 / (1 + np.exp(-self.bias)))
+            return np.full(docs, self.bias)
         n = np.maximum(np.bincount(doc, minlength=docs), 1)
         linear = np.bincount(doc, self.weight[term], docs)
         pairs = np.zeros(docs)
         for f in range(self.factor.shape[1]):
             v = self.factor[term, f]
             pairs += np.bincount(doc, v, docs) ** 2 - np.bincount(doc, v * v, docs)
-        return 1 / (1 + np.exp(-np.clip(self.bias + linear + pairs / 2 / n, -30, 30)))
+        return np.clip(self.bias + linear + pairs / 2 / n, -30, 30)
+
+    def score(self, doc: np.ndarray, term: np.ndarray, docs: int) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.logit(doc, term, docs) + self.shift, -30, 30)))
 
 
 def terms(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,79 +65,186 @@ def terms(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return key >> bits, key & ((1 << bits) - 1)
 
 
-def _fit(doc, term, label, n_terms, rank, epochs, seed, rate=0.1, decay=1e-4):
-    """Adagrad on the log loss, all in arrays over (doc, term) pairs sorted by doc."""
+@dataclass
+class State:
+    """What training carries from round to round; ``table`` has per slot the weight, its squared gradients, the vector and
+    its squared gradients."""
+
+    table: np.ndarray
+    bias: float
+    bias_squares: float
+
+    @classmethod
+    def first(cls, bits: int, rank: int, odds: float, seed: int) -> State:
+        rng = np.random.default_rng(seed)
+        table = np.full((1 << bits, 2 + 2 * rank), 1e-2, np.float32)
+        table[:, 0] = 0
+        table[:, 2:2 + rank] = rng.normal(0, 0.05, (1 << bits, rank))
+        return cls(table, float(np.log(odds)), 1e-6)
+
+
+def train(state: State, doc: np.ndarray, term: np.ndarray, label: np.ndarray, epochs: int, vectors: bool, seed: int,
+          sparse: float, rate: float = 0.1, decay: float = 1e-4, batch: int = 64) -> State:
+    """Adagrad on the log loss over distinct (doc, term) pairs sorted by doc; changes ``state`` in place.
+
+    ``sparse`` is a penalty on the size of each weight, the same in every pass however often the term occurs (proximal
+    steps, each time a term is met), so that a word of very few texts gets no weight. Vectors have no such penalty.
+    ``vectors`` says whether they are trained beside the weights.
+    """
     rng = np.random.default_rng(seed)
-    docs = len(label)
+    docs, rank = len(label), (state.table.shape[1] - 2) // 2
     bounds = np.searchsorted(doc, np.arange(docs + 1))
-    w, v = np.zeros(n_terms), rng.normal(0, 0.05, (n_terms, rank))
-    seen = np.zeros(n_terms, bool)
-    seen[term] = True
-    v[~seen] = 0
-    b = float(np.log((label.sum() + 1) / (docs - label.sum() + 1)))
-    gw, gv, gb = np.full(n_terms, 1e-2), np.full((n_terms, rank), 1e-2), 1e-6
-    n = np.bincount(term, minlength=n_terms)
-    toxic = label.mean()
-    chi = ((np.bincount(term, label[doc], n_terms) - n * toxic) ** 2
-           / np.maximum(n * toxic * (1 - toxic) * (1 - n / (docs + 1)), 1e-9))
-    gain = (chi ** 2 / (chi ** 2 + 400)) ** 2  # of the weights only; a term that says nothing alone keeps its vector
-    for epoch in range(epochs):
-        for part in np.array_split(rng.permutation(docs), max(1, docs // 256)):
+    steps = max(1, docs // batch)
+    each = sparse / np.clip(np.bincount(term, minlength=len(state.table)), 1, steps)
+    for _ in range(epochs):
+        for part in np.array_split(rng.permutation(docs), steps):
             counts = bounds[part + 1] - bounds[part]
             row = np.repeat(np.arange(len(part)), counts)
             at = np.repeat(bounds[part], counts) + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
             u, t = np.unique(term[at], return_inverse=True)  # only the slots of these texts are touched
             x = 1 / np.sqrt(np.maximum(counts, 1))
-            wu, vu, gu = w[u], v[u], gain[u]
-            s = np.stack([np.bincount(row, vu[t, f], len(part)) for f in range(rank)], 1) * x[:, None]
-            sq = np.bincount(row, (vu ** 2).sum(1)[t], len(part)) * x ** 2
-            z = b + np.bincount(row, (wu * gu)[t], len(part)) + 0.5 * ((s ** 2).sum(1) - sq)
+            mine = state.table[u].astype(float)
+            w, gw, v, gv = mine[:, 0], mine[:, 1], mine[:, 2:2 + rank], mine[:, 2 + rank:]
+            s = np.stack([np.bincount(row, v[t, f], len(part)) for f in range(rank)], 1) * x[:, None]
+            sq = np.bincount(row, (v ** 2).sum(1)[t], len(part)) * x ** 2
+            z = state.bias + np.bincount(row, w[t], len(part)) + 0.5 * ((s ** 2).sum(1) - sq)
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[part]) / len(part) * 16
-            grad = np.bincount(t, err[row], len(u)) * gu + decay * wu
-            gw[u] += grad ** 2
-            w[u] -= rate * grad / np.sqrt(gw[u])
-            gb += err.sum() ** 2
-            b -= rate * err.sum() / np.sqrt(gb)
-            if epoch < epochs // 2:  # weights first; the vectors learn what they leave
-                continue
-            own = np.bincount(t, (err * x ** 2)[row], len(u))
-            pull = (err * x)[:, None] * s
-            grad = np.stack([np.bincount(t, pull[row, f], len(u)) for f in range(rank)], 1) - own[:, None] * vu + decay * vu
-            gv[u] += grad ** 2
-            v[u] -= rate * 0.3 * grad / np.sqrt(gv[u])
-    return b, w * gain, v
+            grad = np.bincount(t, err[row], len(u)) + decay * w
+            gw += grad ** 2
+            step = rate / np.sqrt(gw)
+            w -= step * grad
+            w[:] = np.sign(w) * np.maximum(np.abs(w) - each[u] * step, 0)
+            state.bias_squares += err.sum() ** 2
+            state.bias -= rate * err.sum() / np.sqrt(state.bias_squares)
+            if vectors:
+                own = np.bincount(t, (err * x ** 2)[row], len(u))
+                pull = (err * x)[:, None] * s
+                grad = (np.stack([np.bincount(t, pull[row, f], len(u)) for f in range(rank)], 1)
+                        - own[:, None] * v + decay * v)
+                gv += grad ** 2
+                v -= rate * 0.3 * grad / np.sqrt(gv)
+            state.table[u] = mine
+    return state
+
+
+def _train_round(sample: DataFrame, state: State, epochs: int, vectors: bool, seed: int, sparse: float) -> State:
+    """Every part of the sample trains its own copy; changes are averaged, weighted by the texts of a part that hold the slot.
+
+    Tasks send blocks of slots, which are added up before they reach the driver: it receives one table, whatever the
+    number of parts.
+    """
+    spark = sample.sparkSession
+    known = spark.sparkContext.broadcast(state)
+    width = state.table.shape[1]
+
+    def run(key, part):
+        part = part.sort_by("id")
+        label = part.column("label").to_numpy().astype(float)
+        slots = part.column("slots").combine_chunks()
+        doc = np.repeat(np.arange(len(label)), pc.list_value_length(slots).to_numpy())
+        term = slots.flatten().to_numpy()
+        old = known.value
+        new = train(State(old.table.copy(), old.bias, old.bias_squares), doc, term, label, epochs, vectors,
+                    seed + key[0].as_py(), sparse)
+        held = np.bincount(term, minlength=len(old.table)).astype(np.float32)
+        change = np.concatenate([held[:, None], (new.table - old.table) * held[:, None]], 1)
+        blocks = [b for b in range(0, len(held), BLOCK) if held[b:b + BLOCK].any()]
+        data = [change[b:b + BLOCK].tobytes() for b in blocks]
+        bias = np.array([1, new.bias - old.bias, new.bias_squares - old.bias_squares], np.float32) * np.float32(len(label))
+        return pa.table({"block": pa.array([*blocks, -1], pa.int32()), "data": pa.array([*data, bias.tobytes()], pa.binary())})
+
+    def add(key, group):
+        group = group.sort_by("data")
+        total = sum(np.frombuffer(d.as_py(), np.float32).astype(float) for d in group.column("data"))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "block int, data binary"
+    made = sample.groupBy("part").applyInArrow(run, schema).groupBy("block").applyInArrow(add, schema).collect()
+    known.destroy()
+    for r in made:
+        total = np.frombuffer(r.data, float)
+        if r.block < 0:
+            state.bias += total[1] / total[0]
+            state.bias_squares += total[2] / total[0]
+        else:
+            total = total.reshape(-1, width + 1)
+            state.table[r.block:r.block + len(total)] += total[:, 1:] / np.maximum(total[:, :1], 1)
+    return state
+
+
+def calibrate(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Platt's slope and shift by Newton steps, on smoothed labels and drawn a little towards no change."""
+    ones = label.sum()
+    goal = np.where(label == 1, (ones + 1) / (ones + 2), 1 / (len(label) - ones + 2))
+    x = np.stack([logit, np.ones(len(logit))], 1)
+    at = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - goal) + 1e-3 * (at - [1, 0]))
+        at -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(max(at[0], 1e-3)), float(at[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic",
-        max_rows: int = 20_000, bits: int = 18, rank: int = 8, epochs: int = 30, seed: int = 7) -> Model:
-    """Fit on at most ``max_rows`` labelled rows (a documented bound), chosen by hash of the id.
+        max_rows: int = 20_000, bits: int = 18, rank: int = 8, visits: int = 60_000, part_terms: int = 2_500_000,
+        sparse: float = 0.05, seed: int = 7) -> Model:
+    """Fit on at most ``max_rows`` labelled rows (a documented bound), chosen by hash of the id; one text per id.
 
-    Every term of those texts is used, whatever its own share of toxic texts; their slots come to the driver. Without labels of both kinds the model has no terms and scores every text with the share of toxic labels
-    (0 when there are none).
+    Every term of those texts is used, whatever its own share of toxic texts. The sample is stored; parts of about
+    ``part_terms`` terms train side by side, round by round, weights first, then the vectors beside them. There are as
+    many passes as make ``visits`` visits of texts, at least 7 and at most 28; the
+    penalty of :func:`train` is ``sparse`` times the root of the number of texts with label 1, as chance counts grow so. Where there are a hundred texts of each
+    label, a fifth of the sample only calibrates the scores; with fewer all train and calibrate. Without labels of both kinds the model has no terms and
+    scores every text with the share of toxic labels (0 when there are none).
     """
+    spark = docs.sparkSession
     ids = sample_ids(labels, id_col, label_col, max_rows, seed)
-    runtime.ship_package(docs.sparkSession)
-    rows = runtime.materialise(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
-        .select("id", "text", "label"))
-    n_all, n_pos = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    if not n_pos or n_pos == n_all:
-        odds = n_pos / (n_all + 1)
-        bias = -30.0 if not n_pos else float(np.log(odds / (1 - odds)))
-        return Model(bits, bias, np.zeros(0), np.zeros((0, rank)))
+    runtime.ship_package(spark)
+    rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+            .select("id", "text", "label"))
 
     def slots_of(texts):
         doc, term = terms(texts, bits)
         cut = np.searchsorted(doc, np.arange(len(texts) + 1))
         return {"slots": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(term, pa.int32()))}
 
-    sample = map_texts(rows, "text", slots_of, "slots array<int>").toArrow().sort_by([("id", "ascending")])
-    label = sample.column("label").to_numpy().astype(float)
-    slots = sample.column("slots").combine_chunks()
-    doc = np.repeat(np.arange(len(label)), pc.list_value_length(slots).to_numpy())
-    term = slots.flatten().to_numpy().astype(np.int64)
-    bias, w, v = _fit(doc, term, label, 1 << bits, rank, epochs, seed)
-    return Model(bits, bias, w, v)
+    path = runtime.scratch_path(spark, "toxicity-sample")
+    (map_texts(rows, "text", slots_of, "slots array<int>").groupBy("id").agg(F.min("label").alias("label"), F.min("slots").alias("slots"))
+     .withColumn("later", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(5)) == 0).write.parquet(path))
+    sample = spark.read.parquet(path)
+    n_all, n_pos, n_terms = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0)),
+                                       F.coalesce(F.sum(F.size("slots")), F.lit(0))).first()
+    if not n_pos or n_pos == n_all:
+        odds = n_pos / (n_all + 1)
+        bias = -30.0 if not n_pos else float(np.log(odds / (1 - odds)))
+        return Model(bits, bias, np.zeros(0), np.zeros((0, rank)))
+    calibrated = min(n_pos, n_all - n_pos) >= 100
+    parts = max(1, -(-n_terms // part_terms))
+    learn = (sample.filter(~F.col("later")) if calibrated else sample).withColumn(
+        "part", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)).cast("int"))
+    epochs = max(1, min(4, visits // (ROUNDS * n_all)))
+    state = State.first(bits, rank, (n_pos + 1) / (n_all - n_pos + 1), seed)
+    for turn in range(ROUNDS):
+        state = _train_round(learn, state, epochs, turn >= ROUNDS // 2, seed + 1000 * turn, sparse * n_pos ** 0.5 / parts)
+    model = Model(bits, state.bias, state.table[:, 0].copy(), state.table[:, 2:2 + rank].copy())
+    known = spark.sparkContext.broadcast(model)
+
+    def logits(batches):
+        for batch in batches:
+            slots = batch.column("slots")
+            doc = np.repeat(np.arange(len(slots)), pc.list_value_length(slots).to_numpy())
+            z = known.value.logit(doc, slots.flatten().to_numpy(), len(slots))
+            yield pa.RecordBatch.from_arrays([pa.array(z), batch.column("label")], ["z", "label"])
+
+    unseen = sample.filter("later") if calibrated else sample
+    found = unseen.select("slots", "label").mapInArrow(logits, "z double, label int").toArrow()
+    z, label = found.column("z").to_numpy(), found.column("label").to_numpy()
+    order = np.lexsort((label, z))  # sums in the same order in every run
+    if 0 < label.sum() < len(label):
+        model.slope, model.shift = calibrate(z[order], label[order].astype(float))
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ def test_toxicity_learns_a_pair_of_terms(spark):
     docs = spark.createDataFrame([(i, f"{t} w{i}") for i, t in enumerate(texts)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int("apple" in t and "river" in t)) for i, t in enumerate(texts)],
                                    "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels, epochs=60)
+    model = toxicity.fit(docs, labels)
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     assert all((got[i] >= 0.5) == ("apple" in t and "river" in t) for i, t in enumerate(texts))
 
@@ -146,3 +146,33 @@ def test_rules_with_awkward_rows(spark):
     got = rules.judge(cases.awkward(spark), labels).collect()
     assert len(got) == 10 and {r.n_words for r in got if r.doc_id in (2, 3, 4)} == {0}
     assert rules.judge(cases.no_rows(spark), labels).count() == 0
+
+
+def test_toxicity_scores_match_a_plain_sum_over_pairs(spark):
+    """Weights of all terms plus the inner products of all pairs, as the definition says."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(10, -0.4, rng.normal(size=1024), rng.normal(size=(1024, 3)), 1.3, 0.2)
+    texts = [None, "", "one", "One two three four, five seventeen", "a b a b a", "Größe größer ähnlich"]
+    doc, term = toxicity.terms(texts, 10)
+    want = []
+    for i in range(len(texts)):
+        own = [int(t) for d, t in zip(doc, term) if d == i]
+        z = -0.4 + sum(model.weight[t] for t in own)
+        z += sum(model.factor[a] @ model.factor[b] for j, a in enumerate(own) for b in own[:j]) / max(1, len(own))
+        want.append(1 / (1 + np.exp(-(1.3 * z + 0.2))))
+    docs = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}  # the new column takes the clashing name
+    assert np.allclose([got[i] for i in range(len(texts))], want)
+
+
+def test_language_sample_of_rows_without_an_id(spark):
+    """Rows that share an id, or have none, are drawn one by one."""
+    rows = [(None if i % 2 else 5, f"{'the and of to in' if i % 3 else 'der und die das von'} word{i}", "en" if i % 3 else "de")
+            for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, per_lang=100)
+    assert set(model.langs) == {"de", "en"}
+    found = language.predict(docs.withColumn("score", F.lit("x")), model)
+    assert found.filter("lang_pred = lang").count() >= 2900 and found.schema["score"].dataType.typeName() == "double"
