@@ -3,8 +3,9 @@
 In each pass the vectors of a label are put in the lexicographic order of 48 random hyperplane signs; each is compared
 with its next ``window`` neighbours, and the pairs of all passes at or above the cosine are united. The number of passes
 follows from the number of vectors, so that a pair at the threshold is missed by all passes in one case of a thousand
-where the vectors are spread evenly. Near copies are not: a component of the found links that may hold more of them than
-windows show is compared whole, tile against tile, and its link counts are those of all its pairs.
+where the vectors are spread evenly. Near copies are not, so every component of the found links is then compared whole:
+link counts are those of all pairs of a component, large or small. Small components share a block of cosines, large
+ones are compared tile against tile.
 """
 
 from __future__ import annotations
@@ -117,38 +118,47 @@ def whole_counts(members: DataFrame, least: float) -> DataFrame:
     """``node, near``: over all pairs of a root, the summed ``size`` of the vectors that link with each.
 
     ``members``: ``node, root, size, vector``, the vectors of a root of one length. Tiles are dealt by the hash of the node;
-    a pair of tiles is one group, in which only blocks of ``BLOCK`` by ``BLOCK`` cosines exist at a time.
+    a pair of tiles is one group, in which only blocks of ``BLOCK`` by ``BLOCK`` cosines exist at a time. Roots of fewer
+    than ``BLOCK`` vectors are dealt whole into bundles of about that many, in which only vectors of one root meet.
     """
     type_of = next(f.dataType.simpleString() for f in members.schema if f.name == "node")
-    count = members.groupBy(F.col("root").alias("of")).agg(F.count("*").alias("n"))
+    count = runtime.materialise(members.groupBy(F.col("root").alias("of"), F.size("vector").alias("dim")).agg(F.count("*").alias("n")))
+    small = F.col("n") < BLOCK
+    few = count.filter(small).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bundles = max(1, -(-few // BLOCK))
     height = F.least(F.lit(TILE[1]), F.greatest(F.lit(TILE[0]), F.ceil(F.col("n") / 32)))
-    tiles = (members.join(runtime.broadcast_if_small(count), F.col("root") == F.col("of")).withColumn("tiles", F.ceil(F.col("n") / height).cast("int"))
+    tiles = (members.join(runtime.broadcast_if_small(count), F.col("root") == F.col("of"))
+             .withColumn("tiles", F.when(small, 1).otherwise(F.ceil(F.col("n") / height)).cast("int"))
+             .withColumn("unit", F.when(small, F.pmod(F.xxhash64("root", F.lit(7)), F.lit(bundles))).otherwise(F.xxhash64("root", F.lit(9))))
              .withColumn("tile", F.pmod(F.xxhash64("node", F.lit(5)), F.col("tiles")).cast("int"))
-             .groupBy("root", "tiles", "tile").agg(F.collect_list(F.struct("node", "size", "vector")).alias("held")))
-    jobs = tiles.select("root", "tile", "held", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
-        "root", "tile", "held", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+             .groupBy("unit", "dim", "tiles", "tile").agg(F.collect_list(F.struct("node", "root", "size", "vector")).alias("held")))
+    jobs = tiles.select("unit", "dim", "tile", "held", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
+        "unit", "dim", "tile", "held", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
 
     def compare(group):
         sides = []
         for held in group.sort_by([("tile", "ascending")]).column("held").combine_chunks():
             (_, x), = _matrix(held.values.field("vector"))
             x /= np.sqrt((x * x).sum(1))[:, None]
-            sides.append((held.values.field("node"), held.values.field("size").to_numpy().astype(np.float64), x))
-        out, same = [np.zeros(len(x)) for _, _, x in sides], group.column("low")[0].as_py() == group.column("high")[0].as_py()
+            sides.append((held.values.field("node"), held.values.field("size").to_numpy().astype(np.float64), x,
+                          np.unique(held.values.field("root").to_numpy(), return_inverse=True)))
+        out, same = [np.zeros(len(x)) for _, _, x, _ in sides], group.column("low")[0].as_py() == group.column("high")[0].as_py()
         if same or len(sides) == 2:  # else the other tile is empty
-            (_, left, x), (_, right, y) = sides[0], sides[-1]
+            (_, left, x, (names, mine)), (_, right, y, (others, theirs)) = sides[0], sides[-1]
+            theirs = np.searchsorted(names, others)[theirs] if len(names) > 1 or not same else theirs
             for i in range(0, len(x), BLOCK):
                 for j in range(0, len(y), BLOCK):
                     near = x[i:i + BLOCK] @ y[j:j + BLOCK].T >= least
+                    near &= mine[i:i + BLOCK][:, None] == theirs[j:j + BLOCK][None, :]
                     if same and i == j:
                         np.fill_diagonal(near, False)
                     out[0][i:i + BLOCK] += near @ right[j:j + BLOCK]
                     if not same:
                         out[1][j:j + BLOCK] += left[i:i + BLOCK] @ near
-        return pa.table({"node": pa.concat_arrays([n for n, _, _ in sides]),
+        return pa.table({"node": pa.concat_arrays([n for n, _, _, _ in sides]),
                          "near": pa.array(np.concatenate(out).astype(np.int64))})
 
-    return (jobs.groupBy("root", "low", "high").applyInArrow(compare, f"node {type_of}, near long")
+    return (jobs.groupBy("unit", "dim", "low", "high").applyInArrow(compare, f"node {type_of}, near long")
             .groupBy("node").agg(F.sum("near").alias("near")))
 
 
@@ -177,19 +187,11 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
     n = classes.count()
     pairs = runtime.materialise(linked_pairs(
         classes.select("node", "label", "vector"), least=least, window=window, passes=passes_for(n, window, least), seed=seed))
-    sizes = classes.select(F.col("node").alias("of"), "size")
-    links = (pairs.union(pairs.select("b", "a")).join(sizes, F.col("b") == F.col("of"))
-             .groupBy("a").agg(F.sum("size").alias("near")))
     roots = components(pairs)
-    # a window shows both sides, so up to window / 4 members it is crowded by strangers only
-    dense = roots.groupBy(F.col("root").alias("big")).agg(F.count("*").alias("n")).filter(F.col("n") >= window // 4).drop("n")
     member = roots.union(roots.select("root", "root").distinct()).toDF("member", "root")
     members = runtime.materialise(
-        member.join(runtime.broadcast_if_small(dense), F.col("root") == F.col("big")).join(classes, F.col("member") == F.col("node"))
-        .select("node", "root", "size", "vector"))
-    exact = whole_counts(members, least).toDF("at", "all_near")
-    links = (links.join(exact, F.col("a") == F.col("at"), "left")
-             .select("a", F.coalesce("all_near", "near").alias("near")))
+        member.join(classes, F.col("member") == F.col("node")).select("node", "root", "size", "vector"))
+    links = whole_counts(members, least).withColumnRenamed("node", "a")
     found = (classes.select("h1", "h2", "node", "size").join(links, F.col("node") == F.col("a"), "left").drop("a")
              .join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
              .select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("root", "node").alias("root"),

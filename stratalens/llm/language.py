@@ -3,6 +3,11 @@
 A text becomes a unit vector of trigram weights over 4096 hash buckets. Each language has several centroids, found by
 spherical k-means over a bounded sample; the language of the nearest centroid by cosine is the answer. A text that is
 farther from its centroid than nearly all training texts of that centroid is marked as rejected.
+
+A null text or one without a letter is ``und`` with score 0 and rejected. Whole texts are read, however long. Equal texts
+get equal results; repeated rows and ids each give a row; of centroids as near as each other the first in the order of
+languages decides. An empty table gives an empty one, and one to learn from a model that knows no language. Columns of
+the input with the names of new ones are replaced.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ In a global order of all shingles, two sets with a Jaccard similarity of at leas
 ``n - ceil(t n) + 1`` shingles. The orders used here put rarer shingles first and differ in how they order shingles of
 equal frequency; a pair must share a prefix shingle under every one of them before its sets are compared.
 
-1. Shingles held by a thousandth of the texts or more are found first. There are at most a thousand times the mean
-   set size of them, whatever the number of texts, so every task can know them and none of them is shuffled by value.
+1. Shingles held by about a thousandth of the texts or more are found first, by counts over all texts of a task in bounded
+   memory. There are at most a thousand times the mean set size of them, whatever the number of texts, so every task
+   can know them and none of them is shuffled by value. One that is missed (see ``Counts``) only makes a larger bucket.
 2. All other shingles meet by value, packed in binary blocks, to learn their frequencies. Those of one text only, nearly
    all, go no further: they fill the prefix and can match nothing.
 3. Sets whose prefix holds more than such shingles are grouped into clusters of sets that are connected by shared prefix
@@ -33,6 +34,8 @@ CHUNK_TOKENS = 1 << 20
 BUCKET_TOKENS = 1 << 20
 HOT_SHARE = 1000
 HOT_LEAST = 64
+KEEP_TEXTS = 4 * HOT_SHARE
+KEEP_TOKENS = 1 << 21
 STRIP = 8192
 
 
@@ -53,21 +56,61 @@ def _first_of_class(kind: np.ndarray, size: np.ndarray) -> np.ndarray:
     return first & (size > 0)
 
 
+class Counts:
+    """Counts of the frequent shingles of a task in bounded memory (lossy counting).
+
+    Shingles are kept over all slices; whenever ``KEEP_TEXTS`` texts or ``KEEP_TOKENS`` shingles have come in, those are
+    dropped that cannot have been in more texts than there were such rounds. A count is short by at most the rounds,
+    so a shingle in a thousandth of the texts of a task is found where texts are of usual length, and one in a tenth
+    of them wherever ``KEEP_TOKENS`` shingles hold twenty texts.
+    """
+
+    def __init__(self):
+        self.value, self.times, self.short = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting, self.texts, self.tokens, self.round = [], 0, 0, 1
+
+    def add(self, token: np.ndarray, texts: int) -> None:
+        self.waiting.append(token)
+        self.texts, self.tokens = self.texts + texts, self.tokens + len(token)
+        if self.texts >= KEEP_TEXTS or self.tokens >= KEEP_TOKENS:
+            self._merge()
+            keep = self.times + self.short > self.round
+            self.value, self.times, self.short = self.value[keep], self.times[keep], self.short[keep]
+            self.texts = self.tokens = 0
+            self.round += 1
+
+    def _merge(self) -> None:
+        new, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.waiting]), return_counts=True)
+        value, back = np.unique(np.concatenate([self.value, new]), return_inverse=True)
+        times, short = np.zeros(len(value), np.int64), np.full(len(value), self.round - 1)
+        np.add.at(times, back[:len(self.value)], self.times)
+        np.add.at(times, back[len(self.value):], count)
+        short[back[:len(self.value)]] = self.short
+        self.value, self.times, self.short, self.waiting = value, times, short, []
+
+    def often(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles held twice or more, with their counts."""
+        self._merge()
+        often = self.times > 1
+        return self.value[often], self.times[often]
+
+
 def _hot(rows: DataFrame, n: int) -> tuple[np.ndarray, int, int]:
     """Frequent shingles in ascending order of (count, value), the number of texts, the number of shingles."""
 
     def count(batches):
+        held = Counts()
         texts_seen = total = 0
         for part in text_slices(batches, "text"):
             doc, token = shingles(part.column("text").to_pylist(), n)
             kind, size = classes_of(doc, token, part.num_rows)
             texts_seen += part.num_rows
             total += len(token)
-            keep = _first_of_class(kind, size)[doc]
-            value, times = np.unique(token[keep], return_counts=True)
-            often = times >= max(2, part.num_rows // (2 * HOT_SHARE))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(value[often].view(np.int64)), pa.array(times[often])], ["token", "times"])
+            held.add(token[_first_of_class(kind, size)[doc]], part.num_rows)
+        value, times = held.often()
+        for first in range(0, len(value), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(value[first:first + (1 << 16)].view(np.int64)),
+                                              pa.array(times[first:first + (1 << 16)])], ["token", "times"])
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(2, pa.int64()), pa.array([-texts_seen, total], pa.int64())], ["token", "times"])
 
@@ -93,7 +136,7 @@ def _frequencies(rows: DataFrame, hot: np.ndarray, buckets: int, n: int) -> Data
     id_kind = rows.schema["doc_id"].dataType.simpleString()
 
     def blocks(batches):
-        held, tokens = [], 0
+        held, tokens, seen = [], 0, 0
         values, places = known.value
         for part in text_slices(batches, "text"):
             doc, token = shingles(part.column("text").to_pylist(), n)
@@ -103,8 +146,10 @@ def _frequencies(rows: DataFrame, hot: np.ndarray, buckets: int, n: int) -> Data
             at = np.minimum(np.searchsorted(values, token.view(np.int64)), max(len(values) - 1, 0))
             is_hot = values[at] == token.view(np.int64) if len(values) else np.zeros(len(token), bool)
             cut = np.concatenate([[0], np.cumsum(np.bincount(doc[is_hot], minlength=part.num_rows))])
+            place = mix(np.arange(seen, seen + len(kind), dtype=np.uint64) ^ kind.view(np.uint64))  # copies of a text go apart
+            seen += len(kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(buckets + (kind & 0xFFFF) % buckets), pa.nulls(len(kind), pa.binary()),
+                [pa.array(buckets + (place % np.uint64(buckets)).astype(np.int64)), pa.nulls(len(kind), pa.binary()),
                  pa.nulls(len(kind), pa.binary()), pa.nulls(len(kind), pa.binary()), part.column("doc_id"),
                  pa.array(kind), pa.array(size.astype(np.int64)),
                  pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(places[at[is_hot]].astype(np.int32)))],

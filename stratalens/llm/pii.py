@@ -1,13 +1,19 @@
 """Surrogates for personal data, with DataFrame functions only.
 
 Detected entities are replaced by keyed surrogates of the same type, format, script and gender. A surrogate depends only
-on the key, the type and the normal form of the entity, so every mention in every text gets the same one. All distinct
-entities of the corpus are then checked: two entities may not share a surrogate, and a surrogate may not be an entity
-that occurs; those that clash draw again until none does. Clashes are rare, so only they are joined back to texts.
+on the key, the type and the normal form of the entity (names also on how many distinct names there are, in powers of 16),
+so every mention in every text gets the same one. All distinct entities of the corpus are then checked: two entities may
+not share a surrogate, and a surrogate may not be an entity that occurs; those that clash draw again until none does.
+Made-up names are long enough that fewer than one in a hundred clashes, and only those are joined back to texts.
+
+A surname found after a title is replaced without one too, in the same text, where it stands as a person does: before a
+verb, a possessive or a mark, not after an article or a preposition of place and not before another capital.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +40,17 @@ TITLE = rf"(?:{MALE}|{FEMALE})\.?[ ]"
 PARTICLE = "(?:von|van|vom|der|den|de|del|della|di|da|dos|du|la|le|zu|zur|bin|ibn|al|el|ter|ten)"
 WORD = r"\p{Lu}(?:\.(?=[ ]\p{Lu})|[\p{L}\p{M}]*+(?:['’-](?![sS](?!\p{L}))\p{L}[\p{L}\p{M}]*+)*+)"
 NAME = rf"(?<!\p{{L}}){TITLE}(?:{PARTICLE}[ ])*+{WORD}(?:(?:[ ]{PARTICLE})*+[ ]{WORD})*+(?!\p{{L}})"
+#: What stands before a bare word that is no person, and after one that is.
+ARTICLE = (r"(?<!(?<!\p{L})(?:[Tt]he|[Aa]n?|[Tt]his|[Tt]hat|[Ee]very|[Nn]o|[Dd]er|[Dd]ie|[Dd]as|[Dd]em|[Dd]en|[Ee]in|[Ee]ine|[Ll]os|[Ll]as|"
+           r"[Uu]n|[Uu]na|[Uu]ne|[Ll]es)[ ])")
+PERSON = (r"(?=['’][sS]?(?!\p{L})|[ ]?(?:[,.;:!?)\]\"”»]|\z|\n)|[ ](?:and|or|und|oder|y|et|и)[ ]\p{Lu}"
+          r"|[ ](?:said|says|told|tells|was|is|has|had|will|would|can|could|did|does|may|went|came|comes|wrote|writes|made|gave|took|left|"
+          r"thinks|thought|knew|knows|sagte|sagt|ist|war|hat|hatte|wird|kann|schrieb|kam|ging|dijo|dice|es|fue|era|tiene|puede|"
+          r"сказал|сказала|был|была|\p{Ll}{2,}(?:ed|te|ó|ет|ит|ла|ал))(?!\p{L}))")
 ANY = rf"{EMAIL}|(?=[pPsStTaA]){SECRET}|(?=[0-9+(])(?:{IP}|{SSN}|{PHONE}|{CARD})|(?=[A-ZГ])(?:{KEY}|{IBAN}|{NAME})"
 #: What every text with a match holds: a digit, an at sign, the start of a key, or a title.
 GUARD = "[0-9@]|A[KS]IA|[MSHFГ](?:rs?|s|iss|ir|err|eñor|onsieur|осп|rau|adame|me)"
+KEY_OPTION = "spark.stratalens.pii.key"
 FIRST = {
     ("m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leo Martin Noah Oscar Paul",
     ("f", "latin"): "Anna Berta Clara Diana Emma Flora Greta Helen Irene Julia Karla Laura Maria Nora Olga Paula",
@@ -104,7 +118,14 @@ def _units(e: Column, kind: Column) -> Column:
             .when(kind.isNotNull(), one(e)))
 
 
-def _surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
+def lengths(units: DataFrame) -> dict[str, int]:
+    """Parts of a made-up name by type: as many as make a hundred times the names there are. A few first names stay single."""
+    names = units.filter(F.col("type").rlike("^(first|last)")).groupBy("type").agg(F.count("*").alias("n")).collect()
+    return {r.type: max(3 if r.type.startswith("last") else 1, ceil(log(100 * r.n, 16))) for r in names
+            if r.type.startswith("last") or r.n > 4}
+
+
+def _surrogate(key: str, kind: Column, norm: Column, attempt: Column, parts: dict[str, int]) -> Column:
     """The keyed surrogate of one unit; 256 bytes from SHA-512 of key, type, normal form and attempt."""
     seed = F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), norm)
     data = F.concat(*[F.sha2(F.concat_ws("|", F.lit(str(i)), seed), 512) for i in range(4)])
@@ -141,9 +162,11 @@ def _surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
                .when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban).when(kind == "ip", octets)
                .when(kind == "ssn", ssn))
         for (gender, script), names in FIRST.items():
-            out = out.when(kind == f"first.{gender}.{script}", listed(names, attempt.cast("int") + 1, "-"))
-        for script, parts in PARTS.items():
-            out = out.when(kind == f"last.{script}", F.initcap(listed(parts, attempt.cast("int") + 3, "")))
+            least = parts.get(f"first.{gender}.{script}", 1)
+            out = out.when(kind == f"first.{gender}.{script}", listed(names, attempt.cast("int") + least, "-"))
+        for script, syllables in PARTS.items():
+            least = parts.get(f"last.{script}", 3)
+            out = out.when(kind == f"last.{script}", F.initcap(listed(syllables, attempt.cast("int") + least, "")))
         return out
 
     return F.get(F.transform(F.array(data), made), F.lit(0))
@@ -190,22 +213,21 @@ def entities(rows: DataFrame) -> DataFrame:
     some = F.size("surnames") > 0
     quoted = F.array_join(F.transform("surnames", lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E"))), "|")
     rows = rows.withColumn("pattern", F.when(some, F.concat(
-        F.lit(ANY + r"|(?<![\p{L}\p{M}])(?:"), quoted, F.lit(r")(?![\p{L}\p{M}])"))).otherwise(F.lit(ANY)))
+        F.lit(ANY + r"|(?<![\p{L}\p{M}])" + ARTICLE + "(?:"), quoted, F.lit(r")(?![\p{L}\p{M}])" + PERSON))).otherwise(F.lit(ANY)))
     return (rows.withColumn("found", F.when(some, _found(F.col("text"), F.col("pattern"), F.col("surnames")))
                             .otherwise(F.col("titled"))).drop("titled", "surnames"))
 
 
-def clashes(units: DataFrame, key: str) -> DataFrame | None:
+def clashes(units: DataFrame, key: str, parts: dict[str, int]) -> DataFrame | None:
     """``type, norm, attempt`` of the entities whose first surrogate may not be used; None if there are none.
 
     ``units``: distinct ``type, norm``. An entity clashes if a smaller one of its type has the same surrogate, or if the
     surrogate is itself an entity of that type. Those draw again, the others stay, until nothing clashes.
     """
-    units = runtime.materialise(units)
     real = units.select(F.col("type").alias("real_type"), F.col("norm").alias("real"))
     state = units.withColumn("attempt", F.lit(0))
     while True:
-        state = state.withColumn("surrogate", _surrogate(key, F.col("type"), F.col("norm"), F.col("attempt")))
+        state = state.withColumn("surrogate", _surrogate(key, F.col("type"), F.col("norm"), F.col("attempt"), parts))
         state = runtime.materialise(state)
         order = "row_number() over (partition by type, surrogate order by attempt, norm)"
         shared = state.groupBy("type", "surrogate").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -230,7 +252,9 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     rows = entities(packed(docs, text_col))
     units = (rows.select(F.explode("found").alias("f"))
              .select(F.explode("f.units").alias("u")).select("u.type", "u.norm").distinct())
-    again = clashes(units, key)
+    units = runtime.materialise(units)
+    parts = lengths(units)
+    again = clashes(units, key, parts)
     if again is None:
         attempts = F.create_map().cast("map<string,int>")
     else:
@@ -245,7 +269,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
     def surrogate(u):
         attempt = F.coalesce(F.element_at(attempts, F.concat_ws("|", u["type"], u["norm"])), F.lit(0))
-        return _surrogate(key, u["type"], u["norm"], attempt)
+        return _surrogate(key, u["type"], u["norm"], attempt, parts)
 
     some = F.size("found") > 0
     new = F.transform("found", lambda f: F.struct(f["kind"].alias("kind"), F.when(
@@ -268,14 +292,19 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
                        F.coalesce("made.spans", F.array().cast("array<struct<type:string,start:int,length:int>>")).alias("spans"))
 
 
+def secret_key(spark: SparkSession) -> str:
+    """The key of the session's option; surrogates can only be told from the names behind them by who knows it."""
+    return spark.conf.get(KEY_OPTION, "no key set")
+
+
 @query("op1_pii")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = replace(table(spark, sf_dir, "documents"), key="op1")
+    done = replace(table(spark, sf_dir, "documents"), key=secret_key(spark))
     return done.select("row.doc_id", "text", F.size("spans").cast("long").alias("n_entities"), "spans")
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all rows and columns, texts with surrogates, ``n_chars`` of the new text."""
-    done = replace(docs, key="pipeline")
+    done = replace(docs, key=secret_key(spark))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return done.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])

@@ -3,6 +3,10 @@
 A text is a bag of passages of 48 words. Each passage becomes a vector of surface features (letter case, symbols,
 word lengths, repetition, transitions between character classes) and is encoded by a learned layer; gated attention,
 learned from labels of whole texts, weighs the passages, and the weighted mean is scored.
+
+Null, empty and wordless texts are one passage of zeros and get its score. Whole texts are scored, however long. Equal texts
+score alike, whatever stands beside them; repeated rows and ids each give a row. An empty table gives an empty one. A
+column of the input named ``score`` is replaced by the new one.
 """
 
 from __future__ import annotations
@@ -59,14 +63,15 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(h), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])
     again = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
-    pairs = h[1:] ^ (h[:-1] * np.uint64(3))
-    order2 = np.lexsort((pairs, of[1:]))
+    inside = of[1:] == of[:-1]  # a pair of words belongs to a passage that holds both
+    pairs, pair_of = (h[1:] ^ (h[:-1] * np.uint64(3)))[inside], of[1:][inside]
+    order2 = np.lexsort((pairs, pair_of))
     twice = np.zeros(len(pairs), bool)
-    twice[1:] = (pairs[order2][1:] == pairs[order2][:-1]) & (of[1:][order2][1:] == of[1:][order2][:-1])
+    twice[1:] = (pairs[order2][1:] == pairs[order2][:-1]) & (pair_of[order2][1:] == pair_of[order2][:-1])
     mean = np.bincount(of, words.length, n) / least
     x[:, 72] = np.bincount(of[order][new], minlength=n) / least
     x[:, 73] = np.bincount(of[1:][again], minlength=n) / least
-    x[:, 74] = np.bincount(of[1:][order2][twice], minlength=n) / least
+    x[:, 74] = np.bincount(pair_of[order2][twice], minlength=n) / least
     x[:, 75] = np.log1p(mean)
     x[:, 76] = np.sqrt(np.maximum(np.bincount(of, words.length.astype(float) ** 2, n) / least - mean ** 2, 0)) / 10
     longest = np.zeros(n)

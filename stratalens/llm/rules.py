@@ -7,6 +7,10 @@ fixed order, which needs no correction; the error level is divided by the number
 so is the risk by the number of rules. With probability 1 - ``error`` no stratum loses more than ``risk`` of its good texts.
 All certified cutoffs hold at once, so any of them may be used: the loosest that rejects as many bad texts as the tightest,
 counting those that no earlier rule rejects.
+
+Null and empty texts have no words and fail the base. Whole texts are measured, however long. A text whose rate equals the
+cutoff stays. Repeated rows and ids each give a row; an id labelled twice counts with its larger label. An empty table
+gives an empty one, and strata with too few labelled texts certify no cutoff. Extra columns are not read.
 """
 
 from __future__ import annotations

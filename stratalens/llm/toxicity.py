@@ -83,9 +83,9 @@ class State:
         return cls(table, float(np.log(odds)), 1e-6)
 
 
-def train(state: State, doc: np.ndarray, term: np.ndarray, label: np.ndarray, epochs: int, vectors: bool, seed: int,
+def train(state: State, bounds: np.ndarray, term: np.ndarray, label: np.ndarray, epochs: int, vectors: bool, seed: int,
           sparse: float, rate: float = 0.1, decay: float = 1e-4, batch: int = 64) -> State:
-    """Adagrad on the log loss over distinct (doc, term) pairs sorted by doc; changes ``state`` in place.
+    """Adagrad on the log loss; changes ``state`` in place. ``bounds`` says where each text's distinct terms begin and end.
 
     ``sparse`` is a penalty on the size of each weight, the same in every pass however often the term occurs (proximal
     steps, each time a term is met), so that a word of very few texts gets no weight. Vectors have no such penalty.
@@ -93,7 +93,6 @@ def train(state: State, doc: np.ndarray, term: np.ndarray, label: np.ndarray, ep
     """
     rng = np.random.default_rng(seed)
     docs, rank = len(label), (state.table.shape[1] - 2) // 2
-    bounds = np.searchsorted(doc, np.arange(docs + 1))
     steps = max(1, docs // batch)
     each = sparse / np.clip(np.bincount(term, minlength=len(state.table)), 1, steps)
     for _ in range(epochs):
@@ -141,34 +140,49 @@ def _train_round(sample: DataFrame, state: State, epochs: int, vectors: bool, se
         part = part.sort_by("id")
         label = part.column("label").to_numpy().astype(float)
         slots = part.column("slots").combine_chunks()
-        doc = np.repeat(np.arange(len(label)), pc.list_value_length(slots).to_numpy())
-        term = slots.flatten().to_numpy()
+        bounds, term = slots.offsets.to_numpy(), slots.values.to_numpy()
         old = known.value
-        new = train(State(old.table.copy(), old.bias, old.bias_squares), doc, term, label, epochs, vectors,
+        seen = np.zeros(len(old.table), bool)
+        seen[term[bounds[0]:bounds[-1]]] = True
+        own = np.flatnonzero(seen).astype(np.int32)  # the slots of this part, a table of their own
+        term = (np.cumsum(seen, dtype=np.int32) - 1)[term]
+        before = old.table[own]
+        new = train(State(before.copy(), old.bias, old.bias_squares), bounds, term, label, epochs, vectors,
                     seed + key[0].as_py(), sparse)
-        held = np.bincount(term, minlength=len(old.table)).astype(np.float32)
-        change = np.concatenate([held[:, None], (new.table - old.table) * held[:, None]], 1)
-        blocks = [b for b in range(0, len(held), BLOCK) if held[b:b + BLOCK].any()]
-        data = [change[b:b + BLOCK].tobytes() for b in blocks]
+        held = np.bincount(term, minlength=len(own)).astype(np.float32)[:, None]
+        change = np.concatenate([held, (new.table - before) * held], 1)
+        cuts = np.searchsorted(own, np.arange(0, len(seen) + 1, BLOCK))
+        some = [b for b in range(len(cuts) - 1) if cuts[b] < cuts[b + 1]]
+        at = [own[cuts[b]:cuts[b + 1]].tobytes() for b in some]
+        data = [change[cuts[b]:cuts[b + 1]].tobytes() for b in some]
         bias = np.array([1, new.bias - old.bias, new.bias_squares - old.bias_squares], np.float32) * np.float32(len(label))
-        return pa.table({"block": pa.array([*blocks, -1], pa.int32()), "data": pa.array([*data, bias.tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([*some, -1], pa.int32()), "at": pa.array([*at, b""], pa.binary()),
+                         "data": pa.array([*data, bias.tobytes()], pa.binary())})
 
     def add(key, group):
-        group = group.sort_by("data")
-        total = sum(np.frombuffer(d.as_py(), np.float32).astype(float) for d in group.column("data"))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "block int, data binary"
+        block = key[0].as_py()
+        total = np.zeros((BLOCK, width + 1) if block >= 0 else 3)
+        for at, data in sorted(zip(group.column("at").to_pylist(), group.column("data").to_pylist())):
+            values = np.frombuffer(data, np.float32)
+            if block < 0:
+                total += values
+            else:
+                total[np.frombuffer(at, np.int32) - block * BLOCK] += values.reshape(-1, width + 1)
+        return pa.table({"block": pa.array([block], pa.int32()), "at": pa.array([b""], pa.binary()),
+                         "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    schema = "block int, at binary, data binary"
     made = sample.groupBy("part").applyInArrow(run, schema).groupBy("block").applyInArrow(add, schema).collect()
     known.destroy()
     for r in made:
-        total = np.frombuffer(r.data, float)
+        total = np.frombuffer(r.data, np.float32)
         if r.block < 0:
-            state.bias += total[1] / total[0]
-            state.bias_squares += total[2] / total[0]
+            state.bias += float(total[1] / total[0])
+            state.bias_squares += float(total[2] / total[0])
         else:
             total = total.reshape(-1, width + 1)
-            state.table[r.block:r.block + len(total)] += total[:, 1:] / np.maximum(total[:, :1], 1)
+            first = r.block * BLOCK
+            state.table[first:first + len(total)] += total[:, 1:] / np.maximum(total[:, :1], 1)
     return state
 
 

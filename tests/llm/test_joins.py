@@ -114,3 +114,49 @@ def test_vectors_that_link_with_nothing(spark):
     assert got.pop(None) == (0, None, True)
     assert got == {1: (1, 1, True), 2: (1, 1, False)} | {i: (0, i, True) for i in range(3, 12)}
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_vector_links_of_small_and_crowded_groups(spark):
+    """Many groups just around the threshold: link counts are those of all pairs of a component."""
+    rng = np.random.default_rng(8)
+    groups = [rng.normal(size=24) + rng.normal(0, 0.14, (int(rng.integers(2, 30)), 24)) for _ in range(60)]
+    x = np.concatenate([*groups, rng.normal(size=24) + rng.normal(0, 0.135, (400, 24))])
+    x = x[rng.permutation(len(x))]
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    table = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    found = embedding_dedup.near_duplicates(
+        spark.createDataFrame(table, "vec_id long, embedding array<double>, label int"), window=64)
+    got = {r.vec_id: r for r in found.collect()}
+    assert near.sum() > 400
+    assert sum(got[i].n_links for i in got) >= 0.999 * near.sum()
+    by = {}
+    for i in got:
+        by.setdefault(got[i].component_id, []).append(i)
+    for own in by.values():
+        assert [got[i].n_links for i in own] == near[np.ix_(own, own)].sum(1).tolist()
+
+
+def test_frequent_shingles_are_counted_over_all_slices(monkeypatch):
+    """One shingle in every third text, texts so long that a slice holds one of them."""
+    monkeypatch.setattr(ngram_join, "KEEP_TEXTS", 20)
+    rng = np.random.default_rng(1)
+    counts, exact = ngram_join.Counts(), {}
+    for i in range(300):
+        token = np.unique(rng.integers(1000, 1 << 60, 50).astype(np.uint64))
+        token = np.concatenate([token, np.arange(1, 4, dtype=np.uint64)[[i % 3 == 0, i % 2 == 0, True]]])
+        counts.add(token, 1)
+        for t in token:
+            exact[int(t)] = exact.get(int(t), 0) + 1
+    value, times = counts.often()
+    found = dict(zip(value.tolist(), times.tolist()))
+    assert {1, 2, 3} <= found.keys() and len(found) < 100
+    assert all(exact[t] - counts.round <= n <= exact[t] for t, n in found.items())
+
+
+def test_copies_of_a_text_are_dealt_to_many_groups(spark):
+    """Rows of one text do not follow its hash into one group."""
+    docs = spark.createDataFrame([(i, "one two three four five six seven") for i in range(400)], "doc_id long, text string").coalesce(1)
+    got = ngram_join.join_texts(docs).collect()
+    assert {(r.n_shingles, r.component_id, r.n_links) for r in got} == {(3, 0, 399)}

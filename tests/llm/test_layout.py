@@ -236,3 +236,31 @@ def test_pipeline_stages(spark, tmp_path):
             assert after.columns == docs.columns
         docs = after
     assert corpus_pipeline.run(spark, cases.SF).count() == len(rows)
+
+
+def test_surnames_that_are_words_stay(spark):
+    """A bare word is replaced where a person stands, not after an article, before another capital or a noun."""
+    text = ("Mr White arrived. White paint and White House. Miss Universe won; the Universe is big. "
+            "White said so, and White's hat was there with White.")
+    (new, spans), = surrogates(spark, [text]).values()
+    white = spans[0][1].split()[1]
+    assert "White paint and White House" in new and "the Universe is big" in new
+    assert f"{white} said so, and {white}'s hat was there with {white}." in new
+
+
+def test_made_up_names_are_long_enough(spark):
+    """Of a hundred thousand surnames fewer than one in a hundred draws again."""
+    units = spark.range(100_000).selectExpr("'last.latin' as type", "concat('Name', id) as norm")
+    parts = pii.lengths(units)
+    again = pii.clashes(units, "k", parts)
+    assert parts == {"last.latin": 6} and again.count() < 1000
+
+
+def test_the_key_comes_from_the_session(spark):
+    docs = spark.createDataFrame([(1, "mail to a.b@c.org")], "doc_id long, text string").withColumn("n_chars", F.lit(0).cast("long"))
+    spark.conf.set(pii.KEY_OPTION, "one")
+    first = pii.hide_private(spark, docs, "").first().text
+    spark.conf.set(pii.KEY_OPTION, "two")
+    second = pii.hide_private(spark, docs, "").first().text
+    spark.conf.unset(pii.KEY_OPTION)
+    assert first != second and "a.b@c.org" not in first + second

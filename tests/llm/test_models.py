@@ -176,3 +176,84 @@ def test_language_sample_of_rows_without_an_id(spark):
     assert set(model.langs) == {"de", "en"}
     found = language.predict(docs.withColumn("score", F.lit("x")), model)
     assert found.filter("lang_pred = lang").count() >= 2900 and found.schema["score"].dataType.typeName() == "double"
+
+
+def plain_passages(text):
+    """The 80 features of each passage of 48 words, byte by byte."""
+    import math
+    import re
+
+    kinds = [" \t\n\v\f\r", "".join(map(chr, range(97, 123))), "".join(map(chr, range(65, 91))), "0123456789", None, ".,;:'\"-?", "#*$%&|<>!"]
+    kind = lambda b: 4 if b >= 128 else next((k for k, s in enumerate(kinds) if s and chr(b) in s), 7)
+    raw = (text or "").encode() + b"\n"
+    words = [(m.start(), m.group()) for m in re.finditer(rb"[^ \t\n\v\f\r]+", raw)]
+    if not words:
+        return [[0.0] * 80]
+    out = []
+    for first in range(0, len(words), quality.PASSAGE):
+        own = [w for _, w in words[first:first + quality.PASSAGE]]
+        end = words[first + quality.PASSAGE][0] if first + quality.PASSAGE < len(words) else len(raw)
+        seen = [kind(b) for b in raw[words[first][0]:end]]
+        x = [0.0] * 80
+        for a, b in zip(seen, seen[1:]):
+            x[a * 8 + b] += 1 / len(seen)
+        for k in seen:
+            x[64 + k] += 1 / len(seen)
+        n, pairs, sizes = len(own), list(zip(own, own[1:])), [len(w) for w in own]
+        mean = sum(sizes) / n
+        x[72] = len(set(own)) / n
+        x[73] = sum(a == b for a, b in pairs) / n
+        x[74] = (len(pairs) - len(set(pairs))) / n
+        x[75:80] = [math.log1p(mean), max(sum(s * s for s in sizes) / n - mean ** 2, 0) ** 0.5 / 10, math.log1p(max(sizes)),
+                    sum(s == 1 for s in sizes) / n, math.log1p(n)]
+        out.append(x)
+    return out
+
+
+def test_quality_scores_match_plain_attention(spark):
+    """Features byte by byte, gated attention passage by passage, as the definition says."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    p = {"W": rng.normal(0, 0.2, (80, 5)), "b": rng.normal(size=5), "V": rng.normal(size=(5, 3)), "U": rng.normal(size=(5, 3)),
+         "w": rng.normal(size=3), "c": rng.normal(size=5), "d": np.array(0.3)}
+    model = quality.Model(rng.normal(size=80), rng.uniform(0.5, 2, 80), p)
+    texts = [None, "", "One two, two! 3% of $#", "Größe ÄÖ x\ty\nz " * 40, cases.LONG[:3000], "a b a b a b " * 30 + "tail"]
+    want = []
+    for text in texts:
+        h = [np.tanh((np.array(x) - model.shift) / model.scale @ p["W"] + p["b"]) for x in plain_passages(text)]
+        gate = np.exp([(np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"] for v in h])
+        z = sum(g * v for g, v in zip(gate / gate.sum(), h))
+        want.append(1 / (1 + np.exp(-(z @ p["c"] + p["d"]))))
+    docs = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], want, atol=1e-9)
+
+
+def test_language_matches_plain_centroids(spark):
+    """Trigrams of a padded, letters-only text, TF-IDF by hand, cosine with every centroid."""
+    import re
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centroids = rng.random((5, language.BUCKETS)).astype(np.float32)
+    centroids /= np.linalg.norm(centroids, axis=1, keepdims=True)
+    model = language.Model(rng.random(language.BUCKETS), ["a", "a", "b", "c", "c"], centroids, np.full(5, 0.02))
+    texts = ["The quick brown fox", "Größe, ähnlich! größe", "x", "ab 12 cd-ef", None, "123 !!"]
+    for text, got in zip(texts, zip(*[iter(model.predict(texts)[k]) for k in ("lang", "score", "rejected")])):
+        weights = {}
+        padded = b" " + re.sub(rb"[^a-z\x80-\xff]+", b" ", (text or "").lower().encode()).strip(b" ") + b" "
+        for i in range(len(padded) - 2):
+            if padded[i + 1] != 32:
+                code = padded[i] << 16 | padded[i + 1] << 8 | padded[i + 2]
+                bucket = (code * 2654435761 % 2 ** 32) >> 20
+                weights[bucket] = weights.get(bucket, 0) + 1
+        v = np.zeros(language.BUCKETS)
+        for bucket, n in weights.items():
+            v[bucket] = np.log1p(n) * model.idf[bucket]
+        cosine = centroids @ (v / max(np.linalg.norm(v), 1e-9))
+        best = int(cosine.argmax())
+        letters = any(c.isalpha() for c in text or "")
+        assert got[0] == (model.langs[best] if letters else "und")
+        assert abs(got[1] - (cosine[best] if letters else 0)) < 1e-5 and got[2] == (not letters or cosine[best] < 0.02)
