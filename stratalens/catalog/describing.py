@@ -102,7 +102,10 @@ def _(t: Tables):
     return density.select("drugs", "slot", F.round("at", 6).alias("at"), F.round("density", 6).alias("density"))
 
 
-PROFILE_NUMERIC, PROFILE_FACTOR = ["ALC", "COC", "EVER_COC", "SMK_befor_PNK"], ["ETHNIC", "RLGINF"]
+#: The whole dataset: demographic columns and a text as factors, everything else as numbers.
+PROFILE_FACTOR = [*s.DEMOGRAPHIC, "SEX"]
+PROFILE_NUMERIC = [x for x in WHOLE if x not in PROFILE_FACTOR]
+SEX = "CASE GENDER WHEN 1 THEN 'M' WHEN 2 THEN 'F' END"
 
 
 def profile_sql() -> str:
@@ -114,18 +117,18 @@ def profile_sql() -> str:
             f"SELECT '{x}' AS variable, count(*) - count({x}) AS n_missing, CAST(count({x}) AS DOUBLE) / count(*) AS complete_rate, "
             f"{pick(f'round(avg({x}), 6)')} AS mean, {pick(f'round(stddev_samp({x}), 6)')} AS sd, "
             + ", ".join(f"{pick(f'CAST(quantile_cont({x}, {p / 100}) AS DOUBLE)')} AS p{p}" for p in (0, 25, 50, 75, 100))
-            + (", CAST(NULL AS BIGINT) AS n_unique, CAST(NULL AS DOUBLE) AS top_value, CAST(NULL AS BIGINT) AS top_count"
+            + (", CAST(NULL AS BIGINT) AS n_unique, CAST(NULL AS VARCHAR) AS top_value, CAST(NULL AS BIGINT) AS top_count"
                if number else
-               f", count(DISTINCT {x}) AS n_unique, (SELECT CAST({x} AS DOUBLE) FROM analysis WHERE {x} IS NOT NULL "
+               f", count(DISTINCT {x}) AS n_unique, (SELECT CAST({x} AS VARCHAR) FROM profiled WHERE {x} IS NOT NULL "
                f"GROUP BY {x} ORDER BY count(*) DESC, {x} LIMIT 1) AS top_value, "
-               f"(SELECT max(n) FROM (SELECT count(*) AS n FROM analysis WHERE {x} IS NOT NULL GROUP BY {x})) AS top_count")
-            + " FROM analysis")
+               f"(SELECT max(n) FROM (SELECT count(*) AS n FROM profiled WHERE {x} IS NOT NULL GROUP BY {x})) AS top_count")
+            + " FROM profiled")
     return " UNION ALL ".join(parts)
 
 
-@query("column_profile", survey(profile_sql()))
+@query("column_profile", survey(profile_sql(), f"profiled AS MATERIALIZED (SELECT *, {SEX} AS SEX FROM analysis)"))
 def _(t: Tables):
-    profile = describe.column_profile(t.analysis(), PROFILE_NUMERIC, PROFILE_FACTOR)
+    profile = describe.column_profile(t.analysis().withColumn("SEX", F.expr(SEX)), PROFILE_NUMERIC, PROFILE_FACTOR)
     return profile.withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
 
 
@@ -192,14 +195,24 @@ def _(t: Tables):
     return describe.weighted_prevalence_cutoff(long, ["outcome"], "y", "w")
 
 
-@query("sort_desc", survey(f"SELECT * FROM ({RATES_SQL}) ORDER BY Proportion DESC"))
+def placed(df):
+    """The place of each row as it leaves a sort, which a comparison of row sets would not see."""
+    # a report has one row per column name, and its sorted partitions are read in order
+    return df.coalesce(1).withColumn("position", (F.monotonically_increasing_id() + 1).cast("int"))
+
+
+PLACE = "CAST(row_number() OVER (ORDER BY {}) AS INTEGER) AS position"
+
+
+@query("sort_desc", survey(f"SELECT *, {PLACE.format('Proportion DESC, Drug')} FROM ({RATES_SQL})"))
 def _(t: Tables):
-    return describe.weighted_rate(t.analysis(), EVER, s.WEIGHT).orderBy(F.desc("Proportion"))
+    return placed(describe.weighted_rate(t.analysis(), EVER, s.WEIGHT).orderBy(F.desc("Proportion"), "Drug"))
 
 
-@query("sort_asc", survey(f"SELECT * FROM ({RATES_SQL}) ORDER BY Proportion"))
+@query("sort_asc", survey(f'SELECT *, {PLACE.format(chr(34) + "values" + chr(34) + ", variable")} FROM (' + " UNION ALL ".join(
+    f"SELECT '{x}' AS variable, CAST(sum({x}) * 100 AS DOUBLE) / count({x}) AS \"values\" FROM analysis" for x in IMP) + ")"))
 def _(t: Tables):
-    return describe.weighted_rate(t.analysis(), EVER, s.WEIGHT).orderBy("Proportion")
+    return placed(describe.unweighted_rate(t.analysis(), IMP, name="variable", value="values").orderBy("values", "variable"))
 
 
 @query("sort_by_custom_order", survey(
@@ -251,7 +264,8 @@ def guttman_sql(items, compat=False, classical=False):
 
 
 @query("guttman_order_check", survey(
-    "SELECT rid, CASE WHEN FSM <= ALC AND ALC <= MRJ AND MRJ <= COC THEN 0 ELSE 1 END AS error FROM analysis"))
+    "SELECT rid, CASE WHEN f <= a AND a <= m AND m <= c THEN 0 ELSE 1 END AS error FROM (SELECT rid, coalesce(FSM, 999) AS f, "
+    "coalesce(ALC, 999) AS a, coalesce(MRJ, 999) AS m, coalesce(COC, 999) AS c FROM analysis)"))
 def _(t: Tables):
     return t.analysis().select("rid", guttman.guttman_order_check([F.col(x) for x in GUTTMAN_COC]).alias("error"))
 

@@ -15,7 +15,7 @@ from stratalens.operators import columns as c
 from stratalens.operators import describe, design, logit, metrics
 from stratalens.operators.logit import Formula
 from stratalens.plans import modelling as m
-from stratalens.runtime import scratch_path
+from stratalens.runtime import materialise, scratch_path
 from stratalens.sources import replicates
 
 SMK = m.formula_of("SMK_befor")
@@ -105,6 +105,64 @@ def _(t: Tables):
     return logit.coefficients(fits, BY, m.FULL)
 
 
+# --- models with a number: the age of the first use of any soft item ------------------------
+
+FIRST_USE = "MIN_INIT"
+WITH_AGE = Formula({}, (FIRST_USE,))
+FULL_WITH_AGE = Formula(s.PREDICTOR_LEVELS, (FIRST_USE,))
+REAL_AGES = [f"CASE WHEN {x} < 100 THEN {x} END" for x in s.SOFT]
+
+
+def first_use_frame(t: Tables):
+    """Model frame of respondents with a known first use; the number is joined by respondent."""
+    data = t.analysis()
+    ages = data.select("rid", F.least(*[F.expr(x) for x in REAL_AGES]).alias(FIRST_USE))
+    return m.model_frame(data, complete=False).join(ages, "rid").dropna(subset=["y", FIRST_USE])
+
+
+# Newton steps of intercept and slope over the cells of each outcome; the age is centred to keep the sums tame
+AGE_STEPS = [
+    "aframe AS (" + " UNION ALL ".join(
+        f"SELECT '{h}' AS outcome, (least({', '.join(REAL_AGES)}) - 40) / 20.0::DOUBLE AS v, ANALWT2_C AS w, EVER_{h} AS y FROM analysis "
+        f"WHERE EVER_{h} IS NOT NULL" for h in s.HARD) + ")",
+    "acells AS (SELECT outcome, v, CAST(sum(w) AS DOUBLE) AS w, CAST(sum(w * y) AS DOUBLE) AS wy FROM aframe WHERE v IS NOT NULL GROUP BY ALL)",
+    "newton(step, outcome, v, w, wy, b0, b1, dev, done) AS ("
+    "SELECT 0, outcome, v, w, wy, ln(r / (1 - r)), 0.0::DOUBLE, -2 * sum(wy * ln(r) + (w - wy) * ln(1 - r)) OVER (PARTITION BY outcome), false "
+    "FROM (SELECT *, sum(wy) OVER (PARTITION BY outcome) / sum(w) OVER (PARTITION BY outcome) AS r FROM acells) "
+    "UNION ALL SELECT step + 1, outcome, v, w, wy, n0, n1, dev2, abs(dev2 - dev) <= 1e-11 * (abs(dev2) + 0.1) FROM ("
+    "SELECT *, -2 * sum(wy * ln(q) + (w - wy) * ln(1 - q)) OVER (PARTITION BY outcome) AS dev2 FROM ("
+    "SELECT *, 1 / (1 + exp(-(n0 + n1 * v))) AS q FROM ("
+    "SELECT *, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS n0, b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS n1 FROM ("
+    "SELECT *, sum(w * p * (1 - p)) OVER o AS h00, sum(w * p * (1 - p) * v) OVER o AS h01, sum(w * p * (1 - p) * v * v) OVER o AS h11, "
+    "sum(wy - w * p) OVER o AS g0, sum((wy - w * p) * v) OVER o AS g1 FROM ("
+    "SELECT *, 1 / (1 + exp(-(b0 + b1 * v))) AS p FROM newton WHERE NOT done AND step < 25) WINDOW o AS (PARTITION BY outcome))))))",
+    "afits AS (SELECT outcome, arg_max(b0, step) AS b0, arg_max(b1, step) AS b1 FROM newton GROUP BY outcome)",
+]
+
+
+@query("svy_logistic_number", "WITH RECURSIVE " + survey(
+    "SELECT outcome, '(Intercept)' AS term, round(b0 - 2 * b1, 6) AS estimate FROM afits UNION ALL "
+    f"SELECT outcome, '{FIRST_USE}', round(b1 / 20, 6) FROM afits", *AGE_STEPS).removeprefix("WITH "))
+def _(t: Tables):
+    _, fits = m.fit_outcomes(first_use_frame(t), WITH_AGE)
+    return rounded(logit.coefficients(fits, BY, WITH_AGE).drop("converged"), "estimate")
+
+
+@query("svy_logistic_number_score", " UNION ALL ".join(
+    f"SELECT '{h}' AS outcome, '{x}' AS term, 0.0::DOUBLE AS score, true AS converged" for h in s.HARD for x in FULL_WITH_AGE.terms))
+def _(t: Tables):
+    """The full model with the number: at its coefficients every weighted score is zero."""
+    frame = first_use_frame(t).dropna(subset=list(s.PREDICTOR_LEVELS))
+    cells, fits = m.fit_outcomes(frame, FULL_WITH_AGE)
+    fits = materialise(fits)
+    scored = logit.predict_prob(cells, F.broadcast(fits), BY, FULL_WITH_AGE)
+    sums = scored.groupBy("outcome").agg(*[
+        F.expr(f"sum((wy - w * prob) * ({x})) / sum(w)").alias(f"s{i}") for i, x in enumerate(FULL_WITH_AGE.design_sql())])
+    long = sums.join(fits.select("outcome", "converged"), "outcome").select("outcome", "converged", F.inline(F.array(*[
+        F.struct(F.lit(x).alias("term"), (F.round(F.col(f"s{i}"), 6) + 0.0).alias("score")) for i, x in enumerate(FULL_WITH_AGE.terms)])))
+    return long.select("outcome", "term", "score", "converged")
+
+
 @query("svy_logistic_null", survey(
     f"SELECT outcome, round({LOGIT.format(p='p0')}, 6) AS intercept, "
     "round(-2 * (wy * ln(p0) + (w - wy) * ln(1 - p0)) / w, 6) AS mean_deviance FROM total", FRAME, CELLS, TOTAL))
@@ -154,13 +212,17 @@ def linearised(t: Tables, formula=SMK, frame=None):
     return m.fit_with_variance(smoking_frame(t) if frame is None else frame, formula)
 
 
+# ten PSUs in five strata and three terms leave 3 degrees of freedom, for which Student's t has a closed form
 @query("linearised_se", survey(
-    "SELECT outcome, term, estimate, round(se, 6) AS se FROM (" + closed_form() + ") JOIN "
-    "(SELECT outcome, CASE WHEN i = 0 THEN '(Intercept)' ELSE 'SMK_befor' || i END AS term, se FROM se) USING (outcome, term)",
+    "SELECT outcome, term, round(estimate, 6) AS estimate, round(se, 6) AS se, round(estimate / se, 5) AS t, "
+    "round(1 - 2 / pi() * (x / (1 + x * x) + atan(x)), 6) AS p_value FROM (SELECT *, abs(estimate) / se / sqrt(3) AS x FROM ("
+    + closed_form().replace("round(", "(", 1).replace(", 6) AS estimate", ") AS estimate") + ") JOIN "
+    "(SELECT outcome, CASE WHEN i = 0 THEN '(Intercept)' ELSE 'SMK_befor' || i END AS term, se FROM se) USING (outcome, term))",
     *LINEARISED))
 def _(t: Tables):
     table = design.coefficient_table(linearised(t), BY, SMK)
-    return rounded(table.select("outcome", "term", "estimate", "se"), "estimate", "se")
+    return rounded(table.select("outcome", "term", "estimate", "se", "t", "p_value"), "estimate", "se", "p_value").withColumn(
+        "t", F.round("t", 5))
 
 
 @query("linearised_se_full")
@@ -446,17 +508,17 @@ def stored_records(t: Tables):
     wide = m.fit_metrics(cells, fits, GENDER, KEYS, BY)
     replicates.write_replicate_results(m.metric_records(wide, KEYS, s.METRIC_TERMS), coef_records(t, fits), path)
     back = replicates.scan_replicates(t.spark, path)
-    return back.select(*KEYS, "kind", "term", digits("value", 3))
+    return back.select(*KEYS, "kind", "term", digits("value", 3), "converged")
 
 
-BOTH = (f"SELECT outcome, replicate, 'coefs' AS kind, term, {digits_sql('value', 'value', 3)} FROM records UNION ALL "
-        f"SELECT outcome, replicate, 'metrics', term, {digits_sql('value', 'value', 3)} FROM mrec")
+BOTH = (f"SELECT outcome, replicate, 'coefs' AS kind, term, {digits_sql('value', 'value', 3)}, converged FROM records UNION ALL "
+        f"SELECT outcome, replicate, 'metrics', term, {digits_sql('value', 'value', 3)}, converged FROM mrec")
 
 
 @query("write_replicate_results", recursive(survey(
-    f"SELECT outcome, kind, term, count(*) AS n FROM ({BOTH}) GROUP BY ALL", *SCORED)))
+    f"SELECT outcome, kind, term, converged, count(*) AS n FROM ({BOTH}) GROUP BY ALL", *SCORED)))
 def _(t: Tables):
-    return stored_records(t).groupBy("outcome", "kind", "term").agg(F.count("*").alias("n"))
+    return stored_records(t).groupBy("outcome", "kind", "term", "converged").agg(F.count("*").alias("n"))
 
 
 @query("scan_replicates", recursive(survey(BOTH, *SCORED)))

@@ -11,11 +11,17 @@ HEADER = (
     "<tr><th>Year</th><th>Number</th><th>Rate</th><th>Number &amp; share</th><th>Rate</th></tr>"
 )
 
+SPANS = (
+    "<TABLE class='t'><!-- <tr><td>no</td></tr> --><tr><td rowspan=3>All &lt;years&gt; &#38; more<td colspan='2'> <b>%d</b>\n</tr>"
+    "<tr><td>%d<td>high: <table><tr><th>%d</table></tr><tr><td>end</table>"
+)
+
 
 def yearly_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per nation; its fourth table counts urgent and high orders per year.
 
-    Rates are per thousand orders, in whole numbers. The last row is short.
+    Rates are per thousand orders, in whole numbers. The last row is short. The fifth table has cells over several rows
+    and columns, and the sixth inside a cell.
     """
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
@@ -35,4 +41,5 @@ def yearly_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     small = "<table><tr><td>{}</td></tr></table>"
     return per_year.groupBy(F.col("c_nationkey").alias("page_id")).agg(F.concat(
         F.lit("<html><body>" + "".join(small.format(i) for i in range(3)) + "<table>" + HEADER), body,
-        F.lit("<tr><td>Total</td></tr></table></body></html>")).alias("html"))
+        F.lit("<tr><td>Total</td></tr></table>"),
+        F.format_string(SPANS, F.sum("n"), F.sum("urgent"), F.sum("high")), F.lit("</body></html>")).alias("html"))

@@ -11,7 +11,7 @@ from stratalens.functions import distance
 from stratalens.operators import neighbours, resample
 from stratalens.plans import modelling as m
 from stratalens.plans import resampling as rs
-from stratalens.runtime import materialise
+from stratalens.runtime import materialise, scratch_path
 
 ITEMS = s.HARD
 CATS = rs.CATEGORIES
@@ -122,12 +122,13 @@ SMOTE = [
 ]
 
 
-@query("smote", survey("SELECT * EXCLUDE (w), round(w, 4) AS w FROM synthetic", frame_sql(True), *HEOM, LINKS, *SMOTE))
+@query("smote", survey("SELECT * EXCLUDE (w), floor(w * 1000000) / 1000000 AS w FROM synthetic", frame_sql(True), *HEOM, LINKS, *SMOTE))
 def _(t: Tables):
     cleaned = materialise(rs.cleaned_frame(resampling_frame(t, True)))
     parents = resample.smote_parents(cleaned, rs.GROUP, CATS, "w", "rid")
     rows = resample.smote(parents, rs.GROUP, CATS, "w", "rid", REPLICATES, SEED)
-    return rows.withColumn("w", F.round("w", 4))
+    # both engines draw the same doubles, so millionths are cut, not rounded
+    return rows.withColumn("w", F.floor(F.col("w") * 1000000) / 1000000)
 
 
 @query("replicate_cells", survey(
@@ -147,6 +148,49 @@ def _(t: Tables):
     return metrics.unionByName(coefs)
 
 
+# fits of one factor on the replicates: the logits of the weighted rates of its cells
+GENDER_RUN = [
+    *SMOTE,
+    "gcell AS (SELECT outcome, replicate, GENDER, sum(w) AS w, sum(w * y) AS wy FROM ("
+    f"SELECT outcome, CAST(r AS INTEGER) AS replicate, GENDER, w, y FROM kept, (SELECT unnest(range(1, {REPLICATES + 1})) AS r) "
+    "UNION ALL SELECT outcome, replicate, GENDER, w, y FROM synthetic) GROUP BY ALL)",
+    "gfit AS (SELECT a.outcome, a.replicate, ln(a.wy / (a.w - a.wy)) AS b0, ln(b.wy / (b.w - b.wy)) - ln(a.wy / (a.w - a.wy)) AS b1, "
+    "a.wy / a.w AS p1, b.wy / b.w AS p2 FROM gcell a JOIN gcell b ON a.outcome = b.outcome AND a.replicate = b.replicate "
+    "AND a.GENDER = 1 AND b.GENDER = 2)",
+    "orig AS (SELECT outcome, CAST(sum(w) FILTER (GENDER = 1) AS DOUBLE) AS w1, CAST(sum(w * y) FILTER (GENDER = 1) AS DOUBLE) AS y1, "
+    "CAST(sum(w) FILTER (GENDER = 2) AS DOUBLE) AS w2, CAST(sum(w * y) FILTER (GENDER = 2) AS DOUBLE) AS y2 FROM fr GROUP BY outcome)",
+    "scored AS (SELECT *, (y1 + y2) / (w1 + w2) AS p0, p1 >= (y1 + y2) / (w1 + w2) AS h1, p2 >= (y1 + y2) / (w1 + w2) AS h2 "
+    "FROM gfit JOIN orig USING (outcome))",
+    "rates AS (SELECT outcome, replicate, CASE WHEN h1 = h2 THEN 0.0 WHEN h1 THEN y1 / (y1 + y2) ELSE y2 / (y1 + y2) END AS Recall, "
+    "CASE WHEN h1 = h2 THEN 0.0 WHEN h1 THEN y1 / w1 ELSE y2 / w2 END AS Precision, "
+    "0.5 + 0.5 * sign(p1 - p2) * (y1 * (w2 - y2) - y2 * (w1 - y1)) / ((y1 + y2) * (w1 + w2 - y1 - y2)) AS AUC FROM scored)",
+    "run AS (SELECT outcome, replicate, 'coefs' AS kind, '(Intercept)' AS term, b0 AS value FROM gfit "
+    "UNION ALL SELECT outcome, replicate, 'coefs', 'GENDER2', b1 FROM gfit "
+    + "".join(f"UNION ALL SELECT outcome, replicate, 'metrics', '{x}', {x} FROM rates " for x in ("Recall", "Precision", "AUC")) + ")",
+]
+RUN_SQL = "SELECT outcome, replicate, kind, term, round(value, 6) AS value, true AS converged FROM run"
+
+
+def run_rows(records):
+    known = F.col("term").isin("(Intercept)", "GENDER2", "Recall", "Precision", "AUC")
+    return records.filter(known).select("outcome", "replicate", "kind", "term", F.round("value", 6).alias("value"), "converged")
+
+
+@query("replicate_driver_one_factor", survey(RUN_SQL, frame_sql(True), *HEOM, LINKS, *GENDER_RUN))
+def _(t: Tables):
+    """The driver with a model of one factor, whose fits have a closed form."""
+    metrics, coefs = rs.replicate_driver(resampling_frame(t, True), REPLICATES, SEED, m.formula_of("GENDER"))
+    return run_rows(metrics.withColumn("kind", F.lit("metrics")).unionByName(coefs.withColumn("kind", F.lit("coefs"))))
+
+
+@query("replicate_run", survey(RUN_SQL, frame_sql(True), *HEOM, LINKS, *GENDER_RUN))
+def _(t: Tables):
+    """A stored run that ends after the first replicate and is taken up again."""
+    frame, path, formula = materialise(resampling_frame(t, True)), scratch_path(t.spark, "run"), m.formula_of("GENDER")
+    rs.replicate_run(frame, path, 1, SEED, formula)
+    return run_rows(rs.replicate_run(frame, path, REPLICATES, SEED, formula, at_once=2))
+
+
 # --- distances of respondents with neighbouring ids ----------------------------------------
 
 PAIR_CATS = ["ETHNIC", "GENDER", "RLGINF", "SMK_befor_PNK"]
@@ -169,24 +213,23 @@ def _(t: Tables):
         "l.rid", F.round(F.expr(distance.heom(PAIR_CATS, "w", "span")), 9).alias("dist"))
 
 
-HV = PAIR_CATS[:2]
+HV = PAIR_CATS
 
 
 @query("distance_hvdm", survey(
     "SELECT a.rid, round(sqrt(" + " + ".join(f"2 * (a{i}.p - b{i}.p) ** 2" for i in range(len(HV)))
     + " + (a.ANALWT2_C - b.ANALWT2_C) ** 2 / (16 * spread)), 9) AS dist FROM analysis a JOIN analysis b ON b.rid = a.rid + 1 "
-    + " ".join(f"JOIN h{i} a{i} ON a{i}.v = a.{c} JOIN h{i} b{i} ON b{i}.v = b.{c}" for i, c in enumerate(HV))
+    + " ".join(f"JOIN h{i} a{i} ON a{i}.v IS NOT DISTINCT FROM a.{c} JOIN h{i} b{i} ON b{i}.v IS NOT DISTINCT FROM b.{c}" for i, c in enumerate(HV))
     + ", (SELECT var_samp(ANALWT2_C) AS spread FROM analysis)",
     *[f"h{i} AS (SELECT {c} AS v, CAST(sum(EVER_COC) AS DOUBLE) / count(*) AS p FROM analysis GROUP BY {c})"
       for i, c in enumerate(HV)]))
 def _(t: Tables):
     rows, pairs = neighbouring(t)
-    rows = rows.withColumn("all", F.lit(1))
-    # one row: the levels of the categories and a variance
-    space = neighbours.class_probabilities(rows, ["all"], HV, "EVER_COC").join(
-        rows.groupBy("all").agg(neighbours.variance_of(rows, "w").alias("var")), "all")
-    at = lambda side: ", ".join(f"try_element_at(p_one, concat('{c}=', {side}.{c}))" for c in HV)
-    joined = pairs.withColumn("all", F.lit(1)).join(F.broadcast(space), "all")
+    p_one = neighbours.class_probabilities(rows, [], HV, "EVER_COC").scalar()
+    variance = rows.agg(neighbours.variance_of(rows, "w")).scalar()
+    at = lambda side: ", ".join(
+        f"try_element_at(p_one, concat('{c}=', coalesce(cast({side}.{c} as string), '^n')))" for c in HV)
+    joined = pairs.withColumn("p_one", p_one).withColumn("var", variance)
     d2 = distance.hvdm_squared(distance.vdm_squared("la", "ra", len(HV)), "(lw - rw)", "var")
     return joined.selectExpr("l.rid", "l.w as lw", "r.w as rw", "var", f"array({at('l')}) as la", f"array({at('r')}) as ra").select(
         "rid", F.round(F.sqrt(F.expr(d2)), 9).alias("dist"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratalens import schema as s
+from stratalens.catalog import pages
 from stratalens.catalog.base import Tables, query
 from stratalens.catalog.views import melt, respondents_sql, survey
 from stratalens.functions import recode
 from stratalens.operators import columns as c
 from stratalens.operators import describe, html, reshape
-from stratalens.plans import analysis, pages
+from stratalens.plans import analysis
 from stratalens.runtime import materialise, scratch_path
 from stratalens.sources import tables as src
 
@@ -45,6 +46,20 @@ def _(t: Tables):
     return src.scan_table(t.spark, path)
 
 
+#: Factors with their levels; nobody has the last one of EDUCAT.
+FACTOR_LEVELS = {"ETHNIC": [4, 3, 2, 1], "GENDER": [1, 2], "AGEPRC": list(range(1, 12)), "EDUCAT": [1, 2, 3, 4, 5, 6]}
+
+
+@query("factor_levels", survey(" UNION ALL ".join(
+    f"SELECT '{c}' AS variable, {i + 1} AS position, '{x}' AS level, count(*) FILTER ({c} = {x}) AS n FROM analysis"
+    for c, levels in FACTOR_LEVELS.items() for i, x in enumerate(levels))))
+def _(t: Tables):
+    """The levels of factors after the dataset was written and read again."""
+    path = scratch_path(t.spark, "factors")
+    src.write_dataset(c.with_levels(t.analysis(), FACTOR_LEVELS), path)
+    return c.level_counts(src.scan_table(t.spark, path))
+
+
 @query("write_dataset_csv", survey("SELECT * FROM analysis"))
 def _(t: Tables):
     path = scratch_path(t.spark, "csv")
@@ -95,6 +110,19 @@ def _(t: Tables):
     return html.grid_cells(html.nth_table(html.html_tables(pages.yearly_pages(t.spark, t.sf_dir)), 4))
 
 
+@query("html_spans", YEARLY_CTE + """, whole AS (SELECT page_id, CAST(sum(n) AS VARCHAR) AS n, CAST(sum(u) AS VARCHAR) AS u, CAST(sum(h) AS VARCHAR) AS h
+FROM yearly GROUP BY page_id)
+SELECT page_id, CAST(c.t AS INTEGER) AS table_no, CAST(c.r AS INTEGER) AS row_no, CAST(c.c AS INTEGER) AS col_no, c.v AS cell FROM (
+SELECT page_id, unnest([{'t': 5, 'r': 1, 'c': 1, 'v': 'All <years> & more'}, {'t': 5, 'r': 1, 'c': 2, 'v': n}, {'t': 5, 'r': 1, 'c': 3, 'v': n},
+{'t': 5, 'r': 2, 'c': 1, 'v': 'All <years> & more'}, {'t': 5, 'r': 2, 'c': 2, 'v': u}, {'t': 5, 'r': 2, 'c': 3, 'v': 'high: ' || h},
+{'t': 5, 'r': 3, 'c': 1, 'v': 'All <years> & more'}, {'t': 5, 'r': 3, 'c': 2, 'v': 'end'}, {'t': 5, 'r': 3, 'c': 3, 'v': NULL},
+{'t': 6, 'r': 1, 'c': 1, 'v': h}]) AS c FROM whole)""")
+def _(t: Tables):
+    """Cells over several rows and columns, entities, and a table inside a cell."""
+    tables = html.html_tables(pages.yearly_pages(t.spark, t.sf_dir))
+    return html.grid_cells(tables.filter("table_no > 4"))
+
+
 def yearly_table(t: Tables):
     tables = html.html_tables(pages.yearly_pages(t.spark, t.sf_dir))
     return html.header_column_filter(html.nth_table(tables, 4), pages.YEARLY)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from stratalens import schema as s
-from stratalens.plans import respondents as r
+from stratalens.catalog import respondents as r
 
 HARD_ITEMS = [*r.HIGH_DISCOUNT, *r.LOW_DISCOUNT]
 

@@ -56,6 +56,31 @@ def strip_outcome_suffix(df: DataFrame, outcome: str, stem: str = "_befor") -> D
     )
 
 
+def with_levels(df: DataFrame, levels: Mapping[str, Sequence]) -> DataFrame:
+    """Mark columns as factors: each level list travels, in its order, in the column's metadata.
+
+    Parquet keeps the metadata, so a factor read back knows its levels, also those without a row; text formats lose it.
+    """
+    return df.select(*[
+        F.col(c).alias(c, metadata={**df.schema[c].metadata, "levels": [str(x) for x in levels[c]]}) if c in levels else F.col(c)
+        for c in df.columns])
+
+
+def levels_of(df: DataFrame) -> dict[str, list[str]]:
+    """The level lists of the factors of a table, as texts."""
+    return {f.name: list(f.metadata["levels"]) for f in df.schema.fields if "levels" in f.metadata}
+
+
+def level_counts(df: DataFrame) -> DataFrame:
+    """Rows of every level of every factor, in level order, levels without a row included."""
+    known = levels_of(df)
+    wide = df.agg(*[F.count_if(F.col(c).cast("string") == level).alias(f"{c}_{i}")
+                    for c, levels in known.items() for i, level in enumerate(levels)])
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.lit(i + 1).alias("position"), F.lit(level).alias("level"), F.col(f"{c}_{i}").alias("n"))
+        for c, levels in known.items() for i, level in enumerate(levels)])))
+
+
 def filter_complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna("any", subset=list(columns))
 

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from stratalens.operators.ordered import running_sums
 from stratalens.runtime import materialise
 
+NUMBERS = {"byte", "short", "integer", "long", "float", "double", "decimal"}
+DENSITY_BINS = 4096
+
 
 def weighted_mean(value: Column, weight: Column) -> Column:
     """Sum of value times weight over the whole weight, a NULL value adding nothing on top."""
@@ -36,7 +39,7 @@ def unweighted_rate(df: DataFrame, columns: Sequence[str], scale: float = 100.0,
 
 
 def order_levels_by_value(rates: DataFrame, name: str, value: str) -> DataFrame:
-    """Position of each category when ordered by its measure (one row per column name)."""
+    """Position of each category when ordered by its measure: one row per column name, so one task orders them."""
     return rates.withColumn("position", F.row_number().over(Window.orderBy(value, name)))
 
 
@@ -131,19 +134,22 @@ def weighted_quantiles(long: DataFrame, item: str, value: str, weight: str,
 
 
 def weighted_density(long: DataFrame, item: str, value: str, weight: str,
-                     grid_points: int = 64, slices: int | None = None) -> DataFrame:
+                     grid_points: int = 64, slices: int | None = None, bins: int = DENSITY_BINS) -> DataFrame:
     """Weighted Gaussian kernel density of each item on a grid between its extremes.
 
     The bandwidth is 0.9 min(sd, IQR / 1.34) n^(-1/5) of the unweighted values; where
     that is zero the sd, the value itself or 1 takes the place of the minimum, in this order.
     Rows are reduced to distinct values first; each of them adds its kernel to
-    every grid point, so the work does not depend on the row count.
+    every grid point, so the work does not depend on the row count. An item with
+    more than ``bins`` distinct values is first laid on that many equal steps,
+    each value giving the two steps around it its weight by nearness, so that a
+    continuous value costs no more than a discrete one.
     """
     points = materialise(long.groupBy(item, value).agg(F.count("*").alias("n"), F.sum(weight).alias("w")))
     n, s, ss = F.sum("n"), F.sum(F.col(value) * F.col("n")), F.sum(F.col(value) * F.col(value) * F.col("n"))
     stats = points.groupBy(item).agg(
         n.alias("rows"), F.sum("w").alias("whole"), F.min(value).alias("low"), F.max(value).alias("high"),
-        F.sqrt(F.try_divide(ss * n - s * s, n * (n - 1))).alias("sd"),
+        F.sqrt(F.try_divide(ss * n - s * s, n * (n - 1))).alias("sd"), F.count("*").alias("distinct"),
     )
     box = quantiles_of_counts(points.select(item, value, "n"), item, value, "n", {"low4": 0.25, "high4": 0.75}, slices)
     stats = stats.join(box, item).withColumn("iqr", F.col("high4") - F.col("low4"))
@@ -155,8 +161,17 @@ def weighted_density(long: DataFrame, item: str, value: str, weight: str,
     z = (F.col("at") - F.col(value)) / F.col("bw")
     kernel = F.col("w") * F.exp(-0.5 * z * z)
     norm = F.first("whole") * F.first("bw") * F.lit((2 * 3.141592653589793) ** 0.5)
+    dense = stats.filter(F.col("distinct") > bins).select(item, F.col("low").alias("from"), ((F.col("high") - F.col("low")) / (bins - 1)).alias("width"))
+    place = (F.col(value) - F.col("from")) / F.col("width")
+    lower = F.least(F.floor(place), F.lit(bins - 2))
+    share = place - lower
+    laid = points.join(dense, item).select(item, "from", "width", F.explode(F.array(
+        F.struct(lower.alias("step"), (F.col("w") * (1 - share)).alias("w")),
+        F.struct((lower + 1).alias("step"), (F.col("w") * share).alias("w")))).alias("s")).groupBy(item, "from", "width", "s.step").agg(
+        F.sum("s.w").alias("w")).select(item, (F.col("from") + F.col("step") * F.col("width")).alias(value), "w")
+    few = points.join(dense.select(item), item, "left_anti").select(item, F.col(value).cast("double").alias(value), F.col("w").cast("double").alias("w"))
     return (
-        points.join(stats, item)
+        few.unionByName(laid).join(stats, item)
         .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))))
         .withColumn("at", at)
         .groupBy(item, "slot", "at").agg((F.sum(kernel) / norm).alias("density"))
@@ -167,41 +182,35 @@ def column_profile(df: DataFrame, numeric: Sequence[str], factors: Sequence[str]
                    slices: int | None = None) -> DataFrame:
     """Per column: missing, complete rate, mean, sd, quartiles; distinct and top count of factors.
 
-    Columns are reduced to (column, value, count) with map-side combining; all
-    statistics come from that bounded-size table instead of the rows.
+    Moments of all columns come from one pass with one row per task. Quartiles, distinct and top values come from a
+    table of (column, value, count), combined before it is shuffled, numbers and texts side by side; a factor may be of
+    any type and its commonest value (the smallest of several) is given as text.
     """
     columns = [*numeric, *factors]
-    counts = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot([], columns, "variable", "value")
-        .groupBy("variable", "value").agg(F.count("*").alias("n"))
-    )
-    counts = materialise(counts)
-    is_number = F.col("variable").isin(*numeric)
-    known = F.when(F.col("value").isNotNull(), F.col("n"))
-    mean = F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum(known))
-    ss = F.sum(F.col("value") * F.col("value") * F.col("n"))
-    variance = F.try_divide(ss - F.sum(known) * mean * mean, F.sum(known) - 1)
-    number = lambda e: F.when(is_number, e)
-    out = counts.groupBy("variable").agg(
-        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_missing"),
-        F.sum("n").alias("rows"), F.sum(known).alias("known"),
-        mean.alias("mean"), F.sqrt(F.when(variance < 0, 0.0).otherwise(variance)).alias("sd"),
-        F.count("value").alias("n_unique"), F.max(known).alias("top_count"),
-        F.max_by("value", F.struct(known, -F.col("value"))).alias("top_value"),
-    )
+    wide = df.agg(F.count("*").alias("rows"), *[F.count(c).alias(f"n_{c}") for c in columns],
+                  *[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in numeric],
+                  *[F.stddev_samp(F.col(c).cast("double")).alias(f"s_{c}") for c in numeric])
+    none = F.lit(None).cast("double")
+    out = wide.select("rows", F.inline(F.array(*[F.struct(
+        F.lit(c).alias("variable"), F.col(f"n_{c}").alias("known"),
+        (F.col(f"m_{c}") if c in numeric else none).alias("mean"), (F.col(f"s_{c}") if c in numeric else none).alias("sd"))
+        for c in columns])))
+    text = [c for c in factors if df.schema[c].dataType.typeName() not in NUMBERS]
+    cells = [F.struct(F.lit(c).alias("variable"), (none if c in text else F.col(c).cast("double")).alias("number"),
+                      F.col(c).cast("string").alias("value")) for c in factors]
+    cells += [F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("number"), F.lit(None).cast("string").alias("value"))
+              for c in numeric]
+    counts = materialise(df.select(F.inline(F.array(*cells))).filter("number is not null or value is not null")
+                         .groupBy("variable", "number", "value").agg(F.count("*").alias("n")))
+    tops = counts.filter("value is not null").groupBy("variable").agg(
+        F.count("*").alias("n_unique"), F.min(F.struct(-F.col("n"), "number", "value")).alias("top"))
     probs = {f"p{p}": p / 100 for p in (0, 25, 50, 75, 100)}
-    numbers = counts.filter(is_number & F.col("value").isNotNull())
-    out = out.join(quantiles_of_counts(numbers, "variable", "value", "n", probs, slices), "variable", "left")
-    return out.select(
-        "variable", "n_missing",
-        (F.coalesce(F.col("known"), F.lit(0)) / F.col("rows")).alias("complete_rate"),
-        number(F.col("mean")).alias("mean"), number(F.col("sd")).alias("sd"),
-        *probs,
-        F.when(~is_number, F.col("n_unique")).alias("n_unique"),
-        F.when(~is_number, F.col("top_value")).alias("top_value"),
-        F.when(~is_number, F.col("top_count")).alias("top_count"),
-    )
+    boxes = quantiles_of_counts(counts.filter("value is null"), "variable", "number", "n", probs, slices)
+    return out.join(boxes, "variable", "left").join(tops, "variable", "left").select(
+        "variable", (F.col("rows") - F.col("known")).alias("n_missing"), F.try_divide("known", "rows").alias("complete_rate"),
+        "mean", "sd", *probs,
+        F.when(F.col("variable").isin(*factors), F.coalesce("n_unique", F.lit(0))).alias("n_unique"),
+        F.col("top.value").alias("top_value"), (-F.col("top.col1")).alias("top_count"))
 
 
 def missing_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:

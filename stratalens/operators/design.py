@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalens.operators.logit import Formula
-from stratalens.runtime import ship_package
+from stratalens.operators.logit import MOST_FITS, Formula
+from stratalens.runtime import broadcast_if_small, materialise, ship_package
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def linearised_variance(cells: DataFrame, fits: DataFrame, by: Sequence[str], fo
     """
     by = list(by)
     k = len(formula.terms)
-    scored = cells.join(fits.select(*by, "coef"), by)
+    scored = cells.join(broadcast_if_small(materialise(fits.select(*by, "coef")), MOST_FITS), by)
     residual = f"(wy - w / (1 + exp(-({formula.eta_sql('coef')}))))"
     totals = scored.groupBy(*by, st, psu).agg(*[
         F.expr(f"sum({residual} * ({x})) as z{j}") for j, x in enumerate(formula.design_sql())])

@@ -13,7 +13,8 @@ from stratalens.schema import NEVER_USED
 
 
 def guttman_order_check(ages: Sequence[Column]) -> Column:
-    """1 when the ages of a row are not non-decreasing (ties are in order)."""
+    """1 when the ages of a row are not non-decreasing (ties are in order); a missing age counts as never used."""
+    ages = [F.coalesce(x, F.lit(NEVER_USED)) for x in ages]
     in_order = reduce(lambda a, b: a & b, [x <= y for x, y in zip(ages, ages[1:])])
     return F.when(in_order, F.lit(0)).otherwise(F.lit(1))
 

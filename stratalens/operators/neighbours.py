@@ -19,10 +19,9 @@ from stratalens.operators.ordered import line_neighbours, slice_count
 from stratalens.runtime import broadcast_if_small, materialise, spread
 
 PATTERN = "pattern"
-BUCKETS = 64
-KEYS_PER_PASS = 250_000
-FEW_ROWS = 10
+EVERYONE = "*"      # stands for all rows of a group; no pattern text has a bare star, as categories are joined by bars
 MARGIN = 1.0 + 1e-9  # keeps float rounding from cutting off a candidate
+BUCKET_PATTERNS = 16  # patterns that share a stretch of the projection, on average
 
 
 def category_text(category: str) -> str:
@@ -35,83 +34,82 @@ def pattern_text(categories: Sequence[str]) -> str:
     return "concat_ws('|', " + ", ".join(f"coalesce({category_text(c)}, '^n')" for c in categories) + ")"
 
 
-def masked_key(categories: Sequence[str], mask: str = "mask") -> str:
-    """Pattern with the categories of a bit mask hidden; NULL when a shown category is."""
-    parts = [f"if({mask} & {1 << i} > 0, '^x', {category_text(c)})" for i, c in enumerate(categories)]
-    return "concat(" + ", '|', ".join(parts) + ")"
+def blocks_of(size: int, parts: int) -> list[list[int]]:
+    """The positions of ``size`` categories in ``parts`` runs of about equal length."""
+    edges = [i * size // parts for i in range(parts + 1)]
+    return [list(range(a, b)) for a, b in zip(edges, edges[1:])]
 
 
-def masks_of(size: int, levels: Sequence[int]) -> list[int]:
-    """Bit masks that hide as many categories as one of the levels."""
-    return [m for m in range(1 << size) if m.bit_count() in levels]
+def mismatches(categories: Sequence[str], a: str, b: str) -> str:
+    """How many categories of two rows differ; a missing one differs from everything."""
+    return " + ".join(f"if({a}.{c} = {b}.{c}, 0, 1)" for c in categories)
 
 
-def next_levels(start: int, size: int, patterns: int) -> list[int]:
-    """Levels to search in one pass: as many as keep the number of keys within the budget."""
-    levels = [start]
-    for level in range(start + 1, size + 1):
-        if patterns * len(masks_of(size, [*levels, level])) > KEYS_PER_PASS:
-            break
-        levels.append(level)
-    return levels
-
-
-def with_keys(patterns: DataFrame, categories: Sequence[str], levels: Sequence[int]) -> DataFrame:
-    masks = ", ".join(map(str, masks_of(len(categories), levels)))
-    return (
-        patterns.selectExpr("*", f"explode(array({masks})) as mask")
-        .withColumn("key", F.expr(masked_key(categories))).filter("key is not null")
-    )
-
+def pairs_within(asked: DataFrame, patterns: DataFrame, group: list[str], categories: Sequence[str], parts: int) -> DataFrame:
+    """(group, pattern, ``other``, ``size``, ``level``): all pairs of patterns with fewer than ``parts`` mismatches.
 
-def nearest_patterns(wanted: DataFrame, patterns: DataFrame, group: list[str],
-                     categories: Sequence[str]) -> DataFrame:
-    """(pattern, ``level``, ``other``, ``size``): the patterns with the fewest mismatches.
-
-    Hiding ``m`` categories groups the patterns that agree on the rest; a group
-    with a second row means a neighbour with at most ``m`` mismatches. The
-    level is found from row counts per key; patterns are then matched on the
-    keys of that level only.
+    The categories are cut into ``parts`` blocks, so such a pair agrees on one block at least: it is met where the
+    texts of a block are equal, once, under the first block that agrees. A pattern meets itself when it has two rows.
+    """
+    blocks = blocks_of(len(categories), parts)
+    text = lambda block: "concat_ws('|', " + ", ".join(category_text(categories[i]) for i in block) + ")"
+    known = lambda block: " and ".join(f"{categories[i]} is not null" for i in block)
+    pieces = "explode(array(" + ", ".join(
+        f"if({known(b)}, struct({i} as block, {text(b)} as key), null)" for i, b in enumerate(blocks)) + ")) as piece"
+    cut = lambda df: df.selectExpr(
+        *group, PATTERN, "size", f"struct({', '.join(categories)}) as at", pieces).filter("piece is not null").selectExpr(
+        *group, PATTERN, "size", "at", "piece.block", "piece.key")
+    held = cut(patterns).withColumnsRenamed({PATTERN: "other", "at": "other_at", "size": "other_size"})
+    agree = lambda block: " and ".join(f"coalesce(at.{categories[i]} = other_at.{categories[i]}, false)" for i in block)
+    first = "case " + " ".join(f"when {agree(b)} then {i}" for i, b in enumerate(blocks)) + " end"
+    met = cut(asked).join(held, [*group, "block", "key"]).filter(f"({PATTERN} <> other or size > 1) and {first} = block")
+    return met.selectExpr(*group, PATTERN, "other", "other_size as size", f"{mismatches(categories, 'at', 'other_at')} as level").filter(
+        f"level < {parts}")
+
+
+def nearest_patterns(patterns: DataFrame, group: list[str], categories: Sequence[str]) -> DataFrame:
+    """(group, pattern, ``other``, ``level``): of every pattern those with the fewest mismatches.
+
+    Patterns of two rows or more without a gap are their own nearest. The others are looked up with 2, 4, 8, ...
+    blocks, which find all pairs of fewer mismatches than blocks; one that met anything is settled, as no nearer pair
+    can be missing. The number of passes grows with the logarithm of the number of categories. A pattern that agrees
+    with none in any category meets ``EVERYONE``, at a mismatch in all of them.
     """
     size = len(categories)
-    open_, levels = wanted, next_levels(0, size, wanted.count())
-    solved: list[DataFrame] = []
-    while True:
-        asked = with_keys(open_, categories, levels)
-        held = with_keys(patterns, categories, levels)
-        small = held
-        if levels[0] > 0:  # the first pass asks for most keys anyway
-            small = held.join(broadcast_if_small(asked.select(*group, "key")), [*group, "key"], "left_semi")
-        shared = small.groupBy(*group, "key").agg(F.sum("size").alias("size")).filter("size > 1")
-        hits = asked.join(shared, [*group, "key"]).groupBy(*group, PATTERN).agg(
-            F.expr("min(bit_count(mask)) as level"),
-            F.expr("collect_list(struct(bit_count(mask) as level, key)) as keys"))  # at most one per mask
-        hits = materialise(hits.selectExpr(
-            *group, PATTERN, "level", "transform(filter(keys, x -> x.level = level), x -> x.key) as keys"))
-        solved.append(
-            held.select(*group, F.col(PATTERN).alias("other"), "size", "key")
-            .join(broadcast_if_small(hits.selectExpr(*group, PATTERN, "level", "explode(keys) as key")), [*group, "key"])
-            .select(*group, PATTERN, "level", "other", "size"))
-        if levels[-1] == size:
-            break
-        open_ = open_.join(hits, [*group, PATTERN], "left_anti")
-        left = open_.count()
-        if left == 0:
+    whole = " and ".join(f"{c} is not null" for c in categories)
+    solved = [patterns.filter(f"size > 1 and {whole}").selectExpr(*group, PATTERN, f"{PATTERN} as other", "0 as level")]
+    open_, parts = patterns.filter(f"not (size > 1 and {whole})"), 1
+    while parts < size:
+        parts = min(2 * parts, size)
+        best = Window.partitionBy(*group, PATTERN)
+        found = pairs_within(open_, patterns, group, categories, parts).withColumn("least", F.min("level").over(best))
+        found = materialise(found.filter("level = least").select(*group, PATTERN, "other", "level"))
+        solved.append(found)
+        open_ = materialise(open_.join(found.select(*group, PATTERN).distinct(), [*group, PATTERN], "left_anti"))
+        if open_.isEmpty():
             break
-        levels = next_levels(levels[-1] + 1, size, left)
+    else:
+        solved.append(open_.selectExpr(*group, PATTERN, f"'{EVERYONE}' as other", f"{size} as level"))
     out = solved[0]
     for part in solved[1:]:
         out = out.unionByName(part)
     return out
 
 
-def patterns_at_level(wanted: DataFrame, patterns: DataFrame, group: list[str],
-                      categories: Sequence[str]) -> DataFrame:
-    """(pattern, other): the patterns that differ from a wanted one in ``level`` categories, with their row count."""
-    levels = [r["level"] for r in wanted.select("level").distinct().collect()]  # at most one per category
-    asked = with_keys(wanted, categories, levels).filter("bit_count(mask) = level").select(*group, PATTERN, "key", "level")
-    held = with_keys(patterns.withColumnRenamed(PATTERN, "other"), categories, levels).select(*group, "other", "size", "key")
-    return held.join(broadcast_if_small(asked), [*group, "key"]).select(*group, PATTERN, "level", "other", "size").distinct()
+def patterns_one_further(wanted: DataFrame, patterns: DataFrame, group: list[str], categories: Sequence[str]) -> DataFrame:
+    """(group, pattern, ``other``, ``level``): the patterns that differ from a wanted one in ``level`` + 1 categories."""
+    size, out = len(categories), None
+    for level in sorted(r["level"] for r in wanted.select("level").distinct().collect()):  # at most one per category
+        some = wanted.filter(F.col("level") == level)
+        if level + 1 < size:
+            found = pairs_within(some.drop("level"), patterns, group, categories, level + 2).filter(
+                F.col("level") == level + 1).select(*group, PATTERN, "other", "level")
+        elif level + 1 == size:  # whoever has the same number differs in all categories, or were nearer
+            found = some.selectExpr(*group, PATTERN, f"'{EVERYONE}' as other", f"{size} as level")
+        else:
+            continue
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @dataclass(frozen=True)
@@ -124,6 +122,9 @@ class HeomSpace:
     row_id: str
     rows: DataFrame
     patterns: DataFrame
+    pairs: DataFrame
+    spans: DataFrame
+    some_missing: bool
     slices: int
 
     @classmethod
@@ -133,8 +134,13 @@ class HeomSpace:
         rows = materialise(with_pattern(targets, group, categories, number, row_id))
         counted = rows.groupBy(*group, *categories, PATTERN).agg(F.count("*").alias("size"))
         patterns = materialise(spread(counted, *group, PATTERN))
-        slices = slice_count(rows.count()) if slices is None else slices
-        return cls(group, categories, number, row_id, rows, patterns, slices)
+        pairs = materialise(nearest_patterns(patterns, group, categories))
+        spans = materialise(rows.groupBy(*group).agg(
+            (F.max(number) - F.min(number)).cast("double").alias("span"), F.count_if(F.col(number).isNull()).alias("blanks"),
+            F.count("*").alias("rows")))
+        state = spans.agg(F.coalesce(F.sum("blanks"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+        return cls(group, categories, number, row_id, rows, patterns, pairs, spans.select(*group, "span"), state[0] > 0,
+                   slice_count(state[1]) if slices is None else slices)
 
 
 def with_pattern(df: DataFrame, group: Sequence[str], categories: Sequence[str], number: str, row_id: str) -> DataFrame:
@@ -163,53 +169,47 @@ def heom_search(queries: DataFrame, space: HeomSpace) -> DataFrame:
     number is missing); queries alone in their group have no row.
     """
     group, categories, number, row_id = space.group, space.categories, space.number, space.row_id
-    rows, patterns, slices, size = space.rows, space.patterns, space.slices, len(space.categories)
+    rows, patterns, slices = space.rows, space.patterns, space.slices
     asked = materialise(with_pattern(queries, group, categories, number, row_id))
-    spans = materialise(rows.groupBy(*group).agg(
-        (F.max(number) - F.min(number)).cast("double").alias("span"), F.count_if(F.col(number).isNull()).alias("blanks")))
-    some_missing = not spans.filter("blanks > 0").isEmpty()
-    spans = broadcast_if_small(spans.drop("blanks"))
-    wanted = materialise(spread(asked.select(*group, *categories, PATTERN).distinct(), *group, PATTERN))
-    pairs = materialise(nearest_patterns(wanted, patterns, group, categories))
-    lean = rows.select(*group, PATTERN, number, row_id)
-
-    def far_off(large: DataFrame) -> DataFrame:
+    spans = broadcast_if_small(space.spans)
+    line = rows.select(*group, PATTERN, number, row_id)
+
+    def far_off(keyed: DataFrame, lean: DataFrame) -> DataFrame:
         """Rows at the whole range: those without a number for all, any row for those without one, by id."""
         firsts = lean.groupBy(*group, PATTERN).agg(
             F.expr(f"min(if({number} is null, {row_id}, null)) as blank"), F.min(row_id).alias("low"))
         seconds = lean.join(firsts, [*group, PATTERN]).filter(f"{row_id} > low").groupBy(*group, PATTERN).agg(
             F.min(row_id).alias("next"))
-        return large.join(firsts.join(seconds, [*group, PATTERN], "left"), [*group, PATTERN]).selectExpr(
+        return keyed.join(firsts.join(seconds, [*group, PATTERN], "left"), [*group, PATTERN]).selectExpr(
             *group, row_id, number, "level", f"if({number} is null, {number}, null) as value",
             f"if({number} is not null, blank, if(low = {row_id}, next, low)) as nn").filter("nn is not null")
 
     def search(who: DataFrame, pairs: DataFrame) -> DataFrame:
         keyed = who.select(*group, PATTERN, number, row_id).join(pairs, [*group, PATTERN]).selectExpr(
-            *group, f"other as {PATTERN}", number, row_id, "level", "size")
-        # patterns of a few rows are joined, larger ones searched along their line
-        large = keyed.filter(f"size > {FEW_ROWS}")
-        near = line_neighbours(large.filter(f"{number} is not null"), lean.filter(f"{number} is not null"),
+            *group, f"other as {PATTERN}", number, row_id, "level")
+        everyone = pairs.filter(F.col("other") == EVERYONE).select(*group).distinct()
+        lean = line.unionByName(line.join(broadcast_if_small(everyone), group, "left_semi").withColumn(PATTERN, F.lit(EVERYONE)))
+        near = line_neighbours(keyed.filter(f"{number} is not null"), lean.filter(f"{number} is not null"),
                                [*group, PATTERN], number, row_id, 1, slices)
-        far = near.filter("size(near) > 0").selectExpr(
+        hits = near.filter("size(near) > 0").selectExpr(
             *group, row_id, number, "level", "near[0].value as value", "near[0].id as nn")
-        if some_missing:
-            far = far.unionByName(far_off(large))
-        few = keyed.filter(f"size <= {FEW_ROWS}").join(
-            lean.withColumnsRenamed({number: "value", row_id: "nn"}), [*group, PATTERN]).filter(f"nn <> {row_id}")
-        hits = far.unionByName(few.select(far.columns)).join(spans, group, "left")
+        if space.some_missing:
+            hits = hits.unionByName(far_off(keyed, lean))
         gap = f"cast(coalesce(abs(value - {number}), span, 0) as double)"
         best = f"min(struct({gap} as gap, cast(nn as bigint) as nn, level))"
-        return hits.groupBy(*group, row_id).agg(F.expr(f"{best} as best")).selectExpr(
+        return hits.join(spans, group, "left").groupBy(*group, row_id).agg(F.expr(f"{best} as best")).selectExpr(
             *group, row_id, "best.nn", "best.level as mismatches", "best.gap")
 
-    found = materialise(search(asked, pairs))
+    found = materialise(search(asked, space.pairs))
     edge = found.join(spans, group).filter("gap = span and span > 0")
     if edge.isEmpty():
         return found
-    ends = asked.join(edge.select(*group, row_id), [*group, row_id], "left_semi")
-    beyond = pairs.select(*group, PATTERN, "level").distinct().join(ends.select(*group, PATTERN).distinct(), [*group, PATTERN])
-    beyond = wanted.join(beyond.withColumn("level", F.col("level") + 1), [*group, PATTERN]).filter(f"level <= {size}")
-    further = search(ends, patterns_at_level(beyond, patterns, group, categories))
+    ends = materialise(asked.join(edge.select(*group, row_id, F.col("mismatches").alias("level")), [*group, row_id]))
+    wanted = patterns.join(ends.select(*group, PATTERN, "level").distinct(), [*group, PATTERN])
+    beyond = patterns_one_further(wanted, patterns, group, categories)
+    if beyond is None:
+        return found
+    further = search(ends.drop("level"), beyond)
     offers = further.filter("gap = 0").selectExpr(*group, row_id, "nn as far_nn", "mismatches as far_level", "gap as far_gap")
     wins = "coalesce(far_nn < nn, false)"
     return found.join(offers, [*group, row_id], "left").selectExpr(
@@ -276,13 +276,20 @@ def hvdm_knn(rows: DataFrame, group: Sequence[str], categories: Sequence[str], n
         patterns.select(*group, PATTERN, "var"), [*group, PATTERN])
     reach = _line_radius(lean, patterns, group, number, row_id, k, c, slices)
     gap2 = hvdm_squared("0D", f"(near[{k - 1}].value - {number})", "var")
-    own = materialise(own.join(reach, [*group, row_id], "left").withColumn("r2", F.expr(
-        f"least(if(size(near) >= {k}, {gap2}, null), coalesce(reach, double('infinity'))) * {MARGIN}")))
+    own = own.join(reach, [*group, row_id], "left").withColumn("r2", F.expr(
+        f"least(if(size(near) >= {k}, {gap2}, null), coalesce(reach, double('infinity'))) * {MARGIN}"))
+    # rows of a pattern whose radii are alike search together, so that one far-off row widens the search of few
+    own = materialise(own.withColumn("band", F.expr("if(r2 > 0, cast(ceil(log2(least(r2, 1e300)) / 2) as int), null)")))
 
-    widest = own.groupBy(*group, PATTERN).agg(F.max("r2").alias("r2"))
+    widest = own.groupBy(*group, PATTERN, "band").agg(F.max("r2").alias("r2"))
     close = _close_patterns(patterns, widest, group, c)
     outside = f"greatest(low - {number}, {number} - high, 0)"
-    cross = own.select(*group, PATTERN, number, row_id, "r2", "var").join(close, [*group, PATTERN])
+    cross = own.filter("band is not null").select(*group, PATTERN, "band", number, row_id, "r2", "var").join(
+        close, [*group, PATTERN, "band"]).drop("band")
+    # a radius of zero reaches only patterns at the same place
+    still = own.filter("band is null").select(*group, PATTERN, number, row_id, "r2", "var").join(
+        close.filter("band is null").drop("band"), [*group, PATTERN])
+    cross = cross.unionByName(still)
     cross = cross.filter(F.expr(f"{hvdm_squared('d2', outside, 'var')} <= r2")).selectExpr(
         *group, f"other as {PATTERN}", number, row_id, "d2", "var", "r2", "size")
     # the line pays off only where a pattern holds more rows than it would return
@@ -321,24 +328,24 @@ def _line_radius(lean: DataFrame, patterns: DataFrame, group: list[str], number:
 
 
 def _close_patterns(patterns: DataFrame, widest: DataFrame, group: list[str], c: int) -> DataFrame:
-    """Pairs (pattern, other, d2) with d2 within the widest radius of the pattern.
+    """(pattern, band, other, d2) with d2 within the widest radius of the band.
 
-    A distance is never shorter than its projection, so a pattern only meets
-    the buckets its radius touches along the projection.
+    A distance is never shorter than its projection, so a pattern only meets the stretches its radius touches along
+    the projection; there are as many stretches as keep a few patterns in each.
     """
     extent = patterns.groupBy(*group).agg(
-        F.min("along").alias("first"),
-        F.greatest((F.max("along") - F.min("along")) / BUCKETS, F.lit(1e-12)).alias("step"))
-    placed = patterns.join(extent, group)
-    slot = lambda x: f"cast(floor(least({BUCKETS}D, greatest(0D, ({x} - first) / step))) as int)"
+        F.min("along").alias("first"), F.greatest(F.ceil(F.count("*") / BUCKET_PATTERNS), F.lit(1)).cast("double").alias("stretches"),
+        (F.max("along") - F.min("along")).alias("whole"))
+    placed = patterns.join(broadcast_if_small(extent), group).withColumn("step", F.expr("greatest(whole / stretches, 1e-12)"))
+    slot = lambda x: f"cast(floor(least(stretches, greatest(0D, ({x} - first) / step))) as int)"
     seek = placed.join(widest, [*group, PATTERN]).selectExpr(
-        *group, PATTERN, "at", "r2",
-        f"explode(sequence({slot(f'along - sqrt(r2) * {MARGIN}')}, {slot(f'along + sqrt(r2) * {MARGIN}')})) as bucket")
+        *group, PATTERN, "band", "at", "r2",
+        f"explode(sequence({slot(f'along - sqrt(r2) * {MARGIN} - 1e-12')}, {slot(f'along + sqrt(r2) * {MARGIN} + 1e-12')})) as bucket")
     held = placed.selectExpr(*group, f"{PATTERN} as other", "at as other_at", "size", "low", "high", f"{slot('along')} as bucket")
     return (
         seek.join(held, [*group, "bucket"])
         .filter(f"{PATTERN} <> other")
         .withColumn("d2", F.expr(vdm_squared("at", "other_at", c)))
         .filter("d2 <= r2")
-        .select(*group, PATTERN, "other", "d2", "size", "low", "high")
+        .select(*group, PATTERN, "band", "other", "d2", "size", "low", "high")
     )

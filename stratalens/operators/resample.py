@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.operators.neighbours import HeomSpace, heom_search, hvdm_knn
-from stratalens.operators.ordered import slice_count, smallest_by_hash
-from stratalens.runtime import materialise, spread
+from stratalens.runtime import BROADCAST_ROWS, broadcast_if_small, materialise, spread
 
+DIGITS = 2          # hex digits of a rank that one histogram resolves
+FEW_AT_CUT = 4096   # rows of one digit that are ordered by themselves
 GROWTH = 0.5      # synthetic rows per minority row
 NEIGHBOURS = 5
 
@@ -53,31 +54,72 @@ def smote_parents(rows: DataFrame, group: Sequence[str], categories: Sequence[st
         .withColumnRenamed("parent", row_id)
     )
     sizes = minority.groupBy(*group).agg(F.floor(F.count("*") * GROWTH).cast("int").alias("need"))
-    return materialise(minority.join(partners, [*group, row_id]).join(sizes, group))
+    return materialise(spread(minority.join(partners, [*group, row_id]).join(broadcast_if_small(sizes), group), *group, row_id))
+
+
+def _drawn(parents: DataFrame, group: Sequence[str], row_id: str, first: int, last: int, seed: int) -> DataFrame:
+    """Every parent in every replicate, with the md5 digits of (seed, outcome, replicate, row) and its rank among them."""
+    key = f"md5(concat_ws('|', '{seed}', {group[0]}, replicate, {row_id}))"
+    every = parents.selectExpr("*", f"explode(sequence({first}, {last})) as replicate").selectExpr("*", f"{key} as digits")
+    return every.withColumn("pick", F.expr("cast(conv(substr(digits, 1, 8), 16, 10) as bigint)"))
+
+
+def replicate_cuts(parents: DataFrame, group: Sequence[str], row_id: str, first: int, last: int, seed: int) -> DataFrame:
+    """(group, replicate, ``cut``): the rank and id of the last row that each replicate takes.
+
+    Counts per leading digits, combined before the shuffle, show which digits the cut falls on; only rows with these
+    digits are looked at again, in finer digits while they are many, then by themselves.
+    """
+    group = list(group)
+    keys = [*group, "replicate"]
+    slim = _drawn(parents.select(*group, row_id, "need").filter("need > 0"), group, row_id, first, last, seed).drop("digits")
+    open_ = slim.withColumn("rest", F.col("need").cast("bigint"))
+    for level in range(1, 5):
+        bits = 4 * DIGITS * (4 - level)
+        counts = open_.groupBy(*keys, F.expr(f"shiftright(pick, {bits})").alias("head")).agg(
+            F.count("*").alias("size"), F.first("rest").alias("rest"))
+        upto = F.sum("size").over(Window.partitionBy(*keys).orderBy("head"))
+        border = counts.withColumn("upto", upto).filter("upto >= rest and upto - size < rest").selectExpr(
+            *keys, "head", "size", "rest - (upto - size) as rest")
+        border = materialise(border)
+        most = border.agg(F.max("size")).first()[0] or 0
+        open_ = slim.withColumn("head", F.expr(f"shiftright(pick, {bits})")).join(
+            broadcast_if_small(border), [*keys, "head"]).drop("head", "size")
+        if most <= FEW_AT_CUT:
+            break
+    ordered = F.sort_array(F.collect_list(F.struct("pick", F.col(row_id).alias("id"))))
+    last = open_.groupBy(*keys).agg(ordered.alias("ranked"), F.first("rest").alias("rest"))
+    return last.select(*keys, F.expr("ranked[cast(rest - 1 as int)]").alias("cut"))
 
 
 def smote(parents: DataFrame, group: Sequence[str], categories: Sequence[str], number: str, row_id: str,
-          replicates: int, seed: int, slices: int | None = None) -> DataFrame:
-    """Synthetic minority rows of every replicate, from hash-seeded draws.
+          replicates: int, seed: int, first: int = 1) -> DataFrame:
+    """Synthetic minority rows of every replicate from ``first`` to ``replicates``, from hash-seeded draws.
 
-    The digits of one md5 per (seed, group, replicate, row) give the selection
-    rank, the partner, the gap and, per category, which parent is copied. The
-    draw of a row depends on nothing else, so a lost task repeats it exactly.
+    The digits of one md5 per (seed, outcome, replicate, row) give the rank, the
+    partner, the gap and, per category, which parent is copied. The draw of a row
+    depends on nothing else, so a lost task repeats it exactly. A row is taken
+    when its rank is not beyond the cut of its group and replicate: cuts are one
+    small row each and broadcast, for as many replicates at a time as keep them
+    so, and drawn rows leave the scan of their parents without a shuffle.
     """
     group = list(group)
-    outcome = group[0]
-    key = f"md5(concat_ws('|', '{seed}', {outcome}, replicate, {row_id}))"
-    slim = spread(parents.select(*group, row_id, "need"), *group, row_id).selectExpr(
-        "*", f"explode(sequence(1, {int(replicates)})) as replicate").selectExpr("*", f"{key} as digits")
-    slim = slim.withColumn("pick", F.expr("cast(conv(substr(digits, 1, 8), 16, 10) as bigint)"))
-    if slices is None:
-        slices = slice_count(parents.count())
-    chosen = smallest_by_hash(slim, [*group, "replicate"], "pick", row_id, "need", 32, slices)
-    drawn = chosen.drop("need", "pick").join(parents.drop("need"), [*group, row_id])
+    last = int(replicates)
+    cuts = materialise(replicate_cuts(parents, group, row_id, first, last, seed))
+    groups = max(1, cuts.select(*group).distinct().count())
+    at_once = max(1, BROADCAST_ROWS // groups)
     number_at = lambda start, length: f"cast(conv(substr(digits, {start}, {length}), 16, 10) as bigint)"
-    mate = drawn.selectExpr("* except (partners)", f"partners[cast({number_at(9, 4)} % size(partners) as int)] as mate",
-                            f"{number_at(13, 8)} / 4294967296D as gap")
     copied = [f"if({number_at(21 + i, 1)} % 2 = 1, mate.nn_{c}, {c}) as {c}" for i, c in enumerate(categories)]
-    return mate.selectExpr(
-        *group, "replicate", row_id, "mate.nn",
-        f"{number} + gap * (mate.nn_number - {number}) as {number}", *copied, "1 as y")
+    out = None
+    for start in range(first, last + 1, at_once):
+        end = min(start + at_once - 1, last)
+        drawn = _drawn(parents, group, row_id, start, end, seed).drop("pick").join(
+            broadcast_if_small(cuts.filter(F.col("replicate").between(start, end))), [*group, "replicate"])
+        taken = drawn.filter(f"struct({number_at(1, 8)} as pick, {row_id} as id) <= cut")
+        mate = taken.selectExpr("* except (partners)", f"partners[cast({number_at(9, 4)} % size(partners) as int)] as mate",
+                                f"{number_at(13, 8)} / 4294967296D as gap")
+        part = mate.selectExpr(
+            *group, "replicate", row_id, "mate.nn",
+            f"{number} + gap * (mate.nn_number - {number}) as {number}", *copied, "1 as y")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -11,8 +11,9 @@ from stratalens.operators import logit, resample
 from stratalens.operators.design import covariate_cells, merge_cells
 from stratalens.operators.logit import Formula
 from stratalens.plans.modelling import FULL, fit_metrics, metric_records
-from stratalens.runtime import materialise
+from stratalens.runtime import broadcast_if_small, materialise
 from stratalens.schema import METRIC_TERMS, PREDICTOR_LEVELS
+from stratalens.sources.replicates import scan_replicates, stored_fits, write_replicate_results
 
 GROUP = ["outcome", "stratum"]
 CATEGORIES = [*PREDICTOR_LEVELS, "psu"]
@@ -30,14 +31,19 @@ def replicate_cells(cleaned: DataFrame, replicates: int, seed: int, formula: For
     """Covariate cells of every replicate.
 
     The cleaned rows are the same in each replicate and are summed once; only
-    synthetic rows are drawn per replicate, and they are summed to cells before
-    anything is shuffled.
+    synthetic rows are drawn per replicate, and the task that draws them adds
+    them up to cells before anything is shuffled.
     """
     base = materialise(covariate_cells(cleaned, ["outcome"], formula))
     parents = resample.smote_parents(cleaned, GROUP, CATEGORIES, "w", "rid", slices=slices)
-    drawn = resample.smote(parents, GROUP, CATEGORIES, "w", "rid", replicates, seed, slices)
+    drawn = resample.smote(parents, GROUP, CATEGORIES, "w", "rid", replicates, seed)
+    return _with_base(base, drawn, F.sequence(F.lit(1), F.lit(int(replicates))), formula)
+
+
+def _with_base(base: DataFrame, drawn: DataFrame, numbers, formula: Formula) -> DataFrame:
+    """Cells of the drawn rows on top of the base cells of each replicate number."""
     synthetic = covariate_cells(drawn, KEYS, formula)
-    repeated = base.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(int(replicates)))))
+    repeated = base.withColumn("replicate", F.explode(numbers))
     columns = [*KEYS, *formula.variables, "n", F.col("w").cast("double").alias("w"), F.col("wy").cast("double").alias("wy")]
     return merge_cells(repeated.select(*columns).unionByName(synthetic.select(*columns)), KEYS, formula)
 
@@ -57,9 +63,40 @@ def replicate_driver(frame: DataFrame, replicates: int = 1000, seed: int = 1, fo
     fits = replicate_fits(frame, replicates, seed, formula, slices)
     cells = materialise(covariate_cells(frame, ["outcome"], formula))
     wide = fit_metrics(cells, fits, formula, KEYS, ["outcome"], compat)
-    coefs = logit.coefficients(fits, KEYS, formula).select(
-        *KEYS, "term", F.col("estimate").alias("value"), "converged")
-    return metric_records(wide, KEYS, METRIC_TERMS), coefs
+    return metric_records(wide, KEYS, METRIC_TERMS), coef_records(fits, formula)
+
+
+def replicate_run(frame: DataFrame, path: str, replicates: int = 1000, seed: int = 1, formula: Formula = FULL,
+                  compat: bool = False, at_once: int = 100) -> DataFrame:
+    """The records of :func:`replicate_driver`, stored under ``path`` while they are made.
+
+    Replicates are made ``at_once`` at a time. Fits that an earlier run has stored are found by an anti-join and not
+    made again, so a run that was interrupted goes on where it ended, and more replicates can be added later; a run
+    with everything stored reads it only. Returns all stored records up to ``replicates``.
+    """
+    spark = frame.sparkSession
+    wanted = frame.select("outcome").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(int(replicates)))))
+    todo = materialise(wanted.join(stored_fits(spark, path).select(*KEYS), KEYS, "left_anti"))
+    if not todo.isEmpty():
+        cleaned = materialise(cleaned_frame(frame))
+        base = materialise(covariate_cells(cleaned, ["outcome"], formula))
+        parents = resample.smote_parents(cleaned, GROUP, CATEGORIES, "w", "rid")
+        cells = materialise(covariate_cells(frame, ["outcome"], formula))
+        for first in range(1, int(replicates) + 1, at_once):
+            last = min(first + at_once - 1, int(replicates))
+            now = todo.filter(F.col("replicate").between(first, last))
+            if now.isEmpty():
+                continue
+            drawn = resample.smote(parents, GROUP, CATEGORIES, "w", "rid", last, seed, first)
+            made = _with_base(base, drawn, F.sequence(F.lit(first), F.lit(last)), formula).join(broadcast_if_small(now), KEYS, "left_semi")
+            fits = materialise(logit.svy_logistic(made, KEYS, formula))
+            wide = fit_metrics(cells, fits, formula, KEYS, ["outcome"], compat)
+            write_replicate_results(metric_records(wide, KEYS, METRIC_TERMS), coef_records(fits, formula), path, append=True)
+    return scan_replicates(spark, path).filter(F.col("replicate") <= int(replicates))
+
+
+def coef_records(fits: DataFrame, formula: Formula) -> DataFrame:
+    return logit.coefficients(fits, KEYS, formula).select(*KEYS, "term", F.col("estimate").alias("value"), "converged")
 
 
 def needed_columns(outcomes: Sequence[str]) -> list[str]:

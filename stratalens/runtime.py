@@ -7,10 +7,12 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,8 +61,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def width_of(field) -> Column:
+    """Bytes of one value: measured for texts and lists, the type's own for numbers."""
+    kind, at = field.dataType, F.col(f"`{field.name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(at), F.lit(0)) + 16
+    if isinstance(kind, (T.ArrayType, T.MapType)) and not isinstance(getattr(kind, "elementType", kind), (T.StringType, T.StructType, T.MapType)):
+        return F.coalesce(F.size(at), F.lit(0)) * 16 + 16
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.length(F.to_json(at)), F.lit(0)) + 16
+    return F.lit(16)
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a frame has at most so many rows and bytes; no more than one row beyond the bound is looked at."""
+    width = F.lit(0)
+    for field in df.schema:
+        width = width + width_of(field)
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,43 +1,57 @@
-"""Replicate records: one long row per (outcome, replicate, term).
+"""Replicate records: one stored row per fit, read as one long row per (outcome, replicate, term).
 
-The folder of an outcome is its partition, so a report on one outcome reads
-only that folder, and metrics and coefficients need no positional binding.
+A fit's row holds all its metrics and coefficients and whether it converged, so a fit is stored whole or not at all, and
+a run that was interrupted knows which fits it need not make again. The folder of an outcome is its partition, so a
+report on one outcome reads only that folder.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+VALUES = T.MapType(T.StringType(), T.DoubleType())
 RECORD_SCHEMA = T.StructType([
     T.StructField("replicate", T.IntegerType()),
-    T.StructField("term", T.StringType()),
-    T.StructField("value", T.DoubleType()),
+    T.StructField("converged", T.BooleanType()),
+    T.StructField("metrics", VALUES),
+    T.StructField("coefs", VALUES),
     T.StructField("outcome", T.StringType()),
 ])
+KEYS = ["outcome", "replicate"]
 KINDS = ("metrics", "coefs")
 
 
-def write_replicate_results(metrics: DataFrame, coefs: DataFrame, path: str) -> None:
-    for kind, df in zip(KINDS, (metrics, coefs)):
-        (
-            df.select(
-                F.col("replicate").cast("int").alias("replicate"),
-                "term",
-                F.col("value").cast("double").alias("value"),
-                "outcome",
-            )
-            .write.mode("errorifexists")
-            .partitionBy("outcome")
-            .parquet(f"{path}/{kind}")
-        )
+def write_replicate_results(metrics: DataFrame, coefs: DataFrame, path: str, append: bool = False) -> None:
+    """Store long records (outcome, replicate, term, value, converged) of fits; a NULL value is not kept."""
+    both = metrics.withColumn("kind", F.lit("metrics")).unionByName(coefs.withColumn("kind", F.lit("coefs")))
+    of = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(
+        F.when((F.col("kind") == kind) & F.col("value").isNotNull(), F.struct("term", F.col("value").cast("double"))))))
+    fits = both.groupBy("outcome", F.col("replicate").cast("int").alias("replicate")).agg(
+        F.bool_and("converged").alias("converged"), *[of(k).cast(VALUES).alias(k) for k in KINDS])
+    (fits.select("replicate", "converged", *KINDS, "outcome")
+     .write.mode("append" if append else "errorifexists").partitionBy("outcome").parquet(path))
+
+
+def stored_fits(spark: SparkSession, path: str) -> DataFrame:
+    """One row per stored fit; none where nothing has been written yet."""
+    try:
+        return spark.read.schema(RECORD_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], RECORD_SCHEMA)
+
+
+def finished_fits(spark: SparkSession, path: str) -> DataFrame:
+    return stored_fits(spark, path).select(*KEYS).distinct()
 
 
 def scan_replicates(spark: SparkSession, path: str) -> DataFrame:
-    """Metrics and coefficients of every outcome and replicate, stacked."""
-    frames = [
-        spark.read.schema(RECORD_SCHEMA).parquet(f"{path}/{kind}").withColumn("kind", F.lit(kind))
-        for kind in KINDS
-    ]
-    return frames[0].unionByName(frames[1]).select("outcome", "replicate", "kind", "term", "value")
+    """Metrics and coefficients of every outcome and replicate, stacked, with the convergence of their fit."""
+    fits = spark.read.schema(RECORD_SCHEMA).parquet(path)
+    kinds = F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*KINDS))
+    return fits.select(*KEYS, "converged", F.explode(kinds).alias("kind", "values")).select(
+        *KEYS, "kind", "converged", F.explode("values").alias("term", "value"))

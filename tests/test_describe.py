@@ -71,7 +71,7 @@ def test_rf_impute_learns_and_keeps_observed(spark):
         "id as rid", "cast(id % 3 as int) as g", "cast(id % 7 as double) as z",
         "if(id % 5 = 0, null, cast(id % 3 as int)) as f", "if(id % 11 = 0, null, 10D * (id % 3)) as n")
     levels = {"g": [0, 1, 2], "z": None, "f": [0, 1, 2], "n": None}
-    out = impute.rf_impute(df, levels, ["f", "n"], "rid", trees=5, depth=4, max_rounds=2)
+    out = impute.rf_impute(df, levels, ["f", "n"], "rid", trees=15, max_rounds=2)
     both = out.join(df.select("rid", F.col("f").alias("f0"), F.col("n").alias("n0")), "rid")
     assert out.count() == 400 and out.filter("f is null or n is null").count() == 0
     assert both.filter("f0 is not null and f <> f0 or n0 is not null and n <> n0").count() == 0
@@ -80,12 +80,15 @@ def test_rf_impute_learns_and_keeps_observed(spark):
 
 
 def test_replicate_records_round_trip(spark):
-    df = spark.createDataFrame([("COC", 1, "AUC", 0.5), ("HER", 2, "AUC", None)], "outcome string, replicate int, term string, value double")
+    df = spark.createDataFrame([("COC", 1, "AUC", 0.5, True), ("HER", 2, "AUC", None, False)],
+                               "outcome string, replicate int, term string, value double, converged boolean")
     path = scratch_path(spark, "records")
-    replicates.write_replicate_results(df, df.withColumn("term", F.lit("GENDER2")), path)
-    back = replicates.scan_replicates(spark, path)
-    assert back.count() == 4 and {r["kind"] for r in back.collect()} == {"metrics", "coefs"}
-    assert back.filter("outcome = 'COC'").count() == 2
+    replicates.write_replicate_results(df, df.withColumns({"term": F.lit("GENDER2"), "value": F.lit(2.0)}), path)
+    back = {(r.outcome, r.kind): (r.term, r.value, r.converged) for r in replicates.scan_replicates(spark, path).collect()}
+    assert back == {("COC", "metrics"): ("AUC", 0.5, True), ("COC", "coefs"): ("GENDER2", 2.0, True),
+                    ("HER", "coefs"): ("GENDER2", 2.0, False)}
+    assert {(r.outcome, r.replicate) for r in replicates.finished_fits(spark, path).collect()} == {("COC", 1), ("HER", 2)}
+    assert replicates.finished_fits(spark, path + "-none").count() == 0
 
 
 def test_runtime(spark):
@@ -95,7 +98,7 @@ def test_runtime(spark):
     assert small.count() == 3
 
 
-def test_replicate_driver(spark):
+def survey_frame(spark):
     import random
 
     rng = random.Random(2)
@@ -107,6 +110,11 @@ def test_replicate_driver(spark):
                      rng.choice([1, 2]), rng.choice([1, 2, 3, 4]), rng.choice([1, 2, 3, 4])))
     df = spark.createDataFrame(rows, "outcome string, stratum int, psu int, rid long, w long, y int, ALC_befor int, "
                                      "VAP_befor int, SMK_befor int, MRJ_befor int, GENDER int, ETHNIC int, RLGINF int")
+    return df
+
+
+def test_replicate_driver(spark):
+    df = survey_frame(spark)
     metric_rows, coef_rows = resampling.replicate_driver(df, 3, 1)
     m, c = metric_rows.collect(), coef_rows.collect()
     assert len(m) == 3 * 6 and len(c) == 3 * 13
