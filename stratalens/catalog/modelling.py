@@ -241,6 +241,40 @@ def _(t: Tables):
     return design.gvif(fits, BY, m.FULL, cov="bread")
 
 
+TWO = m.formula_of("ALC_befor", "GENDER")
+# Newton steps of three coefficients over the four cells of each outcome, by Cramer's rule; a step takes the sums at the old ones
+TWO_STEPS = [
+    "tcells AS (SELECT outcome, x, g, CAST(count(*) AS DOUBLE) AS w, CAST(sum(y) AS DOUBLE) AS wy FROM (" + " UNION ALL ".join(
+        f"SELECT '{h}' AS outcome, ALC_befor_{h} AS x, GENDER - 1 AS g, EVER_{h} AS y FROM analysis "
+        f"WHERE EVER_{h} IS NOT NULL AND ALC_befor_{h} IS NOT NULL AND GENDER IS NOT NULL" for h in s.HARD) + ") GROUP BY ALL)",
+    "newton(step, outcome, x, g, w, wy, b0, b1, b2, h00, h01, h02, h11, h12, h22) AS ("
+    "SELECT 0, outcome, x, g, w, wy, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, "
+    "0.0::DOUBLE, 0.0::DOUBLE FROM tcells UNION ALL "
+    "SELECT step + 1, outcome, x, g, w, wy, "
+    "b0 + (s0 * (k11 * k22 - k12 * k12) - s1 * (k01 * k22 - k12 * k02) + s2 * (k01 * k12 - k11 * k02)) / det, "
+    "b1 + (-s0 * (k01 * k22 - k02 * k12) + s1 * (k00 * k22 - k02 * k02) - s2 * (k00 * k12 - k01 * k02)) / det, "
+    "b2 + (s0 * (k01 * k12 - k02 * k11) - s1 * (k00 * k12 - k02 * k01) + s2 * (k00 * k11 - k01 * k01)) / det, "
+    "k00, k01, k02, k11, k12, k22 FROM (SELECT *, k00 * (k11 * k22 - k12 * k12) - k01 * (k01 * k22 - k12 * k02) + k02 * (k01 * k12 - k11 * k02) AS det FROM ("
+    "SELECT *, sum(v) OVER o AS k00, sum(v * x) OVER o AS k01, sum(v * g) OVER o AS k02, sum(v * x) OVER o AS k11, sum(v * x * g) OVER o AS k12, "
+    "sum(v * g) OVER o AS k22, sum(wy - w * p) OVER o AS s0, sum((wy - w * p) * x) OVER o AS s1, sum((wy - w * p) * g) OVER o AS s2 FROM ("
+    "SELECT *, w * p * (1 - p) AS v FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x + b2 * g))) AS p FROM newton WHERE step < 12)) "
+    "WINDOW o AS (PARTITION BY outcome))))",
+    "tfits AS (SELECT DISTINCT outcome, h00 * h11 - h01 * h01 AS c22, h00 * h22 - h02 * h02 AS c11, -(h00 * h12 - h01 * h02) AS c12 "
+    "FROM newton WHERE step = 12)",
+]
+
+
+@query("gvif_two_factors", "WITH RECURSIVE " + survey(
+    "SELECT outcome, variable, CAST(1 AS INTEGER) AS df, round(1 / (1 - c12 * c12 / (c11 * c22)), 6) AS gvif, "
+    "round(sqrt(1 / (1 - c12 * c12 / (c11 * c22))), 6) AS gvif_scaled FROM tfits, (SELECT unnest(['ALC_befor', 'GENDER']) AS variable)",
+    *TWO_STEPS).removeprefix("WITH "))
+def _(t: Tables):
+    """Variance inflation in a model small enough for SQL to state its Newton steps."""
+    frame = m.model_frame(t.analysis(), complete=False).dropna(subset=["y", *TWO.variables])
+    _, fits = unweighted_fit(t, TWO, frame)
+    return rounded(design.gvif(fits, BY, TWO, cov="bread"), "gvif", "gvif_scaled")
+
+
 # --- scoring ------------------------------------------------------------------------------
 
 @query("score_join", survey(

@@ -94,6 +94,8 @@ def test_replicate_records_round_trip(spark):
 def test_runtime(spark):
     assert shared_dir(spark) == shared_dir(spark)
     assert fits_broadcast(spark.range(10), 10) and not fits_broadcast(spark.range(11), 10)
+    wide = spark.range(10).selectExpr("id", "repeat('x', 1000) as t", "array_repeat(1D, 100) as a", "map('k', 'v') as m")
+    assert fits_broadcast(wide, 10, 50_000) and not fits_broadcast(wide, 10, 20_000)
     small = spark.range(3).join(broadcast_if_small(spark.range(5), 10), "id")
     assert small.count() == 3
 

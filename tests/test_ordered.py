@@ -46,18 +46,6 @@ def test_running_sums(spark, slices):
         assert r["below_w"] == sum(w for g, v, w in rows if g == r["g"] and v < r["v"])
 
 
-@pytest.mark.parametrize("slices", [1, 16])
-def test_smallest_by_hash_takes_exactly_the_need(spark, slices):
-    rng = random.Random(5)
-    rows = [("hot", rng.randrange(1 << 32), i, 70) for i in range(150)]
-    rows += [("ties", 7, i, 3) for i in range(200, 210)] + [("none", 9, 300, 0)] + [("all", 11, 400, 1)]
-    df = spark.createDataFrame(rows, "g string, h long, i long, need int")
-    got = ordered.smallest_by_hash(df, ["g"], "h", "i", "need", 32, slices).select("i").collect()
-    want = {i for g in ("hot", "ties", "none", "all")
-            for _, i in sorted((h, i) for x, h, i, _ in rows if x == g)[: next(n for x, *_, n in rows if x == g)]}
-    assert {r["i"] for r in got} == want
-
-
 def test_split_points_are_bounded(spark):
     df = spark.range(1000).withColumn("x", F.col("id") * F.col("id"))
     points = ordered.split_points(df, "x", 8)
