@@ -16,7 +16,7 @@ from stratalens import runtime
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def query(name: str, sql: str | None = None):
@@ -54,14 +54,15 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHU
             start = stop
 
 
-def map_texts(df: DataFrame, text: str, fn, schema: str) -> DataFrame:
+def map_texts(df: DataFrame, text: str, fn, schema: str, keep_text: bool = False) -> DataFrame:
     """``fn(list of texts or None) -> dict of arrays`` over every row; the other columns of ``df`` pass through.
 
-    ``schema`` names the new columns; the text itself is not returned, nor a column that has the name of a new one.
+    ``schema`` names the new columns; the text itself is returned only if asked for, and never a column that has the
+    name of a new one.
     """
     runtime.ship_package(df.sparkSession)
     new = {name.lower() for name in StructType.fromDDL(schema).names}
-    kept = [c for c in df.columns if c != text and c.lower() not in new]
+    kept = [c for c in df.columns if (keep_text or c != text) and c.lower() not in new]
     fields = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [schema])
 
     def run(batches):
@@ -73,6 +74,14 @@ def map_texts(df: DataFrame, text: str, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, fields)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as keep it apart from the columns there are."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def packed(df: DataFrame, text: str) -> DataFrame:
     """``row``: the whole row as a struct, and its text, so that no column added later can clash with the input's."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("text"))

@@ -35,7 +35,7 @@ BUCKET_TOKENS = 1 << 20
 HOT_SHARE = 1000
 HOT_LEAST = 64
 KEEP_TEXTS = 4 * HOT_SHARE
-KEEP_TOKENS = 1 << 21
+KEEP_TOKENS = 1 << 19
 STRIP = 8192
 
 
@@ -101,7 +101,7 @@ def _hot(rows: DataFrame, n: int) -> tuple[np.ndarray, int, int]:
     def count(batches):
         held = Counts()
         texts_seen = total = 0
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", 1 << 20):
             doc, token = shingles(part.column("text").to_pylist(), n)
             kind, size = classes_of(doc, token, part.num_rows)
             texts_seen += part.num_rows
@@ -138,7 +138,7 @@ def _frequencies(rows: DataFrame, hot: np.ndarray, buckets: int, n: int) -> Data
     def blocks(batches):
         held, tokens, seen = [], 0, 0
         values, places = known.value
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", 1 << 20):
             doc, token = shingles(part.column("text").to_pylist(), n)
             kind, size = classes_of(doc, token, part.num_rows)
             keep = _first_of_class(kind, size)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens import runtime
-from stratalens.llm.base import in_fold, map_texts, packed, query, sample_ids, table
+from stratalens.llm.base import free_name, in_fold, map_texts, query, sample_ids, table
 from stratalens.llm.text import LETTERS, Words
 
 STEMS = (4, 5)
@@ -67,8 +67,8 @@ def terms(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class State:
-    """What training carries from round to round; ``table`` has per slot the weight, its squared gradients, the vector and
-    its squared gradients."""
+    """What training carries from round to round; ``table`` has per slot the weight, its squared gradients, the mean squared
+    gradient of the vector's parts, and the vector."""
 
     table: np.ndarray
     bias: float
@@ -77,9 +77,9 @@ class State:
     @classmethod
     def first(cls, bits: int, rank: int, odds: float, seed: int) -> State:
         rng = np.random.default_rng(seed)
-        table = np.full((1 << bits, 2 + 2 * rank), 1e-2, np.float32)
+        table = np.full((1 << bits, 3 + rank), 1e-2, np.float32)
         table[:, 0] = 0
-        table[:, 2:2 + rank] = rng.normal(0, 0.05, (1 << bits, rank))
+        table[:, 3:] = rng.normal(0, 0.05, (1 << bits, rank))
         return cls(table, float(np.log(odds)), 1e-6)
 
 
@@ -92,7 +92,7 @@ def train(state: State, bounds: np.ndarray, term: np.ndarray, label: np.ndarray,
     ``vectors`` says whether they are trained beside the weights.
     """
     rng = np.random.default_rng(seed)
-    docs, rank = len(label), (state.table.shape[1] - 2) // 2
+    docs, rank = len(label), state.table.shape[1] - 3
     steps = max(1, docs // batch)
     each = sparse / np.clip(np.bincount(term, minlength=len(state.table)), 1, steps)
     for _ in range(epochs):
@@ -103,7 +103,7 @@ def train(state: State, bounds: np.ndarray, term: np.ndarray, label: np.ndarray,
             u, t = np.unique(term[at], return_inverse=True)  # only the slots of these texts are touched
             x = 1 / np.sqrt(np.maximum(counts, 1))
             mine = state.table[u].astype(float)
-            w, gw, v, gv = mine[:, 0], mine[:, 1], mine[:, 2:2 + rank], mine[:, 2 + rank:]
+            w, gw, gv, v = mine[:, 0], mine[:, 1], mine[:, 2], mine[:, 3:]
             s = np.stack([np.bincount(row, v[t, f], len(part)) for f in range(rank)], 1) * x[:, None]
             sq = np.bincount(row, (v ** 2).sum(1)[t], len(part)) * x ** 2
             z = state.bias + np.bincount(row, w[t], len(part)) + 0.5 * ((s ** 2).sum(1) - sq)
@@ -120,8 +120,8 @@ def train(state: State, bounds: np.ndarray, term: np.ndarray, label: np.ndarray,
                 pull = (err * x)[:, None] * s
                 grad = (np.stack([np.bincount(t, pull[row, f], len(u)) for f in range(rank)], 1)
                         - own[:, None] * v + decay * v)
-                gv += grad ** 2
-                v -= rate * 0.3 * grad / np.sqrt(gv)
+                gv += (grad ** 2).mean(1)
+                v -= rate * 0.3 * grad / np.sqrt(gv)[:, None]
             state.table[u] = mine
     return state
 
@@ -242,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text",
     state = State.first(bits, rank, (n_pos + 1) / (n_all - n_pos + 1), seed)
     for turn in range(ROUNDS):
         state = _train_round(learn, state, epochs, turn >= ROUNDS // 2, seed + 1000 * turn, sparse * n_pos ** 0.5 / parts)
-    model = Model(bits, state.bias, state.table[:, 0].copy(), state.table[:, 2:2 + rank].copy())
+    model = Model(bits, state.bias, state.table[:, 0].copy(), state.table[:, 3:].copy())
     known = spark.sparkContext.broadcast(model)
 
     def logits(batches):
@@ -261,16 +261,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text",
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text, with ``score``: whole texts, null and empty texts included."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score", keep_text: bool = False) -> DataFrame:
+    """All columns of ``docs``, the text only if asked for, with ``score``: whole texts, null and empty texts included."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts):
         m = known.value
         doc, term = terms(texts, m.bits)
-        return {"score": m.score(doc, term, len(texts))}
+        return {name: m.score(doc, term, len(texts))}
 
-    return map_texts(docs, text_col, run, "score double")
+    return map_texts(docs, text_col, run, f"`{name}` double", keep_text)
 
 
 def learned(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Model:
@@ -289,5 +289,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, limit: float = 0.5) -> DataFrame:
     """Pipeline stage: documents scored below ``limit``, all columns kept."""
-    scored = score(packed(docs, "text"), learned(spark, sf_dir, docs))
-    return scored.filter(F.col("score") < limit).select("row.*")
+    name = free_name(docs, "score")
+    scored = score(docs, learned(spark, sf_dir, docs), name=name, keep_text=True)
+    return scored.filter(F.col(name) < limit).select(*[F.col(f"`{c}`") for c in docs.columns])
