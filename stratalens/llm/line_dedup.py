@@ -24,14 +24,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens import runtime
-from stratalens.llm.base import packed, query, table, text_slices
+from stratalens.llm.base import query, table, text_slices
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
+    bare = F.btrim(line, F.lit(SPACE))
+    plain = F.length(bare) == F.octet_length(bare)  # of ASCII alone, where lower() changes A-Z only and is much faster
+    return F.when(plain, F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
 def halves(value: Column, *names: str) -> list[Column]:
@@ -55,10 +57,11 @@ def shared_lines(lines: DataFrame, least_docs: int) -> DataFrame:
 
 def drop_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_length: int = 20,
                       least_docs: int = 3) -> DataFrame:
-    """``row`` (the input row as a struct), the ``text`` that is left, ``n_lines`` before and ``n_dropped``."""
+    """``row`` (the other columns as a struct), the ``text`` that is left, ``n_lines`` before, ``n_dropped`` and ``sha256``."""
     spark = docs.sparkSession
     runtime.ship_package(spark)
-    rows = packed(docs, text_col).select("row", F.col(f"row.`{id_col}`").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    rows = docs.select(others.alias("row"), F.col(f"`{id_col}`").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     lines = exploded(rows, least_length)
     path = runtime.scratch_path(spark, "shared-lines")
     shared_lines(lines, least_docs).write.parquet(path)
