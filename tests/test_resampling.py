@@ -83,6 +83,21 @@ def test_hvdm_knn_is_exact(spark, seed, n, levels, weights, slices):
     assert {i: [pytest.approx(x, abs=1e-9) for x, _ in d] for i, d in brute_hvdm(rows, 5).items()} == found
 
 
+def test_hvdm_knn_cuts_large_groups_into_slabs(spark, monkeypatch):
+    """A group of many slabs, far-off rows included: its slabs stay small, and neighbours beyond a border are found."""
+    monkeypatch.setattr(neighbours, "SLAB_POINTS", 10)
+    rows = random_rows(8, 260, nulls=False, levels=4, weights=3000)
+    rows = [(*r[:5], r[5] + 40000 * (i % 97 == 0), *r[6:]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    ones = df.filter("y = 1").withColumnRenamed("rid", "id")
+    cuts = neighbours._slab_cuts(ones, ["outcome", "stratum"], "w", None)
+    slabs = ones.join(cuts, ["outcome", "stratum"]).selectExpr("stratum", f"{neighbours._slab_of('w')} as slab")
+    assert max(r["count"] for r in slabs.groupBy("stratum", "slab").count().collect()) <= 20
+    got = neighbours.hvdm_knn(df, ["outcome", "stratum"], CATS, "w", "rid", "y", 5)
+    found = {r["rid"]: [round(h["dist2"], 12) for h in r["neighbours"]] for r in got.collect()}
+    assert {i: [pytest.approx(x, abs=1e-9) for x, _ in d] for i, d in brute_hvdm(rows, 5).items()} == found
+
+
 def test_tomek_links_are_mutual_and_between_classes(spark):
     rows = random_rows(11, 100)
     df = spark.createDataFrame(rows, SCHEMA)
