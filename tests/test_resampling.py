@@ -47,6 +47,20 @@ def test_heom_nearest_is_exact(spark, seed, n, weights, slices):
     assert {r["rid"]: r["nn"] for r in got.collect()} == brute_heom(rows, lambda r: r[7] == 1)
 
 
+def test_rows_whose_own_pattern_is_nearest_are_settled_by_one_sort(spark):
+    """Rows that share a number, alone at theirs, at the ends, and patterns of one row, which are left to the search."""
+    rows = random_rows(6, 150, nulls=False, levels=2, weights=12) + [("o", 0, 9, 9, 9, 5, 900, 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    space = neighbours.HeomSpace.of(df, ["outcome", "stratum"], CATS, "w", "rid")
+    settled = {r["rid"]: r["nn"] for r in space.settled.collect()}
+    shared = {r[6] for r in rows if sum(q[1:5] == r[1:5] for q in rows) > 1}
+    assert set(settled) == shared and 900 not in settled
+    near = {x[6]: min((abs(x[5] - y[5]), y[6]) for y in rows if y[1:5] == x[1:5] and y[6] != x[6])[1] for x in rows if x[6] in shared}
+    assert settled == near
+    got = neighbours.heom_search(df, space)
+    assert {r["rid"]: r["nn"] for r in got.collect()} == brute_heom(rows)
+
+
 def test_heom_gap_of_the_whole_range_ties_with_one_more_mismatch(spark):
     rows = [("o", 0, 1, 1, 1, 0, 5, 1), ("o", 0, 1, 1, 1, 10, 9, 0), ("o", 0, 1, 1, 2, 0, 2, 0)]
     df = spark.createDataFrame(rows, SCHEMA)
