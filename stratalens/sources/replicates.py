@@ -20,6 +20,7 @@ RECORD_SCHEMA = T.StructType([
     T.StructField("coefs", VALUES),
     T.StructField("outcome", T.StringType()),
 ])
+PREPARED_SCHEMA = "mark string, folder string"  # folders that begin with _ are no fits
 KEYS = ["outcome", "replicate"]
 KINDS = ("metrics", "coefs")
 
@@ -49,6 +50,22 @@ def finished_fits(spark: SparkSession, path: str) -> DataFrame:
     return stored_fits(spark, path).select(*KEYS).distinct()
 
 
+def finished_preparation(spark: SparkSession, path: str, mark: str) -> str | None:
+    """Folder of the run, if there is one, that holds the stored preparation of this mark."""
+    try:
+        found = spark.read.schema(PREPARED_SCHEMA).parquet(f"{path}/_prepared").filter(F.col("mark") == mark).first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return found["folder"] if found else None
+
+
+def note_preparation(spark: SparkSession, path: str, mark: str, folder: str) -> None:
+    """Written last, so that a preparation that was interrupted is not found."""
+    spark.createDataFrame([(mark, folder)], PREPARED_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/_prepared")
+
+
 def scan_replicates(spark: SparkSession, path: str) -> DataFrame:
     """Metrics and coefficients of every outcome and replicate, stacked, with the convergence of their fit."""
     fits = spark.read.schema(RECORD_SCHEMA).parquet(path)

@@ -1,7 +1,9 @@
-"""The replicate drivers: nothing is drawn twice for a fit."""
+"""The replicate drivers: nothing is drawn twice for a fit, and a run that is taken up again prepares nothing twice."""
 
 import random
 
+from pyspark.sql import functions as F
+
 from stratalens.operators import logit
 from stratalens.operators.logit import Formula
 from stratalens.plans import resampling
@@ -32,3 +34,26 @@ def test_cells_are_kept_before_they_are_fitted(spark, monkeypatch):
     resampling.replicate_fits(frame, 2, 1, FORMULA)
     resampling.replicate_run(frame, scratch_path(spark, "kept"), 2, 1, FORMULA)
     assert len(plans) == 2 and not any("md5" in p or "Generate" in p for p in plans)
+
+
+def records(df):
+    return sorted((r.outcome, r.replicate, r.kind, r.term, round(r.value, 9), r.converged) for r in df.collect())
+
+
+def test_a_run_taken_up_again_is_not_prepared_again(spark, monkeypatch):
+    made, clean = [], resampling.cleaned_frame
+
+    def seen(frame, *rest):
+        made.append(1)
+        return clean(frame, *rest)
+
+    monkeypatch.setattr(resampling, "cleaned_frame", seen)
+    frame, path = survey_frame(spark), scratch_path(spark, "again")
+    want = records(resampling.replicate_run(frame, scratch_path(spark, "whole"), 2, 3, FORMULA))
+    made.clear()
+    resampling.replicate_run(frame, path, 1, 3, FORMULA)
+    assert records(resampling.replicate_run(frame.repartition(3), path, 2, 3, FORMULA)) == want and len(made) == 1
+    # other rows are prepared anew
+    other = frame.unionByName(frame.withColumn("outcome", F.lit("HER")))
+    got = resampling.replicate_run(other, path, 2, 3, FORMULA)
+    assert len(made) == 2 and {r.outcome for r in got.select("outcome").distinct().collect()} == {"COC", "HER"}
