@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalens.runtime import broadcast_if_small, materialise, scratch_path, ship_package
+from stratalens.runtime import broadcast_if_small, materialise, scratch_path, ship_package, spread
 
 MAX_ITERATIONS = 25
 TOLERANCE = 1e-11
@@ -366,13 +366,16 @@ def svy_logistic_null(cells: DataFrame, by: Sequence[str], w: str = "w", wy: str
 
 
 def predict_prob(data: DataFrame, fits: DataFrame, by: Sequence[str], formula: Formula,
-                 name: str = "prob", key: Sequence[str] | None = None) -> DataFrame:
+                 name: str = "prob", key: Sequence[str] | None = None, few_cells: bool = False) -> DataFrame:
     """Inverse logit of the linear predictor for rows or cells.
 
     Joins on ``by``; ``key`` is the full key of the fits when it is longer. A few
     rows of fits are broadcast, so that a hot key of the data stays where it is.
+    With ``few_cells`` the data are the side that is broadcast, and the fits are
+    dealt by their key: what is summed per fit later does not move again.
     """
-    known = broadcast_if_small(materialise(fits.select(*(key or by), "coef")), MOST_FITS)
+    known = fits.select(*(key or by), "coef")
+    known = spread(known, *(key or by)) if few_cells else broadcast_if_small(materialise(known), MOST_FITS)
     scored = known.join(data, list(by))
     return scored.withColumn(name, F.expr(f"1 / (1 + exp(-({formula.eta_sql('coef')})))")).drop("coef")
 
